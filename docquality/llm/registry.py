@@ -6,18 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import line_dedup
 from .licenses import op9_license_scan
+from .line_dedup import op4_line_dedup
+from .packing import op10_best_fit_packing
 from .pii import op7_pii
 from .tokens import op5_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_line_dedup": op4_line_dedup,
         "op5_token_counts": op5_token_counts,
         "op7_pii": op7_pii,
         "op9_license_scan": op9_license_scan,
+        "op10_best_fit_packing": op10_best_fit_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_line_dedup": line_dedup.ORACLE_SQL}
