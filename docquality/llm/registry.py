@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup
+from . import line_dedup, ngram_join
 from .licenses import op9_license_scan
 from .line_dedup import op4_line_dedup
+from .ngram_join import op1_ngram_jaccard_join
 from .packing import op10_best_fit_packing
 from .pii import op7_pii
 from .tokens import op5_token_counts
@@ -16,6 +17,7 @@ from .tokens import op5_token_counts
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
         "op4_line_dedup": op4_line_dedup,
         "op5_token_counts": op5_token_counts,
         "op7_pii": op7_pii,
@@ -25,4 +27,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": line_dedup.ORACLE_SQL}
+    return {"op1_ngram_jaccard_join": ngram_join.ORACLE_SQL, "op4_line_dedup": line_dedup.ORACLE_SQL}
