@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import line_dedup, ngram_join
+from .language import op8_language_id
 from .licenses import op9_license_scan
 from .line_dedup import op4_line_dedup
 from .ngram_join import op1_ngram_jaccard_join
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_line_dedup": op4_line_dedup,
         "op5_token_counts": op5_token_counts,
         "op7_pii": op7_pii,
+        "op8_language_id": op8_language_id,
         "op9_license_scan": op9_license_scan,
         "op10_best_fit_packing": op10_best_fit_packing,
     }
