@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, ngram_join
+from . import embed_dedup, line_dedup, ngram_join
+from .embed_dedup import op6_embedding_near_dedup
 from .language import op8_language_id
 from .licenses import op9_license_scan
 from .line_dedup import op4_line_dedup
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
         "op4_line_dedup": op4_line_dedup,
         "op5_token_counts": op5_token_counts,
+        "op6_embedding_near_dedup": op6_embedding_near_dedup,
         "op7_pii": op7_pii,
         "op8_language_id": op8_language_id,
         "op9_license_scan": op9_license_scan,
@@ -29,4 +31,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": ngram_join.ORACLE_SQL, "op4_line_dedup": line_dedup.ORACLE_SQL}
+    return {
+        "op1_ngram_jaccard_join": ngram_join.ORACLE_SQL,
+        "op4_line_dedup": line_dedup.ORACLE_SQL,
+        "op6_embedding_near_dedup": embed_dedup.ORACLE_SQL,
+    }
