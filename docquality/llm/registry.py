@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import embed_dedup, line_dedup, ngram_join
+from .decontam import op3_benchmark_decontamination
 from .embed_dedup import op6_embedding_near_dedup
 from .language import op8_language_id
 from .licenses import op9_license_scan
@@ -14,12 +15,15 @@ from .line_dedup import op4_line_dedup
 from .ngram_join import op1_ngram_jaccard_join
 from .packing import op10_best_fit_packing
 from .pii import op7_pii
+from .quality import op2_quality_classifier
 from .tokens import op5_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+        "op2_quality_classifier": op2_quality_classifier,
+        "op3_benchmark_decontamination": op3_benchmark_decontamination,
         "op4_line_dedup": op4_line_dedup,
         "op5_token_counts": op5_token_counts,
         "op6_embedding_near_dedup": op6_embedding_near_dedup,
