@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from . import embed_dedup, line_dedup, ngram_join
 from .decontam import op3_benchmark_decontamination
 from .embed_dedup import op6_embedding_near_dedup
@@ -31,12 +33,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_id,
         "op9_license_scan": op9_license_scan,
         "op10_best_fit_packing": op10_best_fit_packing,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    sql = {"pipeline": corpus_pipeline.ORACLE_SQL}
+    sql |= {
         "op1_ngram_jaccard_join": ngram_join.ORACLE_SQL,
         "op4_line_dedup": line_dedup.ORACLE_SQL,
         "op6_embedding_near_dedup": embed_dedup.ORACLE_SQL,
     }
+    return {name: x for name, x in sql.items() if x}
