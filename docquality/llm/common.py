@@ -5,7 +5,9 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,8 +27,24 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the Python workers of a cluster, once for each application."""
+    sc, package = spark.sparkContext, Path(__file__).parents[1]
+    if sc.applicationId not in _shipped:
+        _shipped.add(sc.applicationId)
+        path = Path(tempfile.mkdtemp(prefix="docquality-")) / f"{package.name}.zip"
+        with zipfile.ZipFile(path, "w") as z:
+            for f in sorted(package.rglob("*.py")):
+                z.write(f, f.relative_to(package.parent))
+        sc.addPyFile(str(path))
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the rows, and so the memory, of every Arrow batch that goes to Python."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
