@@ -198,7 +198,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ro
 def digest(found: DataFrame) -> DataFrame:
     """Counts, the hash of the base spans and all spans in their order."""
     parts = F.when(F.col("base") == "", F.array().cast("array<string>")).otherwise(F.split("base", ","))
-    n = {f"n_{k}": F.size(F.filter(F.col("parts"), lambda x, k=k: x.startswith(f"{k}:"))).cast("long") for k in KINDS[:4]}
+    count = lambda kind: F.size(F.filter(F.col("parts"), lambda x: x.startswith(f"{kind}:"))).cast("long")
+    n = {f"n_{k}": count(k) for k in KINDS[:4]}
     kinds = F.array(*map(F.lit, KINDS))
     place = lambda x: F.struct(F.split(x, ":")[1].cast("int").alias("start"), F.array_position(kinds, F.split(x, ":")[0]).alias("kind"), x.alias("span"))
     more = F.transform(F.coalesce("identifiers", F.array().cast("array<struct<start:int,end:int,trust:double>>")), lambda x: F.concat(F.lit("id:"), x["start"].cast("string"), F.lit(":"), x["end"].cast("string")))
