@@ -79,6 +79,8 @@ class Polytopes:
 
 def hits(dim: int, hashes: int, cosine: float, pairs: int = 4000) -> float:
     """The share of tables that bring a random pair at this cosine together."""
+    if dim == 1:
+        return 1.0  # vectors of one component are equal or opposite in direction
     rng = np.random.default_rng(5)
     x, y = rng.normal(size=(2, pairs, dim))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
