@@ -1,6 +1,6 @@
 """Line dedup by a deletion-neighbourhood join, in DataFrame operations only.
 
-A line is a list of words (split at ASCII white space, A-Z in lower case). Of lines with equal words the earliest
+A line is a list of words (split at ASCII white space, in lower case). Of lines with equal words the earliest
 stays, by doc_id and then place. Of lines of `least_words` words or more, one also goes if an earlier one, itself kept
 or not, is within one word edit: a word changed, added or left out. Lines without words always stay.
 
@@ -22,27 +22,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents, lower_ascii
+from .common import Scratch, documents
 
 LEAST_WORDS = 8
 
 
-def words_of(line: Column) -> Column:
-    return F.filter(F.split(lower_ascii(line), r"[\x09-\x0D\x20]+"), lambda w: w != "")
+def normal(line: Column) -> Column:
+    """In lower case, words between single spaces."""
+    low = F.lower(line)
+    odd = low.contains("  ")
+    for c in "\t\v\f\r":
+        odd = odd | low.contains(c)
+    return F.btrim(F.when(odd, F.regexp_replace(low, r"[\x09-\x0D\x20]+", " ")).otherwise(low), F.lit(" "))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, words) of docs (doc_id, text)."""
+    """(doc_id, line_no, line) of docs (doc_id, text), lines in normal form, those without words left out."""
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return lines.select("doc_id", "line_no", words_of(F.col("line")).alias("words"))
+    return lines.filter(F.col("line").rlike(r"[^\x09-\x0D\x20]")).select("doc_id", "line_no", normal(F.col("line")).alias("line"))
 
 
-def half_keys(words: Column, n: Column) -> Column:
+def half_keys(line: Column, n: Column) -> Column:
     """Hashes of the first and the last h words, for each h that half of a line within one edit can have."""
     h, g = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
-    key = lambda side, k, part: F.xxhash64(F.lit(side), k, part)
-    ends = lambda k: [key("p", k, F.slice(words, F.lit(1), k)), key("s", k, F.slice(words, n - k + 1, k))]
-    return F.array_distinct(F.array(*ends(h), *ends(g)))
+    part = lambda k: F.call_function("substring_index", line, F.lit(" "), k)
+    ends = lambda k: [F.xxhash64(F.lit("p"), k, part(k)), F.xxhash64(F.lit("s"), k, part(-k))]
+    return F.when(n % 2 == 1, F.array(*ends(h))).otherwise(F.array(*ends(h), *ends(g)))
 
 
 def block_of(n: Column) -> Column:
@@ -89,33 +94,41 @@ def within_one_edit(a: Column, b: Column) -> Column:
 def dropped_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, line_no, near) of the lines to drop from docs (doc_id, text); near is false for exact copies."""
     scratch = Scratch(docs.sparkSession, "lines")
-    n = F.size("words")
-    slim = scratch.keep(
-        lines_of(docs).filter(n > 0).select("doc_id", "line_no", F.xxhash64("words").alias("h"), F.xxhash64(F.lit(1), "words").alias("g"), F.when(n >= least_words, half_keys(F.col("words"), n)).alias("halves"))
-    )
-    at = F.struct("doc_id", "line_no")
+    line, at = F.col("line"), F.struct("doc_id", "line_no")
+    n = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+    halves = F.when(F.col("n") >= least_words, half_keys(line, F.col("n"))).alias("halves")
+    slim = scratch.keep(lines_of(docs).withColumn("n", n).select("doc_id", "line_no", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"), halves))
     firsts = scratch.keep(slim.groupBy("h", "g").agg(F.min(at).alias("ord"), F.count(F.lit(1)).alias("copies"), F.any_value("halves").alias("halves")))
     repeated = firsts.filter("copies > 1").select("h", "g", "ord")
     exact = slim.select("h", "g", "doc_id", "line_no").join(repeated, ["h", "g"]).filter(~at.eqNullSafe(F.col("ord"))).select("doc_id", "line_no", F.lit(False).alias("near"))
 
-    halves = firsts.filter("halves is not null").select("ord", F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("half")
-    wanted = halves.join(shared, "half", "left_semi").select("ord").distinct().select(F.col("ord.doc_id").alias("d"), F.col("ord.line_no").alias("l"))
-    found = lines_of(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("line_no") == F.col("l")), "left_semi")
-    lines = scratch.keep(with_blocks(found.dropDuplicates(["doc_id", "line_no"])).withColumn("ord", at).drop("doc_id", "line_no"))
+    half = firsts.filter("halves is not null").select("ord", F.explode("halves").alias("half"))
+    shared = half.groupBy("half").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("half")
+    wanted = half.join(shared, "half", "left_semi").select("ord").distinct()
+    wanted = wanted.groupBy(F.col("ord.doc_id").alias("d")).agg(F.collect_list("ord.line_no").alias("at_lines"))  # of one document
+    # texts are always brought together by a shuffle, so that the plan is the same at every size
+    found = docs.select("doc_id", "text").hint("merge").join(wanted, F.col("doc_id").eqNullSafe(F.col("d")))
+    found = found.select("doc_id", F.explode(F.transform("at_lines", lambda i: F.struct(i.alias("line_no"), F.get(F.split("text", "\n"), i).alias("line")))).alias("x"))
+    found = found.select("doc_id", "x.line_no", F.split(normal(F.col("x.line")), " ").alias("words")).dropDuplicates(["doc_id", "line_no"])
+    found = scratch.keep(found)
+    scratch.release()
+    lines = scratch.keep(with_blocks(found).withColumn("ord", at).drop("doc_id", "line_no"))
 
     out = variants(lines)
     first = out.groupBy("key", "i").agg(F.min("ord").alias("earliest"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "i", "earliest")
-    changed = out.join(first, ["key", "i"]).select("ord", "earliest")
+    changed = scratch.keep(out.join(first, ["key", "i"]).select("ord", "earliest").filter("earliest < ord").distinct())
     own = lines.select(F.explode("own").alias("key"), F.col("ord").alias("other"))
-    added = out.join(own, "key").select("ord", "other").distinct()
+    added = scratch.keep(out.join(own, "key").select("ord", "other").distinct())
+    scratch.release()
     earlier = changed.union(added).union(added.groupBy("other").agg(F.min("ord")))
     pairs = earlier.filter(F.col("earliest") < F.col("ord")).distinct()
     words = lines.select(F.col("ord").alias("o"), F.col("words").alias("a"))
     both = pairs.join(words, F.col("ord").eqNullSafe(F.col("o"))).drop("o")
     both = both.join(words.withColumnRenamed("a", "b"), F.col("earliest").eqNullSafe(F.col("o")))
     near = both.filter(within_one_edit(F.col("a"), F.col("b"))).select("ord.doc_id", "ord.line_no").distinct()
-    return exact.union(near.withColumn("near", F.lit(True)))
+    gone = scratch.keep(exact.union(near.withColumn("near", F.lit(True))))
+    scratch.release()
+    return gone
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
@@ -128,6 +141,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept = F.filter(all_lines, lambda _, i: ~F.array_contains("__gone", i))
     return (
         docs.drop("n_lines", "n_exact", "n_near")
+        .hint("merge")
         .join(gone, docs[id_col].eqNullSafe(F.col("__doc_id")), "left")
         .withColumns({"n_lines": F.coalesce(F.size(all_lines), F.lit(0)).cast("long"), "n_exact": F.coalesce("__exact", F.lit(0)), "n_near": F.coalesce("__near", F.lit(0)), text_col: F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))})
         .drop("__gone", "__near", "__exact", "__doc_id")
@@ -143,7 +157,7 @@ with lines as (
     select doc_id, unnest(range(len(l))) as line_no, unnest(l) as line
     from (select doc_id, string_split(text, chr(10)) as l from documents where text is not null)
 ), worded as (
-    select doc_id, line_no, list_filter(string_split_regex(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x09-\\x0D\\x20]+'), lambda w: w <> '') as words
+    select doc_id, line_no, list_filter(string_split_regex(lower(line), '[\\x09-\\x0D\\x20]+'), lambda w: w <> '') as words
     from lines
 ), ranked as (
     select doc_id, line_no, words, row_number() over (order by doc_id, line_no) as o, row_number() over (partition by words order by doc_id, line_no) as copy
