@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,12 +43,10 @@ def strip_accents(c: Column) -> Column:
 
 def strip_accents_full(c: Column) -> Column:
     """The complete fold, in Python, for the rows that need it (ligatures, fractions, Hangul)."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def full(s: pd.Series) -> pd.Series:
         fold = lambda x: "".join(k for k in unicodedata.normalize("NFKD", x) if not unicodedata.combining(k))
-        return s.map(fold, na_action="ignore")
+        return s.astype(object).map(fold, na_action="ignore").astype(object)
 
     return F.when(c.rlike(r"[^\x00-ɏ]"), full(c)).otherwise(strip_accents(c))
 

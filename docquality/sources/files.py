@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -145,8 +146,6 @@ def triplets(paths: DataFrame, images: tuple[str, ...] = ("jpg", "jpeg", "png"),
 
 def decode(content: Column) -> Column:
     """Bytes as text: UTF-8 without its mark if valid, else as Windows-1252, else as Latin-1."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def fallback(s: pd.Series) -> pd.Series:
         def one(b: bytes) -> str:
@@ -155,7 +154,7 @@ def decode(content: Column) -> Column:
             except UnicodeDecodeError:
                 return b.decode("latin-1")
 
-        return s.map(one, na_action="ignore")
+        return s.astype(object).map(one, na_action="ignore").astype(object)
 
     text = F.try_validate_utf8(content.cast("string"))
     return F.when(text.isNotNull(), F.regexp_replace(text, "^﻿", "")).otherwise(fallback(content))

@@ -71,6 +71,10 @@ class TextBackend:
 RAW = "doc_id string, version string, pos int, text string, conf string, left int, top int, width int, height int, page_num int, block_num int, par_num int, line_num int, seconds double, error string"
 
 
+#: Columns that are text, and go to Arrow as objects.
+TEXT_COLUMNS = ("doc_id", "version", "text", "conf", "error")
+
+
 def recognise(images: DataFrame, backend: OcrBackend, versions: tuple[str, ...] = ("rectified", "pre_ocr"), on_error: str = "collect") -> DataFrame:
     """images (doc_id, content) through an engine, once for each version. on_error: `collect` turns an exception into a
     row with the error; `fail` lets it end the job."""
@@ -92,6 +96,6 @@ def recognise(images: DataFrame, backend: OcrBackend, versions: tuple[str, ...]
                             raise
                         rows, error = [{}], f"{type(e).__name__}: {e}"
                     seconds = time.perf_counter() - began
-                    yield pd.DataFrame([{"doc_id": doc_id, "version": version, "pos": i, "seconds": seconds, "error": error} | r for i, r in enumerate(rows)], columns=names)
+                    yield pd.DataFrame([{"doc_id": doc_id, "version": version, "pos": i, "seconds": seconds, "error": error} | r for i, r in enumerate(rows)], columns=names).astype({c: object for c in TEXT_COLUMNS})
 
     return images.select("doc_id", "content").mapInPandas(run, RAW)

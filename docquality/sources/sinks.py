@@ -108,7 +108,7 @@ def write_artefacts(rows: DataFrame, path_col: str, content_col: str) -> DataFra
                     f.write(raw)
                 os.replace(part, local)
                 sizes.append(len(raw))
-            yield pd.DataFrame({"path": b[path_col], "bytes": sizes})
+            yield pd.DataFrame({"path": b[path_col].astype(object), "bytes": sizes})
 
     return rows.select(path_col, content_col).mapInPandas(run, "path string, bytes long")
 
