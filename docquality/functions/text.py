@@ -48,7 +48,7 @@ def strip_accents_full(c: Column) -> Column:
         fold = lambda x: "".join(k for k in unicodedata.normalize("NFKD", x) if not unicodedata.combining(k))
         return s.astype(object).map(fold, na_action="ignore").astype(object)
 
-    return F.when(c.rlike(r"[^\x00-ɏ]"), full(c)).otherwise(strip_accents(c))
+    return F.when(c.rlike("[¼-¾Ĳ-ŀŉǄ-ǌǱ-ǳ]|[^\\x00-ɏ]"), full(c)).otherwise(strip_accents(c))
 
 
 def let(value: Column, use) -> Column:

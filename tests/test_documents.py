@@ -129,14 +129,14 @@ def test_files_and_encodings(spark, tmp_path):
     (d / "a.txt").write_bytes("x,y,width,height,transcription\n1,2,3,4,NÃO".encode("cp1252"))
     (d / "a.jpg").write_bytes(b"\xff\xd8\xff0")
     (d / "b.jpg").write_bytes(b"\xff\xd8\xff0")
-    (d / "a_mask.jpg").write_bytes(b"")
+    (d / "a_mask.jpg").write_bytes(b"GIF8")
     listed = files.files(spark, str(tmp_path))
     images = files.with_ground_truth(files.batch_images(listed), listed)
     assert [(r["path"][-5:], r["ground_truth_path"] is not None) for r in images.orderBy("path").collect()] == [("a.jpg"[-5:], True), ("b.jpg"[-5:], False)]
     t = annotations.transcriptions(files.text_files(spark, str(tmp_path)))
     assert [r["text"] for r in t.collect()] == ["NÃO"]
     checked = stages.with_validity(listed).select("path", "validity").collect()
-    assert {r["path"].rsplit("/")[-1]: r["validity"] for r in checked}["a_mask.jpg"] == "empty"
+    assert {r["path"].rsplit("/")[-1]: r["validity"] for r in checked}["a_mask.jpg"] == "unknown_format"
 
 
 def test_annotations(spark):
