@@ -31,7 +31,7 @@ def test_decisions(spark, tmp_path):
     passage = text(40)
     base = [text(60) for _ in range(30)]
     near = " ".join(w if i != 30 else "other" for i, w in enumerate(base[1].split()[:30])) + " " + " ".join(base[1].split()[30:])
-    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate([*base, base[0], near + " tail", "start " + passage + " end of it", "1234", None])]
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate([*base, base[0], near + " tail", "start " + passage + " end of it", "1234", None])]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     kept = {r["doc_id"] for r in P.run(spark, str(tmp_path)).collect()}
