@@ -3,17 +3,18 @@
 A document is the set of its distinct word shingles, hashed to 64 bits. A sketch of it has k blocks of 64 bits: each
 shingle belongs to one block and is XORed into it. A shingle that only one of two sets has changes one block at most,
 so the number of blocks in which two sketches differ is a lower bound of the symmetric difference. Sets of a size band
-that are similar enough have a symmetric difference of at most d; with k = d + 1 blocks one block at least is equal
-(pigeonhole). Blocks are the join keys. A set enters its own band and each band in which a larger partner may be.
+that are similar enough have a symmetric difference of at most d; with k > d blocks k - d at least are equal (pigeonhole). Blocks
+are the join keys. A set enters its own band and each band in which a larger partner may be.
 
-An empty block says nothing, so it is no key; a set with an empty block also enters the next arrangement, with other
-blocks, and after the last one all its shingles are keys. So no pair is lost to empty blocks.
+An empty block says nothing, so it is no key. A set with k - d empty blocks or more also enters the next arrangement,
+with other blocks, and after the last one all its shingles are keys. So no pair is lost to empty blocks.
 
 Sets that are equal form one class from the start and enter once. The classes under a key are compared with the least
 of them; where that joins all of them into one component (as with copies of a page, however many) nothing is left to
-do. Otherwise pairs of different components are compared, for keys of few classes; the classes of a key of many enter
-a further arrangement under that key, which unrelated sets with a shared passage hardly ever pass together. So no
-group is expanded into all of its pairs, and no link between different components is lost.
+do. Otherwise pairs of different components are compared, for keys of few classes. Those of a key of many are compared
+with another one of them, and then enter a second arrangement, where sets that merely share a passage hardly meet
+again. What meets in large numbers even there is alike, but not similar enough; it is compared in blocks, by longer
+sketches, without a row for each pair. So no group is expanded into all of its pairs, and no link is lost.
 
 Pairs are first held against 512-bit parity sketches (one bit for each shingle; their Hamming distance is a lower bound
 of the symmetric difference, too), then the shingle sets are intersected exactly.
@@ -25,6 +26,7 @@ is one. An empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,8 +38,10 @@ from pyspark.sql import functions as F
 from .common import Scratch, arrow_schema, documents, map_batches, small_batches, texts_of
 from .components import components
 
-BITS = 512
-ARRANGEMENTS = 6
+BITS, LONG_BITS = 512, 4096
+#: Sets that are compared with each other, or with as many others, at a time.
+BLOCK = 512
+ARRANGEMENTS = 5
 #: Classes under one key of which all pairs between components are compared at once; beyond, the key is arranged anew.
 FEW = 48
 REMEMBERED = 500_000
@@ -86,19 +90,24 @@ class Bands:
         """The largest symmetric difference of similar sets with so many elements in all."""
         return (self.den - self.num) * total // (self.den + self.num)
 
+    def blocks(self, band: int, d: int) -> int:
+        """More than d: with one and a half times the empty blocks that the smallest sets of the band should have."""
+        smallest = self.tops[band - 1] * self.num / self.den
+        return d + 1 + (1 + int(1.5 * d * math.exp(-smallest / d)) if d >= 8 else 0)
+
     def entries(self, n: int) -> list[tuple[int, int]]:
-        """(band, blocks) for a set of n: its own band to that of its largest partner, but those of equal sets only."""
+        """(band, d, blocks) for a set of n: its own band to that of its largest partner, but those of equal sets only."""
         largest = n * self.den // self.num
         while self.tops[-1] < largest:
             self.tops.append(max(self.tops[-1] + 1, self.tops[-1] * 13 // 10))
         first, last = (int(np.searchsorted(self.tops, x)) for x in (n, largest))
-        return [(j, d + 1) for j in range(first, last + 1) if (d := self.difference(2 * self.tops[j]))]
+        return [(j, d, self.blocks(j, d)) for j in range(first, last + 1) if (d := self.difference(2 * self.tops[j]))]
 
 
-def block_keys(shingles: np.ndarray, bands: Bands, under: int = 0, first_arrangement: int = 0) -> np.ndarray:
-    """The join keys of a set. under: a key within which they hold."""
+def block_keys(shingles: np.ndarray, bands: Bands, first_arrangement: int = 0) -> np.ndarray:
+    """The join keys of a set."""
     out = []
-    for band, k in bands.entries(len(shingles)):
+    for band, d, k in bands.entries(len(shingles)):
         for a in range(first_arrangement, first_arrangement + ARRANGEMENTS):
             # blocks are ranges of the (rearranged) hashes, so sorting them puts each block together
             s = shingles if a == 0 else np.sort(mix(shingles + _U(a * 0x632BE59BD9B4E019 % 2**64)))
@@ -106,17 +115,17 @@ def block_keys(shingles: np.ndarray, bands: Bands, under: int = 0, first_arrange
             sizes = np.diff(np.append(edges, len(s)))
             full = sizes > 0
             xor = np.bitwise_xor.reduceat(mix(s ^ _U(0x5851F42D4C957F2D)), edges[full])
-            salt = mix(np.array([((under * 31 + band) * 31 + a) % 2**64], _U)) + np.flatnonzero(full).astype(_U)
+            salt = mix(np.array([(band * 31 + a) % 2**64], _U)) + np.flatnonzero(full).astype(_U)
             out.append(mix(xor ^ mix(salt)))
-            if full.all():
+            if k - full.sum() < k - d:
                 break
         else:
-            out.append(mix(shingles ^ _U((band + 1) * 0x2545F4914F6CDD1D % 2**64) ^ _U(under)))
+            out.append(mix(shingles ^ _U((band + 1) * 0x2545F4914F6CDD1D % 2**64)))
     return np.concatenate(out) if out else np.empty(0, _U)
 
 
-def parity(shingles: np.ndarray) -> bytes:
-    bits = np.bincount((mix(shingles + _U(7)) % _U(BITS)).astype(np.int64), minlength=BITS) & 1
+def parity(shingles: np.ndarray, size: int = BITS) -> bytes:
+    bits = np.bincount((mix(shingles + _U(7)) % _U(size)).astype(np.int64), minlength=size) & 1
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
@@ -125,22 +134,30 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def sketches(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """(doc_id, n, set_id, parity, keys). set_id stands for the set: equal sets have equal ones, 0 is the empty set."""
+    """(doc_id, n, set_id, parity, keys). set_id stands for the set: equal sets have equal ones, 0 is the empty set.
+
+    Of equal sets that one task meets, the first has the parity and the keys, so copies are reduced before the shuffle.
+    """
     small_batches(docs.sparkSession)
     src = docs.select("doc_id", "text")
+    schema = f"doc_id {src.schema['doc_id'].dataType.simpleString()}, n long, set_id long, parity binary, keys array<long>"
+    arrow = arrow_schema(docs.sparkSession, schema)
 
-    def run(batch: pa.RecordBatch) -> dict:
-        bands = Bands(num, den)
-        out: dict[str, list] = {"n": [], "set_id": [], "parity": [], "keys": []}
-        for text in texts_of(batch, "text"):
-            s = shingle_set(text, words)
-            out["n"].append(len(s))
-            out["set_id"].append(set_id(s))
-            out["parity"].append(parity(s))
-            out["keys"].append(block_keys(s, bands).view(np.int64))
-        return {"doc_id": batch.column(0)} | out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands, seen = Bands(num, den), set()
+        for b in batches:
+            rows = []
+            for text in texts_of(b, "text"):
+                s = shingle_set(text, words)
+                c = set_id(s)
+                new = c not in seen
+                seen.add(c)
+                rows.append((len(s), c, parity(s) if new else None, block_keys(s, bands).view(np.int64) if new else None))
+            if rows:
+                columns = [b.column(0), *(pa.array(list(x), f.type) for x, f in zip(zip(*rows, strict=True), list(arrow)[1:], strict=True))]
+                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
-    return map_batches(src, run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, n long, set_id long, parity binary, keys array<long>")
+    return src.mapInArrow(run, schema)
 
 
 def set_id(s: np.ndarray) -> int:
@@ -150,8 +167,8 @@ def set_id(s: np.ndarray) -> int:
 def groups_under_keys(keyed: DataFrame) -> DataFrame:
     """keyed (key, set_id) → (key, set_id, least) of the keys with two classes or more; least: the least class there.
 
-    Equal rows are dropped before and after the shuffle; then a sorted pass sees one key after the other and holds one
-    row of it, so that a key of any number of classes fits.
+    A sorted pass sees one key after the other and holds one row of it, so that a key of any number of classes fits;
+    equal rows are passed over.
     """
     arrow = arrow_schema(keyed.sparkSession, "key long, set_id long, least long")
 
@@ -222,9 +239,9 @@ def verified(pairs: DataFrame, sets: DataFrame, slim: DataFrame, num: int, den:
 def links(found: DataFrame, docs: DataFrame, scratch: Scratch, words: int, num: int, den: int) -> DataFrame:
     """(node, root) of the set classes that link, from sketches()."""
     spark = docs.sparkSession
-    under = scratch.keep(groups_under_keys(found.select(F.explode("keys").alias("key"), "set_id").distinct()))
+    under = scratch.keep(groups_under_keys(found.select(F.explode("keys").alias("key"), "set_id")))
     scratch.release()
-    classes = found.filter("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.any_value("n").alias("n"), F.any_value("parity").alias("parity"))
+    classes = found.filter("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.any_value("n").alias("n"), F.max("parity").alias("parity"))
     slim = scratch.keep(under.select("set_id").distinct().join(classes, "set_id"))
     kind = arrow_schema(spark, "set_id long, shingles binary")
 
@@ -253,9 +270,12 @@ def links(found: DataFrame, docs: DataFrame, scratch: Scratch, words: int, num:
         roots = scratch.keep(components(edges, scratch))
         scratch.release()
 
-    def unsettled(under: DataFrame) -> DataFrame:
+    def rooted(rows: DataFrame) -> DataFrame:
+        return rows.join(roots.toDF("set_id", "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+
+    def unsettled(rows: DataFrame) -> DataFrame:
         """(key, set_id, root, many): rows of the keys whose classes are in more than one component."""
-        rows = under.select("key", "set_id").join(roots.toDF("set_id", "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+        rows = rooted(rows.select("key", "set_id"))
         open_keys = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi")
         return rows.join(open_keys.select("key", (F.col("size") > FEW).alias("many")), "key")
 
@@ -263,33 +283,87 @@ def links(found: DataFrame, docs: DataFrame, scratch: Scratch, words: int, num:
         x, y = rows.select("key", F.col("set_id").alias("a"), F.col("root").alias("ra")), rows.select("key", F.col("set_id").alias("b"), F.col("root").alias("rb"))
         return x.join(y, "key").filter("a < b and ra <> rb").select("a", "b")
 
-    for depth in range(1, 5):
+    def to_another(rows: DataFrame) -> DataFrame:
+        """Each class with one class of its key that stands for it by chance, if they are in different components."""
+        chosen = rows.groupBy("key").agg(F.min_by(F.struct("set_id", "root"), F.xxhash64("key", "set_id")).alias("c"))
+        x = rows.join(chosen, "key").filter(F.col("root") != F.col("c.root"))
+        return x.select(F.least("set_id", "c.set_id").alias("a"), F.greatest("set_id", "c.set_id").alias("b"))
+
+    for arrangement in (1, 2):
         settle(under.filter("set_id <> least").select(F.col("least").alias("a"), F.col("set_id").alias("b")))
         rest = scratch.keep(unsettled(under))
-        few = rest.filter("not many")
-        if few.isEmpty() and rest.isEmpty():
-            return roots
-        settle(across(few))
-        rest = scratch.keep(unsettled(rest.filter("many").select("key", "set_id")))
+        settle(across(rest.filter("not many")).union(to_another(rest.filter("many"))))
+        rest = scratch.keep(unsettled(rest.filter("many")))
         if rest.isEmpty():
             return roots
-        under = scratch.keep(groups_under_keys(anew(rest.select("key", "set_id"), sets, num, den, depth).distinct()))
-    settle(across(unsettled(under)))
+        if arrangement == 1:  # similar sets share a key in any arrangement: the classes left over enter another one
+            under = scratch.keep(groups_under_keys(anew(rest.select("set_id").distinct(), sets, num, den)))
+    # what still shares keys with many is alike; it is compared in blocks, by long parity sketches
+    clusters = components(rest.groupBy("key").agg(F.min("set_id").alias("a")).join(rest.select("key", F.col("set_id").alias("b")), "key").select("a", "b"), scratch)
+    settle(close_pairs(rooted(clusters.toDF("set_id", "cluster")).join(sets, "set_id"), num, den))
     return roots
 
 
-def anew(rows: DataFrame, sets: DataFrame, num: int, den: int, depth: int) -> DataFrame:
-    """(key, set_id) of further arrangements, each within the key that brought the classes together."""
+def anew(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(key, set_id) of sets in another arrangement."""
     arrow = arrow_schema(rows.sparkSession, "key long, set_id long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(num, den)
         for b in batches:
-            for key, c, s in zip(*(b.column(i) for i in range(3)), strict=True):
-                k = block_keys(np.frombuffer(s.as_buffer(), _U), bands, key.as_py() % 2**64, ARRANGEMENTS * depth)
+            for c, s in zip(b.column(0), b.column(1), strict=True):
+                k = block_keys(np.frombuffer(s.as_buffer(), _U), bands, ARRANGEMENTS)
                 yield pa.RecordBatch.from_arrays([_signed(k), pa.array(np.full(len(k), c.as_py()))], schema=arrow)
 
-    return rows.join(sets, "set_id").select("key", "set_id", "shingles").mapInArrow(run, "key long, set_id long")
+    return rows.join(sets, "set_id").select("set_id", "shingles").mapInArrow(run, "key long, set_id long")
+
+
+def close_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) of rows (cluster, set_id, root, shingles) of one cluster and different roots whose long parity sketches
+    do not rule out that they are similar. A cluster is dealt in blocks, and a pair of blocks is held at a time."""
+    spark = rows.sparkSession
+    long_sketch = "set_id long, root long, n long, sketch binary"
+    arrow = arrow_schema(spark, f"cluster long, {long_sketch}")
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            s = [np.frombuffer(x.as_buffer(), _U) for x in b.column(3)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([len(x) for x in s], pa.int64()), pa.array([parity(x, LONG_BITS) for x in s], pa.binary())], schema=arrow)
+
+    x = rows.select("cluster", "set_id", "root", "shingles").mapInArrow(sketch, f"cluster long, {long_sketch}")
+    blocks = rows.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    x = x.join(blocks, "cluster").withColumn("mine", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
+    each = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(F.col("mine"), o).alias("i"), F.greatest(F.col("mine"), o).alias("j")))
+    x = x.withColumn("p", F.explode(each)).select(F.xxhash64("cluster", "p.i", "p.j").alias("unit"), (F.col("p.i") == F.col("p.j")).alias("same"), "mine", "set_id", "root", "n", "sketch")
+    pair = arrow_schema(spark, "a long, b long")
+
+    def compare(rows: list[dict]) -> pa.RecordBatch:
+        of = {k: np.array([r[k] for r in rows]) for k in ("set_id", "root", "n", "mine")}
+        bits = np.frombuffer(b"".join(r["sketch"] for r in rows), np.uint64).reshape(len(rows), -1)
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for i in range(len(rows) - 1):
+            j = slice(i + 1, None)
+            apart = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
+            near = (apart * (den + num) <= (den - num) * (of["n"][j] + of["n"][i])) & (of["root"][j] != of["root"][i])
+            if not rows[0]["same"]:
+                near &= of["mine"][j] != of["mine"][i]
+            other = of["set_id"][j][near]
+            a.append(np.minimum(other, of["set_id"][i]))
+            b.append(np.maximum(other, of["set_id"][i]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], schema=pair)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        for batch in batches:
+            for r in batch.to_pylist():
+                if held and held[0]["unit"] != r["unit"]:
+                    yield compare(held)
+                    held = []
+                held.append(r)
+        if held:
+            yield compare(held)
+
+    return x.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -297,8 +371,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     their sets of `words`-word shingles; component_id is the least doc_id that links reach."""
     scratch = Scratch(docs.sparkSession, "ngram")
     docs = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    found = scratch.keep(sketches(docs, words, num, den))
-    roots = links(found.select("doc_id", "n", "set_id", "parity", "keys"), docs, scratch, words, num, den)
+    sketched = scratch.keep(sketches(docs, words, num, den))
+    found = scratch.keep(sketched.select("doc_id", "n", "set_id"))
+    roots = links(sketched, docs, scratch, words, num, den)
+    scratch.drop(sketched)
     classes = found.filter("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"))
     joined = scratch.keep(classes.join(roots.toDF("set_id", "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id")))
     least = joined.groupBy("root").agg(F.min("rep").alias("component_id"))
