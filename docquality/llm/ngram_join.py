@@ -43,7 +43,7 @@ BITS, LONG_BITS = 512, 4096
 BLOCK = 512
 ARRANGEMENTS = 5
 #: Classes under one key of which all pairs between components are compared at once; beyond, the key is arranged anew.
-FEW = 48
+FEW = 24
 REMEMBERED = 500_000
 _U = np.uint64
 
@@ -225,7 +225,7 @@ def verified(pairs: DataFrame, sets: DataFrame, slim: DataFrame, num: int, den:
         return {n: c[n].filter(keep) for n in ("a", "b")}
 
     close = map_batches(p.select("a", "b", "na", "nb", "pa", "pb"), near, "a long, b long")
-    full = close.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    full = close.join(sets.toDF("a", "x").hint("merge"), "a").join(sets.toDF("b", "y").hint("merge"), "b")
 
     def exact(batch: pa.RecordBatch) -> dict:
         c = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
@@ -250,7 +250,8 @@ def links(found: DataFrame, docs: DataFrame, scratch: Scratch, words: int, num:
             s = [shingle_set(x, words) for x in texts_of(b, "text")]
             yield pa.RecordBatch.from_arrays([pa.array([set_id(x) for x in s], pa.int64()), pa.array([x.tobytes() for x in s], pa.binary())], schema=kind)
 
-    texts = docs.select("doc_id", "text").join(slim.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    # texts and sets are always brought together by a shuffle, so that the plan is the same at every size
+    texts = docs.select("doc_id", "text").hint("merge").join(slim.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     sets = scratch.keep(texts.mapInArrow(to_sets, "set_id long, shingles binary").dropDuplicates(["set_id"]))
     scratch.release()
 
