@@ -1,11 +1,12 @@
 """Language ID by a bidirectional gated recurrent network over bytes.
 
-The network reads a word byte by byte in both directions and gives each byte position a probability for every language;
+The network reads a piece of a word byte by byte in both directions and gives each byte position a probability for every language;
 a document's probabilities are pooled over all positions of all its words (the mean of their logarithms). It is trained
 in numpy by backpropagation through time, on words of a bounded sample of labelled documents.
 
-A word's positions are labelled alike wherever the word stands, so each worker remembers the pooled result of a bounded
-number of words and runs the network on new ones only, batched by length. Long words are read in pieces.
+A word is read in pieces of a few bytes, with a blank at its ends. A piece's positions are labelled alike wherever it
+stands, so each worker remembers the pooled results of a bounded number of pieces and words, and runs the network on
+new pieces only, batched by length.
 
 Defined results: `und` with score 0 for null texts, texts without a letter, and where there was nothing to learn from.
 Words without a letter count nowhere. Rows are judged alone, so repeated rows get equal results.
@@ -25,9 +26,10 @@ from .common import documents, map_batches, small_batches, texts_of
 
 #: Training documents, at most (in expectation), and words of each.
 SAMPLE_DOCS, SAMPLE_WORDS = 2500, 30
-#: Code points of a word that are read in one piece.
-PIECE = 24
-REMEMBERED = 400_000
+#: Bytes of a word that are read in one piece, and code points of the longest word that is remembered.
+PIECE, LONG = 6, 96
+#: Words, and pieces, that a worker remembers.
+REMEMBERED = 600_000
 HIDDEN = 16
 UNKNOWN = "und"
 
@@ -147,47 +149,69 @@ def train(words: list[bytes], labels: np.ndarray, languages: int, hidden: int =
 
 def pieces(word: str) -> list[bytes]:
     """A word's bytes between blanks, in pieces; none if it has no letter."""
-    if not any(map(str.isalpha, word)):
+    if not (word.isalpha() or any(map(str.isalpha, word))):
         return []
-    return [b" " + word[i : i + PIECE].lower().encode("utf-8", "surrogatepass") + b" " for i in range(0, len(word), PIECE)]
+    raw = f" {word.lower()} ".encode("utf-8", "surrogatepass")
+    return [raw[i : i + PIECE] for i in range(0, len(raw), PIECE)]
+
+
+class Sums:
+    """Vectors by name, in one growing array."""
+
+    def __init__(self, width: int):
+        self.places: dict = {}
+        self.rows = np.zeros((4096, width), np.float32)
+
+    def add(self, names: list, rows: np.ndarray) -> None:
+        start = len(self.places)
+        while len(self.rows) < start + len(names):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        self.rows[start : start + len(names)] = rows
+        self.places.update(zip(names, range(start, start + len(names)), strict=True))
+
+    def at(self, names: list) -> np.ndarray:
+        return np.fromiter(map(self.places.__getitem__, names), np.int64, len(names))
 
 
 class Reader:
-    """Pools labels of positions, and remembers those of words."""
+    """Pools labels of positions: of pieces by the network, of words and texts by sums. It remembers pieces and words."""
 
     def __init__(self, weights: dict[str, np.ndarray]):
-        self.net, self.languages = Network(weights), len(weights["b"])
-        self.places: dict[str, int] = {}
-        self.sums = np.zeros((1024, self.languages + 1))
+        self.net, self.width = Network(weights), len(weights["b"]) + 1
+        self.pieces, self.words = Sums(self.width), Sums(self.width)
+
+    def learn_pieces(self, new: list[bytes]) -> None:
+        """Sums of log-probabilities over a piece's positions, and the number of positions."""
+        for n, at in by_length(new).items():
+            for part in np.array_split(at, -(-len(at) // 8192)):
+                got = self.net.log_probabilities(as_bytes(new, part)).sum(1)
+                self.pieces.add([new[i] for i in part], np.concatenate([got, np.full((len(part), 1), n)], 1))
 
     def learn(self, new: list[str]) -> None:
-        """Sums of log-probabilities over a word's positions, and the number of positions."""
         cut = [pieces(w) for w in new]
-        flat, owner = [p for c in cut for p in c], np.repeat(np.arange(len(new)), [len(c) for c in cut])
-        sums = np.zeros((len(new), self.languages + 1))
-        for n, at in by_length(flat).items():
-            for part in np.array_split(at, -(-len(at) // 4096)):
-                got = self.net.log_probabilities(as_bytes(flat, part)).sum(1)
-                np.add.at(sums, owner[part], np.concatenate([got, np.full((len(part), 1), n)], 1))
-        start = len(self.places)
-        while len(self.sums) < start + len(new):
-            self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
-        self.sums[start : start + len(new)] = sums
-        self.places.update(zip(new, range(start, start + len(new)), strict=True))
+        flat = [p for c in cut for p in c]
+        needed = set(flat)
+        if len(self.pieces.places) + len(needed) > REMEMBERED:
+            self.pieces = Sums(self.width)
+        self.learn_pieces(list(needed.difference(self.pieces.places)))
+        ends = np.cumsum([len(c) for c in cut])
+        total = np.concatenate([np.zeros((1, self.width)), np.cumsum(self.pieces.rows[self.pieces.at(flat)], axis=0, dtype=np.float64)])
+        self.words.add(new, total[ends] - total[np.concatenate([[0], ends[:-1]])])
 
     def read(self, texts: list[str]) -> np.ndarray:
         """(texts, languages + 1): sums over all positions, and their number."""
-        if len(self.places) > REMEMBERED:
-            self.places, self.sums = {}, np.zeros((1024, self.languages + 1))
-        out = np.zeros((len(texts), self.languages + 1))
-        for i, text in enumerate(texts):
-            words = text.split()
-            if words and max(map(len, words)) > 4 * PIECE:  # too long to remember
-                words = [w[k : k + PIECE] for w in words for k in range(0, len(w), PIECE)]
-            if new := [w for w in set(words) if w not in self.places]:
-                self.learn(new)
-            if words:
-                out[i] = self.sums[np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))].sum(0)
+        words = [t.split() for t in texts]
+        for i, w in enumerate(words):
+            if w and len(max(w, key=len)) > LONG:  # too long to remember
+                words[i] = [x[k : k + LONG] for x in w for k in range(0, len(x), LONG)]
+        if len(self.words.places) > REMEMBERED:
+            self.words = Sums(self.width)
+        if new := list(set().union(*words).difference(self.words.places)):
+            self.learn(new)
+        out = np.zeros((len(texts), self.width))
+        for i, w in enumerate(words):
+            if w:
+                out[i] = self.words.rows[self.words.at(w)].sum(0, dtype=np.float64)
         return out
 
 
@@ -211,7 +235,7 @@ def sampled_words(docs: DataFrame, eligible: Column, sample_docs: int, sample_wo
 
     def some(batch: pa.RecordBatch) -> dict:
         words = [x.split() for x in texts_of(batch, "text")]
-        return {"lang": batch.column(0), "words": [[w[i][: 4 * PIECE] for i in np.unique(np.linspace(0, len(w) - 1, min(len(w), sample_words)).astype(int))] if w else [] for w in words]}
+        return {"lang": batch.column(0), "words": [[w[i][:LONG] for i in np.unique(np.linspace(0, len(w) - 1, min(len(w), sample_words)).astype(int))] if w else [] for w in words]}
 
     return map_batches(part.select("lang", "text"), some, "lang string, words array<string>").collect()
 
