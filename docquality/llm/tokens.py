@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import documents, small_batches, texts_of
+from .common import Scratch, documents, small_batches, texts_of
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Chunks remembered by one Python worker, some 150 bytes each.
@@ -98,7 +98,7 @@ def length_histogram(docs: DataFrame, text_col: str = "text", vocabulary: str |
     return counts.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
 
 
-def context_table(histogram: DataFrame, block: int = 1024) -> DataFrame:
+def context_table(histogram: DataFrame, block: int = 64) -> DataFrame:
     """For every occurring length, taken as a context limit: documents and tokens at, up to and beyond it, the tokens
     left after truncation to it, and the share of documents that fit (their quantile).
 
@@ -128,4 +128,4 @@ def totals_at(histogram: DataFrame, limits: list[int]) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return context_table(length_histogram(documents(spark, sf_dir, "text")))
+    return context_table(Scratch(spark, "lengths").keep(length_histogram(documents(spark, sf_dir, "text"))))
