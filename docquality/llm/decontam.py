@@ -3,8 +3,8 @@
 A seed is a fixed mask over SPAN words: the words at its open positions are hashed, the others are ignored. Hashes of
 benchmark items are joined with those of every window of every document, for several masks, so that a window with a
 few words replaced still meets its item under one of them. Each hit names a diagonal (place in the document minus
-place in the item). Along it the words are compared, and the stretch with the best balance of equal and replaced words
-is taken; it counts if it is long enough (or as long as a short item) and enough of its words are equal.
+place in the item). Along it the words are compared, and the longest stretch with enough equal words is taken; it
+counts if it is long enough (or as long as a short item). Replaced words may be at any place of it.
 
 Words are runs of a-z, 0-9 and characters beyond ASCII, with A-Z in lower case, so punctuation and case do not matter.
 Items shorter than a seed are looked for whole; items of fewer than `least_item` words, null and empty ones never match.
@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -112,23 +113,37 @@ class Index:
             item = self.items[k]
             a, b = max(0, -d), min(len(item), len(h) - d)
             equal = item[a:b] == h[a + d : b + d]
-            if (best := stretch(equal, identity)) is None:
+            if (best := stretch(equal, identity, min(least, len(item)))) is None:
                 continue
             s, e = best
             n, same = e - s, int(equal[s:e].sum())
-            if n >= min(least, len(item)) and same >= identity * n and (k not in out or same > out[k][0]):
+            if k not in out or same > out[k][0]:
                 out[k] = (same, n, a + s + d, a + s)
         return out
 
 
-def stretch(equal: np.ndarray, identity: float) -> tuple[int, int] | None:
-    """The stretch with the largest sum, when a replaced word costs what keeps the wanted share of equal ones."""
-    if not equal.any():
+def stretch(equal: np.ndarray, identity: float, least: int) -> tuple[int, int] | None:
+    """The longest stretch of `least` words or more that has the wanted share of equal ones, the first of that length.
+
+    A stretch has the share if its sum is not negative, when a replaced word costs what the equal ones of that share
+    gain; sums are of whole numbers. For each end the furthest start is the first with a sum that is not above the
+    end's. Replaced words at the ends are left out as far as `least` words remain.
+    """
+    share = Fraction(str(identity))
+    if len(equal) < least or int(equal.sum()) < share * least:
+        return None
+    total = np.concatenate([[0], np.cumsum(np.where(equal, share.denominator - share.numerator, -share.numerator))])
+    start = np.searchsorted(-np.minimum.accumulate(total), -total)
+    length = np.arange(len(total)) - start
+    end = int(length.argmax())
+    first = int(start[end])
+    if end - first < least:
         return None
-    total = np.concatenate([[0.0], np.cumsum(np.where(equal, 1 - identity, -identity) + 1e-9)])
-    gain = total - np.minimum.accumulate(total)
-    end = int(gain.argmax())
-    return int(total[: end + 1].argmin()), end
+    while end - first > least and not equal[end - 1]:
+        end -= 1
+    while end - first > least and not equal[first]:
+        first += 1
+    return first, end
 
 
 def parts(benchmark: DataFrame, part_words: int) -> Iterator[list]:

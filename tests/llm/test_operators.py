@@ -264,6 +264,23 @@ def test_decontamination(spark):
     assert decontam.contaminated(docs(spark, texts), bench.limit(0)).count() == 0
 
 
+def longest_by_brute_force(equal, least):
+    return max((e - s for s in range(len(equal)) for e in range(s + least, len(equal) + 1) if 5 * sum(equal[s:e]) >= 4 * (e - s)), default=None)
+
+
+def test_stretch_by_brute_force():
+    rng = random.Random(10)
+    assert decontam.stretch(np.array([True] * 12 + [False] + [True] * 3), 0.8, 13) == (0, 16)
+    for _ in range(3000):
+        equal = np.array([rng.random() < rng.choice([0.5, 0.8, 0.9]) for _ in range(rng.randrange(45))], bool)
+        least = rng.choice([6, 12, 13])
+        got, want = decontam.stretch(equal, 0.8, least), longest_by_brute_force(equal.tolist(), least)
+        assert (got is None) == (want is None)
+        if got:
+            s, e = got
+            assert least <= e - s <= want and 5 * equal[s:e].sum() >= 4 * (e - s)
+
+
 def labelled(spark, n=240):
     rng = random.Random(8)
     lang = {"de": "und der die das schön über straße nicht", "en": "the and with thing over where there is", "fr": "être où très cette nous avec était là"}
