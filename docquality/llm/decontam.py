@@ -1,13 +1,14 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-A seed is a fixed mask over SPAN words: the words at its open positions are hashed, the others are ignored. Hashes of
-benchmark items are joined with those of every window of every document, for several masks, so that a window with a
-few words replaced still meets its item under one of them. Each hit names a diagonal (place in the document minus
+A seed is a fixed mask over some words: the words at its open positions are hashed, the others are ignored. Hashes of
+benchmark items are joined with those of every window of every document, for several masks, so that every overlap that
+the rule allows meets its item under one of them: no choice of replaced words is missed. Each hit names a diagonal (place in the document minus
 place in the item). Along it the words are compared, and the longest stretch with enough equal words is taken; it
 counts if it is long enough (or as long as a short item). Replaced words may be at any place of it.
 
 Words are runs of a-z, 0-9 and characters beyond ASCII, with A-Z in lower case, so punctuation and case do not matter.
-Items shorter than a seed are looked for whole; items of fewer than `least_item` words, null and empty ones never match.
+Items shorter than `least` words are looked for whole, by masks of their own, with the same share of words replaced;
+items of fewer than `least_item` words, null and empty ones never match.
 Null and empty documents match nothing. Documents are judged alone, so repeated rows get equal results.
 
 The items are dealt into parts of a bounded number of words; one part at a time is sent to all tasks, and every task
@@ -16,6 +17,7 @@ looks its own documents up in it. Documents are not shuffled, and the number of
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections import defaultdict
 from collections.abc import Iterator
@@ -30,9 +32,12 @@ from pyspark.sql import functions as F
 from .common import arrow_schema, documents, small_batches, table, texts_of
 from .licenses import words_of
 
-# Spaced seeds of 12 words with 7 open positions each.
-SEEDS = ("110100110101", "101011001011", "111001010011", "100110101101")
-SPAN = 12
+# Spaced seeds with 7 open positions each. One of them has a hit in every overlap of 13 words or more of
+# which 80 % are equal, wherever the replaced words are; found by search and held to that by a test.
+SEEDS = ("101110111", "11100101011", "1111010000011", "110101111", "1001000101111", "1111001011")
+SEEDS_LEAST, SEEDS_IDENTITY = 13, "0.8"
+#: Pairs of equal windows that are unfolded at once.
+HITS_AT_ONCE = 1_000_000
 #: Words of benchmark items that are sent to the tasks at once, about.
 PART_WORDS = 1_000_000
 REMEMBERED = 500_000
@@ -72,53 +77,98 @@ def windows(h: np.ndarray, at: list[int], span: int) -> np.ndarray:
     return out * _U(0xD6E8FEB86659FD93)
 
 
+def replaced(n: int, identity: float) -> int:
+    """How many of n words may be replaced."""
+    return n - math.ceil(Fraction(str(identity)) * n)
+
+
+def long_seeds(least: int, identity: float) -> tuple[str, ...]:
+    """Masks of which one has a hit in every allowed overlap of `least` words or more.
+
+    An overlap of twice `least` words or more holds a shorter allowed one (one of its halves), so those below that
+    count. SEEDS do for their values and for stricter ones; else it is the longest run of equal words that all have.
+    """
+    if least >= SEEDS_LEAST and Fraction(str(identity)) >= Fraction(SEEDS_IDENTITY):
+        return SEEDS
+    runs = [-(-(n - replaced(n, identity)) // (replaced(n, identity) + 1)) for n in range(least, 2 * least)]
+    return ("1" * max(1, min(runs)),)
+
+
+def whole_seeds(n: int, identity: float) -> tuple[str, ...]:
+    """Masks over n words of which one has a hit if no more words are replaced than allowed: the words are dealt into
+    groups, two more than may be replaced, and each mask leaves out as many groups as may be replaced."""
+    r = min(replaced(n, identity), n - 1)
+    groups = min(r + 2, n) if r else 1
+    return tuple("".join("0" if i * groups // n in out else "1" for i in range(n)) for out in itertools.combinations(range(groups), r))
+
+
 class Index:
-    """The seeds of benchmark items: for each (span, open positions), sorted hashes with their item and place."""
+    """The seeds of benchmark items: for each mask, sorted hashes with their item and place."""
 
-    def __init__(self, items: list[np.ndarray], least_item: int):
-        self.items = items
-        shapes: dict[tuple[int, tuple[int, ...]], list[int]] = defaultdict(list)
+    def __init__(self, items: list[np.ndarray], least: int, identity: float, least_item: int):
+        self.items, self.least, self.identity = items, least, identity
+        shapes: dict[tuple[str, bool], list[int]] = defaultdict(list)
+        # items of which equally many words may be replaced share the masks of the shortest length, at their start
+        start = {r: n for n in range(least - 1, max(least_item, 1) - 1, -1) for r in [replaced(n, identity)]}
         for k, h in enumerate(items):
-            if len(h) >= SPAN:
-                for seed in SEEDS:
-                    shapes[SPAN, tuple(open_positions(seed))].append(k)
-            elif len(h) >= least_item:
-                shapes[len(h), tuple(range(len(h)))].append(k)
+            if len(h) >= least:
+                for seed in long_seeds(least, identity):
+                    shapes[seed, False].append(k)
+            elif len(h) >= max(least_item, 1):
+                for seed in whole_seeds(start[replaced(len(h), identity)], identity):
+                    shapes[seed, True].append(k)
         self.shapes = []
-        for (span, at), numbers in shapes.items():
-            hashes = [windows(items[k], list(at), span) for k in numbers]
+        for (seed, whole), numbers in shapes.items():
+            at = open_positions(seed)
+            hashes = [windows(items[k], at, len(seed))[: 1 if whole else None] for k in numbers]
             flat = np.concatenate(hashes)
             owner = np.repeat(numbers, [len(x) for x in hashes])
             place = np.concatenate([np.arange(len(x)) for x in hashes])
             order = np.argsort(flat, kind="stable")
             bloom = np.zeros(1 << BLOOM_BITS, bool)
             bloom[flat >> _U(64 - BLOOM_BITS)] = True
-            self.shapes.append((span, list(at), flat[order], owner[order], place[order], bloom))
-
-    def diagonals(self, h: np.ndarray) -> set[tuple[int, int]]:
-        """(item, place in the document minus place in the item) of all hits."""
-        out: set[tuple[int, int]] = set()
+            self.shapes.append((len(seed), at, flat[order], owner[order], place[order], bloom))
+
+    def diagonals(self, texts: list[np.ndarray]) -> Iterator[tuple[int, int, int]]:
+        """(text, item, place in the text minus place in the item) of all hits, in order. All texts are read at once."""
+        ends = np.cumsum([len(h) for h in texts])
+        flat, reach = np.concatenate([np.empty(0, _U), *texts]), int(max(map(len, self.items), default=0))
+        width = int(ends[-1] if len(ends) else 0) + reach + 1
+        found = [np.empty(0, np.int64)]
         for span, at, hashes, owner, place, bloom in self.shapes:
-            w = windows(h, at, span)
+            w = windows(flat, at, span)
             where = np.flatnonzero(bloom[w >> _U(64 - BLOOM_BITS)])
             lo, hi = (np.searchsorted(hashes, w[where], side=s) for s in ("left", "right"))
-            for i, a, b in zip(where[hi > lo], lo[hi > lo], hi[hi > lo], strict=True):
-                out.update((int(owner[k]), int(i - place[k])) for k in range(a, b))
-        return out
-
-    def overlaps(self, h: np.ndarray, least: int, identity: float) -> dict[int, tuple[int, int, int, int]]:
-        """item → (equal words, words, first word in the document, first word in the item) of its best overlap."""
-        out: dict[int, tuple[int, int, int, int]] = {}
-        for k, d in sorted(self.diagonals(h)):
-            item = self.items[k]
+            inside = (hi > lo) & (where + span <= ends[np.searchsorted(ends, where, side="right")])
+            where, lo, n = where[inside], lo[inside], (hi - lo)[inside]
+            total = np.cumsum(n)
+            a = 0
+            while a < len(n):
+                done = total[a - 1] if a else 0
+                b = max(a + 1, int(np.searchsorted(total, done + HITS_AT_ONCE, side="right")))
+                k = np.arange(total[b - 1] - done) + np.repeat(lo[a:b] - (total[a:b] - n[a:b] - done), n[a:b])
+                text = np.repeat(np.searchsorted(ends, where[a:b], side="right"), n[a:b])
+                found.append(np.unique((text * len(self.items) + owner[k]) * (2 * width) + np.repeat(where[a:b], n[a:b]) - place[k] + reach))
+                a = b
+        begins = ends - [len(h) for h in texts]
+        for x in np.unique(np.concatenate(found)).tolist():
+            pair, d = divmod(x, 2 * width)
+            text, item = divmod(pair, len(self.items))
+            yield text, item, d - reach - int(begins[text])
+
+    def overlaps(self, texts: list[np.ndarray]) -> list[dict[int, tuple[int, int, int, int]]]:
+        """For each text: item → (equal words, words, first word in the text, first word in the item) of its best overlap."""
+        out: list[dict[int, tuple[int, int, int, int]]] = [{} for _ in texts]
+        for t, k, d in self.diagonals(texts):
+            h, item, best_of = texts[t], self.items[k], out[t]
             a, b = max(0, -d), min(len(item), len(h) - d)
             equal = item[a:b] == h[a + d : b + d]
-            if (best := stretch(equal, identity, min(least, len(item)))) is None:
+            if (best := stretch(equal, self.identity, min(self.least, len(item)))) is None:
                 continue
             s, e = best
             n, same = e - s, int(equal[s:e].sum())
-            if k not in out or same > out[k][0]:
-                out[k] = (same, n, a + s + d, a + s)
+            if k not in best_of or same > best_of[k][0]:
+                best_of[k] = (same, n, a + s + d, a + s)
         return out
 
 
@@ -165,11 +215,11 @@ def hits_of(docs: DataFrame, items: list, least: int, identity: float, least_ite
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts = sent.value
-        index = Index([word_hashes(x) for x in texts], least_item)
+        index = Index([word_hashes(x) for x in texts], least, identity, least_item)
         for b in batches:
             at, found = [], []
-            for i, text in enumerate(texts_of(b, "text")):
-                for k, x in sorted(index.overlaps(word_hashes(text), least, identity).items()):
+            for i, overlaps in enumerate(index.overlaps([word_hashes(x) for x in texts_of(b, "text")])):
+                for k, x in sorted(overlaps.items()):
                     at.append(i)
                     found.append((ids[k], *x))
             if found:
@@ -182,7 +232,8 @@ def hits_of(docs: DataFrame, items: list, least: int, identity: float, least_ite
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 13, identity: float = 0.8, least_item: int = 6, part_words: int = PART_WORDS) -> DataFrame:
     """One row for each document and item that overlap: the best overlap's words and places (counted in words).
 
-    least: the fewest words of an overlap; a shorter item must be there whole. identity: the share of equal words.
+    least: the fewest words of an overlap; a shorter item must be there from its first word to
+    its last. identity: the share of equal words, of shorter items too.
     """
     small_batches(docs.sparkSession)
     docs = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
@@ -200,9 +251,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
         sent = docs.sparkSession.sparkContext.broadcast(sorted(r["text"] for r in items))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = Index([word_hashes(x) for x in sent.value], least_item)
+            index = Index([word_hashes(x) for x in sent.value], least, identity, least_item)
             for b in batches:
-                yield b.filter(pa.array([not index.overlaps(word_hashes(x), least, identity) for x in texts_of(b, text_col)], pa.bool_()))
+                yield b.filter(pa.array([not x for x in index.overlaps([word_hashes(x) for x in texts_of(b, text_col)])], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -281,6 +281,57 @@ def test_stretch_by_brute_force():
             assert least <= e - s <= want and 5 * equal[s:e].sum() >= 4 * (e - s)
 
 
+def hit(seed, equal):
+    return any(all(equal[s + i] for i in decontam.open_positions(seed)) for s in range(len(equal) - len(seed) + 1))
+
+
+def test_seeds_by_enumeration():
+    for n in (13, 15, 20, 25):  # the least lengths that allow 2 to 5 replaced words; 26 and more hold a shorter one
+        assert decontam.replaced(n, 0.8) == n // 5
+        masks = [sum(1 << i for i in decontam.open_positions(seed)) << s for seed in decontam.SEEDS for s in range(n - len(seed) + 1)]
+        gaps = np.array([sum(1 << i for i in c) for c in itertools.combinations(range(n), n // 5)])
+        assert np.any([gaps & m == 0 for m in masks], axis=0).all(), n
+    for identity, least in ((0.8, 13), (0.7, 9)):
+        for n in range(1, least):
+            for c in itertools.combinations(range(n), min(decontam.replaced(n, identity), n - 1)):
+                equal = [i not in c for i in range(n)]
+                assert any(hit(seed, equal) for seed in decontam.whole_seeds(n, identity)), (n, c)
+    assert decontam.long_seeds(13, 0.9) == decontam.SEEDS
+    for n in range(9, 18):
+        for c in itertools.combinations(range(n), decontam.replaced(n, 0.7)):
+            assert any(hit(seed, [i not in c for i in range(n)]) for seed in decontam.long_seeds(9, 0.7)), (n, c)
+
+
+@pytest.mark.parametrize(("least", "identity", "least_item"), [(13, 0.8, 6), (13, 0.9, 3), (8, 0.7, 5), (13, 1.0, 6)])
+def test_overlaps_by_brute_force(least, identity, least_item):
+    rng = random.Random(11)
+    for _ in range(12):
+        items = [words(rng, n) for n in (*range(15), 20, 25, 40)] + [["same"] * 14]
+        texts = [[], ["same"] * 30]
+        for _ in range(120):
+            item = rng.choice(items)
+            a = rng.randrange(len(item) + 1) if rng.random() < 0.5 else 0
+            part = [w if rng.random() < 0.83 else "other" for w in item[a : rng.randrange(a, len(item) + 1) if rng.random() < 0.3 else None]]
+            texts.append(words(rng, rng.randrange(6)) + part + words(rng, rng.randrange(6)))
+        want = []
+        for t in texts:
+            want.append(set())
+            for k, item in enumerate(items):
+                n = min(least, len(item))
+                for d in range(-len(item), len(t)):
+                    equal = [item[i] == t[i + d] for i in range(max(0, -d), min(len(item), len(t) - d))]
+                    runs = (equal[s:e] for s in range(len(equal)) for e in range(s + n, len(equal) + 1))
+                    if len(item) >= least_item and any(round(1000 * identity) * len(x) <= 1000 * sum(x) for x in runs):
+                        want[-1].add(k)
+        coded = lambda w: decontam.word_hashes(" ".join(w))
+        index = decontam.Index([coded(x) for x in items], least, identity, least_item)
+        got = index.overlaps([coded(t) for t in texts])
+        assert [set(x) for x in got] == want
+        for t, found in zip(texts, got, strict=True):
+            for k, (same, n, at, first) in found.items():
+                assert same == sum(x == y for x, y in zip(t[at : at + n], items[k][first : first + n], strict=True)) and n >= min(least, len(items[k]))
+
+
 def labelled(spark, n=240):
     rng = random.Random(8)
     lang = {"de": "und der die das schön über straße nicht", "en": "the and with thing over where there is", "fr": "être où très cette nous avec était là"}
