@@ -4,7 +4,9 @@ Four kinds of personal data have a fixed form (email, ip, card, phone) and are f
 seeds of the rest: every token with a digit is an instance, the words around it are patterns, and Spark scores the
 graph of the two in rounds. A pattern is trusted as far as the instances it holds are; an instance as far as its
 patterns are. Patterns that are trusted in the end, and were seen around enough different seeds, mark the other
-instances they hold as identifiers (kind `id`).
+instances they hold as identifiers (kind `id`). What the patterns of one round mark counts as a seed in the next, so
+identifiers teach patterns that no base kind was seen in. Tokens without a digit, and those of fewer than `shortest`
+code points, are never instances.
 
 The text is read once. What is shuffled are instances and patterns, counted per document before the shuffle. Null and
 empty texts have no spans. Repeated rows count once for the graph, since edges are distinct.
@@ -164,24 +166,28 @@ def trusted_patterns(edges: DataFrame, scratch: Scratch, rounds: int, smoothing:
     """edges: distinct (pattern, value, seed). Scores patterns and instances in turn; returns trusted (pattern, trust).
 
     A pattern's trust is the mean trust of its instances, held down by `smoothing` instances of no trust. An instance
-    is trusted as its best pattern is; seeds always are.
+    is trusted as its best pattern is; seeds always are. A pattern's seeds are its instances of the base kinds and, from
+    the second round on, those that a pattern good enough by the round before holds.
     """
+    enough = (F.col("trust") >= least) & (F.col("seeds") >= least_seeds)
     edges = scratch.keep(edges)
-    trust = edges.select("value", F.col("seed").cast("double").alias("trust")).groupBy("value").agg(F.max("trust").alias("trust"))
+    trust = edges.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("trust"), F.max("seed").alias("sure"))
     patterns = None
     for i in range(rounds):
-        scored = edges.join(trust, "value").groupBy("pattern").agg(F.sum("trust").alias("mass"), F.count(F.lit(1)).alias("n"), F.count_if("seed").alias("seeds"))
+        scored = edges.join(trust, "value").groupBy("pattern").agg(F.sum("trust").alias("mass"), F.count(F.lit(1)).alias("n"), F.count_if("sure").alias("seeds"))
         patterns = scratch.keep(scored.select("pattern", "seeds", (F.col("mass") / (F.col("n") + smoothing)).alias("trust")).filter("trust > 0"))
         if i + 1 < rounds:
-            found = edges.join(patterns.select("pattern", "trust"), "pattern", "left")
-            trust = found.groupBy("value").agg(F.max(F.when(F.col("seed"), 1.0).otherwise(F.coalesce("trust", F.lit(0.0)))).alias("trust"))
-    return patterns.filter((F.col("trust") >= least) & (F.col("seeds") >= least_seeds)).select("pattern", "trust")
+            found = edges.join(patterns, "pattern", "left")
+            sure = F.col("seed") | F.coalesce(enough, F.lit(False))
+            trust = found.groupBy("value").agg(F.max(F.when(F.col("seed"), 1.0).otherwise(F.coalesce("trust", F.lit(0.0)))).alias("trust"), F.max(sure).alias("sure"))
+    return patterns.filter(enough).select("pattern", "trust")
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3, smoothing: float = 2.0, least_trust: float = 0.5, least_seeds: int = 3, shortest: int = 6) -> DataFrame:
     """One row per document: base spans and identifiers found through context.
 
-    shortest: the fewest code points of an identifier. least_seeds: how many different seeds a pattern must have held.
+    shortest: the fewest code points of an identifier. least_seeds: how many different seeds a pattern must have held,
+    of the base kinds or marked in an earlier round.
     """
     scratch = Scratch(docs.sparkSession, "pii")
     found = scratch.keep(scan(docs, id_col, text_col, shortest))

@@ -166,6 +166,15 @@ def test_pii_digest_and_context(spark):
     assert pii.digest(pii.find_pii(docs(spark, ["x"]).limit(0))).count() == 0
 
 
+def test_identifiers_teach_patterns(spark):
+    texts = [f"write to user{i}@mail.example.com today" for i in range(20)] + [f"write to agent{i}4711x today" for i in range(10)]
+    texts += [f"badge holder agent{i}4711x enters" for i in range(10)] + ["badge holder zeta9988q enters", "some other zeta7788q here"]
+    got = {r["doc_id"]: r["n_id"] for r in pii.digest(pii.find_pii(docs(spark, texts))).collect()}
+    assert got == {i: int(20 <= i <= 40) for i in range(42)}  # 40 by a pattern that no base kind was seen in
+    one = {r["doc_id"]: r["n_id"] for r in pii.digest(pii.find_pii(docs(spark, texts), rounds=1)).collect()}
+    assert one == {i: int(20 <= i < 30) for i in range(42)}
+
+
 def test_licenses(spark):
     texts = ["Released under the MIT License.", "Licensed under the Apache License, Version 2.0", "MIT License mit-license", "See the GNU General Public License v3", *ODD, "CC BY-NC 4.0", "Permission is hereby granted, free of charge, to any person obtaining a copy"]
     got = {r["doc_id"]: r for r in licenses.license_scan(docs(spark, texts)).collect()}
