@@ -26,6 +26,10 @@ from .common import documents, map_batches, small_batches, texts_of
 
 #: Training documents, at most (in expectation), and words of each.
 SAMPLE_DOCS, SAMPLE_WORDS = 2500, 30
+#: Documents that a language is learned from at least, in expectation, if it has as many; a chance of 1e-13 to get none.
+LEAST_OF_LANGUAGE = 30
+#: Steps in which shares of a language are taken.
+FINE = 1 << 50
 #: Bytes of a word that are read in one piece, and code points of the longest word that is remembered.
 PIECE, LONG = 6, 96
 #: Words, and pieces, that a worker remembers.
@@ -227,11 +231,17 @@ def reader_of(mark: str, weights: dict[str, np.ndarray]) -> Reader:
 
 
 def sampled_words(docs: DataFrame, eligible: Column, sample_docs: int, sample_words: int) -> list:
-    """(lang, words) of a sample of the labelled documents that are eligible, evenly spread words of each."""
+    """(lang, words) of a sample of the labelled documents that are eligible, evenly spread words of each.
+
+    Every language gets an equal part of sample_docs, in expectation, and LEAST_OF_LANGUAGE documents if that is less;
+    one that has fewer is taken whole. So the languages that are learned do not depend on the size of the table.
+    """
     small_batches(docs.sparkSession)
-    src = docs.filter(eligible & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    share = min(1.0, sample_docs / max(1, src.count()))
-    part = src.filter(F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1_000_000)) < round(share * 1_000_000))
+    src = docs.filter(eligible & F.col("lang").isNotNull() & F.col("text").rlike(r"[^\x00-\x20]"))
+    sizes = src.groupBy("lang").count().collect()
+    each = max(LEAST_OF_LANGUAGE, sample_docs / max(1, len(sizes)))
+    parts = docs.sparkSession.createDataFrame([(r["lang"], round(min(1.0, each / r["count"]) * FINE)) for r in sizes], "l string, part long")
+    part = src.join(F.broadcast(parts), F.col("lang") == F.col("l")).filter(F.pmod(F.xxhash64("doc_id", "lang"), F.lit(FINE)) < F.col("part"))
 
     def some(batch: pa.RecordBatch) -> dict:
         words = [x.split() for x in texts_of(batch, "text")]

@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -365,6 +366,14 @@ def test_language_on_held_out_rows(spark):
     assert {r["lang_pred"] for r in none.collect()} == {"und"}
 
 
+def test_rare_languages_are_sampled(spark):
+    rows = spark.range(40_000).select(F.col("id").alias("doc_id"), F.lit("the and with thing").alias("text"), F.when(F.col("id") % 1000 == 7, "is").when(F.col("id") == 20_000, "eo").otherwise("en").alias("lang"))
+    rows = rows.union(spark.createDataFrame([(50_000, " ", "no"), (50_001, None, "no"), (50_002, "thing", None)], "doc_id long, text string, lang string"))
+    got = Counter(r["lang"] for r in language.sampled_words(rows, F.lit(True), 100, 5))
+    assert got["eo"] == 1 and 15 <= got["is"] <= 40 and 15 <= got["en"] <= 60 and len(got) == 3
+    assert language.sampled_words(rows.limit(0), F.lit(True), 100, 5) == []
+
+
 def test_gradients_of_the_network():
     rng = np.random.default_rng(1)
     net = language.Network.new(3, 4, rng)
