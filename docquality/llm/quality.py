@@ -11,8 +11,8 @@ Labelled words are those of a bounded sample of labelled documents; a word's log
 All documents count for the shares of their hosts and paths; groups are sums, whatever their size.
 
 Defined results: null and empty texts have no words and get the evidence of that; null hosts and paths are groups of
-their own; with no labels of both kinds the evidence is 0 and everything is kept. Rows with one id are judged one by
-one. An empty table gives no rows.
+their own; with no labels of both kinds, or fewer than LEAST_LABELS, the evidence is 0 and everything is kept. Rows with
+one id are judged one by one. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,6 +29,10 @@ from .common import Scratch, documents, map_batches, small_batches, table, texts
 
 #: Labelled documents that are learned from, at most (in expectation).
 SAMPLE_DOCS = 6000
+#: Labels that a head is learned from at least; with fewer in the whole table it keeps everything.
+LEAST_LABELS = 20
+#: Steps in which shares of a class are taken.
+FINE = 1 << 50
 BUCKETS = 1 << 17
 REMEMBERED = 500_000
 HEADS = ("quality", "toxic")
@@ -98,39 +102,48 @@ def word_evidence(odds: np.ndarray) -> list[float]:
     return [top[-1], top[-3:].mean(), top[0], top[:3].mean(), odds.mean() * 10]
 
 
-def word_log_odds(docs: list[np.ndarray], y: np.ndarray, prior: float = 4.0) -> np.ndarray:
-    """Of each bucket: the log-odds of its documents, with `prior` documents of the common share added."""
-    n, good, share = np.zeros(BUCKETS), np.zeros(BUCKETS), y.mean()
-    for d, label in zip(docs, y, strict=True):
-        n[d] += 1
-        good[d] += label
+def word_log_odds(docs: list[np.ndarray], y: np.ndarray, w: np.ndarray, prior: float = 4.0) -> np.ndarray:
+    """Of each bucket: the log-odds of its documents, with `prior` documents of the common share added. w: what each counts."""
+    n, good, share = np.zeros(BUCKETS), np.zeros(BUCKETS), y @ w / w.sum()
+    for d, label, weight in zip(docs, y, w, strict=True):
+        n[d] += weight
+        good[d] += weight * label
     p = (good + prior * share) / (n + prior)
     return np.log(p / (1 - p)) - math.log(share / (1 - share))
 
 
-def regression(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 30) -> np.ndarray:
-    """Logistic regression by Newton's method."""
+def regression(x: np.ndarray, y: np.ndarray, counts: np.ndarray, ridge: float = 1e-3, rounds: int = 30) -> np.ndarray:
+    """Logistic regression by Newton's method. counts: what each row counts, 1 on average."""
     x = np.concatenate([x, np.ones((len(x), 1))], 1)
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (p - y) / len(y) + ridge * w
-        h = (x * (p * (1 - p))[:, None]).T @ x / len(y) + ridge * np.eye(len(w))
+        g = x.T @ (counts * (p - y)) / len(y) + ridge * w
+        h = (x * (counts * p * (1 - p))[:, None]).T @ x / len(y) + ridge * np.eye(len(w))
         d = np.linalg.solve(h, g)
         w -= d * min(1.0, 5 / max(1e-9, np.abs(d).max()))
     return w
 
 
 def learn(rows: list) -> Model:
-    """rows: words (buckets), style, quality, toxic of the sample. Word log-odds for the regression come from the other
-    half of the sample, so that it learns what they are worth on documents that they were not counted on."""
+    """rows: words (buckets), style, quality, toxic, weight of the sample. Word log-odds for the regression come from the
+    other half of the sample, so that it learns what they are worth on documents that they were not counted on.
+
+    Weights (how many labelled documents a row stands for) hold within a class; between the classes of a head the sample
+    stays as it was drawn, and the intercept is corrected for that. A head with fewer than LEAST_LABELS rows, or with
+    one class only, is not learned.
+    """
     size = STYLE + 5
     words, weights, mean, scale = np.zeros((BUCKETS, 2)), np.zeros((2, size + 1)), np.zeros((2, size)), np.ones((2, size))
     for k, head in enumerate(HEADS):
         own = sorted(((r["id"], r) for r in rows if r[head] is not None), key=lambda x: x[0])
         y = np.array([float(r[head] > 0) for _, r in own])
-        if len(y) < 20 or y.min() == y.max():
+        if len(y) < LEAST_LABELS or y.min() == y.max():
             continue
+        w = np.array([r["weight"] for _, r in own])
+        share = y @ w / w.sum()
+        for label in (0.0, 1.0):
+            w[y == label] /= w[y == label].mean()
         docs = [np.array(r["words"], np.int64) for _, r in own]
         half = np.arange(len(y)) % 2 == 0
         x = np.zeros((len(y), size))
@@ -138,26 +151,41 @@ def learn(rows: list) -> Model:
             other = np.flatnonzero(~side)
             if y[other].min() == y[other].max():
                 continue
-            odds = word_log_odds([docs[i] for i in other], y[other])
+            odds = word_log_odds([docs[i] for i in other], y[other], w[other])
             for i in np.flatnonzero(side):
                 x[i] = [*own[i][1]["style"], *word_evidence(odds[docs[i]])]
         mean[k], scale[k] = x.mean(0), np.maximum(x.std(0), 1e-6)
-        weights[k] = regression((x - mean[k]) / scale[k], y)
-        words[:, k] = word_log_odds(docs, y)
+        weights[k] = regression((x - mean[k]) / scale[k], y, w)
+        weights[k, -1] += math.log(share / (1 - share)) - math.log(y.mean() / (1 - y.mean()))
+        words[:, k] = word_log_odds(docs, y, w)
     return Model(words, weights, mean, scale)
 
 
+def shares(sizes: dict[int, int], size: int) -> dict[int, float]:
+    """What share of each class to take, so that `size` rows in all are dealt evenly; small classes are taken whole."""
+    out = {}
+    for i, (k, n) in enumerate(sorted(sizes.items(), key=lambda x: (x[1], x[0]))):
+        take = min(n, size / (len(sizes) - i))
+        out[k] = take / n
+        size -= take
+    return out
+
+
 def sample(docs: DataFrame, labels: DataFrame, size: int) -> list:
-    """Words and style of a sample of the labelled documents."""
-    share = min(1.0, size / max(1, labels.count()))
-    some = labels.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < round(share * 1_000_000)).groupBy("doc_id").agg(*[F.max(h).alias(h) for h in HEADS])
-    joined = docs.select("doc_id", "text").join(some, "doc_id")
+    """Words, style and weight of a sample of the labelled documents, drawn from each class (of both heads) for itself."""
+    sign = lambda h: F.coalesce((F.col(h) > 0).cast("int"), F.lit(2))
+    known = labels.groupBy("doc_id").agg(*[F.max(h).alias(h) for h in HEADS]).filter(F.coalesce(*HEADS).isNotNull()).withColumn("class", 3 * sign("quality") + sign("toxic"))
+    share = F.lit(0.0)
+    for k, x in shares({r["class"]: r["count"] for r in known.groupBy("class").count().collect()}, size).items():
+        share = F.when(F.col("class") == k, x).otherwise(share)
+    some = known.withColumn("share", share).filter(F.pmod(F.xxhash64("doc_id"), F.lit(FINE)) < F.col("share") * FINE)
+    joined = docs.select("doc_id", "text").join(some.select("doc_id", *HEADS, F.try_divide(F.lit(1.0), "share").alias("weight")), "doc_id")
 
     def look(batch: pa.RecordBatch) -> dict:
         raw = [x.encode("utf-8", "surrogatepass") for x in texts_of(batch, "text")]
-        return {"id": batch.column(0), "words": [buckets(x) for x in raw], "style": [style(x) for x in raw], "quality": batch.column(2), "toxic": batch.column(3)}
+        return {"id": batch.column(0), "words": [buckets(x) for x in raw], "style": [style(x) for x in raw], "quality": batch.column(2), "toxic": batch.column(3), "weight": batch.column(4)}
 
-    return map_batches(joined.select("doc_id", "text", *[F.col(h).cast("int") for h in HEADS]), look, f"id {docs.schema['doc_id'].dataType.simpleString()}, words array<long>, style array<double>, quality int, toxic int").collect()
+    return map_batches(joined.select("doc_id", "text", *[F.col(h).cast("int") for h in HEADS], "weight"), look, f"id {docs.schema['doc_id'].dataType.simpleString()}, words array<long>, style array<double>, quality int, toxic int, weight double").collect()
 
 
 def logit(p: Column) -> Column:

@@ -414,6 +414,19 @@ def test_quality(spark):
     assert quality.classify(d.limit(0), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).count() == 0
 
 
+def test_rare_classes_are_sampled(spark):
+    rng = random.Random(12)
+    rows = [(i, " ".join(words(rng, 20)) + (" scoundrel" if i % 200 == 0 else ""), "h", "p") for i in range(8000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    labels = spark.range(8000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), (F.col("id") % 200 == 0).cast("int").alias("toxic"))
+    got = quality.sample(d, labels, 400)
+    toxic = [r["weight"] for r in got if r["toxic"]]
+    assert toxic == [1.0] * 40 and 300 <= len(got) <= 420 and 0.8 * 8000 <= sum(r["weight"] for r in got) <= 1.2 * 8000
+    dropped = {r["doc_id"] for r in quality.classify(d, labels, sample_docs=400).filter("not keep").collect()}
+    assert len(dropped & set(range(0, 8000, 200))) >= 36 and len(dropped) <= 50
+    assert quality.shares({1: 10, 2: 1000, 3: 50}, 210) == {1: 1.0, 3: 1.0, 2: 0.15}
+
+
 def test_sparse_groups_shrink(spark):
     even = spark.createDataFrame([(10.0, 5.0)] * 20, "n double, mass double")
     apart = spark.createDataFrame([(10.0, 0.5), (10.0, 9.5)] * 10, "n double, mass double")
