@@ -47,7 +47,7 @@ def pieces_of(docs: DataFrame, id_col: str, text_col: str, size: int, vocabulary
     arrow, end = arrow_schema(docs.sparkSession, schema), np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = encoder(vocabulary).ids
+        ids_of = encoder(vocabulary, added=True).ids
         for b in batches:
             at, rows = [], []
             for i, text in enumerate(texts_of(b, "text")):

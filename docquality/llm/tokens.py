@@ -38,12 +38,15 @@ def _letters() -> dict[str, int]:
 
 
 class Encoder:
-    """Ids of a vocabulary file of the `tokenizers` library, without special tokens: their strings are plain text."""
+    """Ids of a vocabulary file of the `tokenizers` library. added: whether the strings of its added tokens are read as
+    those tokens, as the library does unless encode_special_tokens is set; else they are plain text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        letters, special = _letters(), {x["content"] for x in spec.get("added_tokens", ())}
+        letters, special = _letters(), {x["content"]: x["id"] for x in spec.get("added_tokens", ())}
+        self.added = {k: np.array([i], dtype="<u4").tobytes() for k, i in special.items()} if added else {}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         ranks = {bytes(letters[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
         self.bpe = tiktoken.Encoding("docquality", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         encode = self.bpe.encode_ordinary
@@ -59,6 +62,11 @@ class Encoder:
 
     def ids(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
+        if self.cut is None or not any(x in text for x in self.added):
+            return self.plain(text)
+        return b"".join(self.added[x] if x in self.added else self.plain(x) for x in self.cut.split(text))
+
+    def plain(self, text: str) -> bytes:
         if _RUN.search(text):
             return np.array(self.bpe.encode_ordinary(text), dtype="<u4").tobytes()
         first, *rest = text.split(" ")
@@ -70,9 +78,9 @@ class Encoder:
 
 
 @functools.cache
-def encoder(path: str) -> Encoder:
+def encoder(path: str, added: bool = False) -> Encoder:
     """One for each Python worker."""
-    return Encoder(path)
+    return Encoder(path, added)
 
 
 def default_vocabulary() -> str:
@@ -89,7 +97,7 @@ def length_histogram(docs: DataFrame, text_col: str = "text", vocabulary: str |
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths: Counter[int] = Counter()
-        length = encoder(path).length
+        length = encoder(path, added=True).length
         for b in batches:
             lengths.update(map(length, texts_of(b, "text")))
         yield pa.RecordBatch.from_pydict({"n_tokens": pa.array(list(lengths), pa.int64()), "n_docs": pa.array(list(lengths.values()), pa.int64())})

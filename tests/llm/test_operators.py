@@ -214,6 +214,22 @@ def test_ids_are_those_of_the_library(tokenizer):
         assert np.frombuffer(enc.ids(t), "<u4").tolist() == e.ids, repr(t)
 
 
+def test_added_tokens_are_read_as_the_library_does(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokens.default_vocabulary())
+    rng = random.Random(13)
+    parts = ["hello", " world", "  ", "\n", " ", "é", "<|endoftext|>", "<|endoftext", "|>", "'s", "   x"]
+    texts = ["", "hello <|endoftext|> world", *("".join(rng.choice(parts) for _ in range(rng.randrange(1, 12))) for _ in range(300))]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    enc = tokens.encoder(tokens.default_vocabulary(), added=True)
+    assert [np.frombuffer(enc.ids(t), "<u4").tolist() for t in texts] == want
+    few = docs(spark, texts[:40])
+    assert {r["n_tokens"]: r["n_docs"] for r in tokens.length_histogram(few).collect()} == Counter(map(len, want[:40]))
+    packed = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in packing.pack(few, with_ids=True).collect()}
+    assert packed == {i: [*x, 2] for i, x in enumerate(want[:40])}
+
+
 def test_length_histogram_by_brute_force(spark, tokenizer):
     texts = [*ODD[:5], *(" ".join(words(random.Random(i), i % 90)) for i in range(200))]
     n = [len(tokenizer.encode(t or "", add_special_tokens=False).ids) for t in texts]
