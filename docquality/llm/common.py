@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import gc
+import contextlib
 import tempfile
 import uuid
 import zipfile
@@ -14,8 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows of one Arrow batch: with texts of a megabyte a batch still fits a Python worker.
+#: Rows that a worker holds as Python strings at a time. Spark bounds the bytes of the Arrow batches that it sends.
 BATCH_ROWS = 512
+#: Lets Spark remove the shuffle files of a write when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -42,49 +44,80 @@ def ship(spark: SparkSession) -> None:
         sc.addPyFile(str(path))
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the rows, and so the memory, of every Arrow batch that goes to Python."""
-    ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def slices(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of so many rows, empty ones left out."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or (unset, in tests) a temporary one."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a session without other machines gets a
+    temporary folder; on a cluster that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="docquality-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+@contextlib.contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting of the session that holds within the block only."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
+
+
 class Scratch:
     """Tables written once to shared storage, which survive the loss of executors and cut lineage."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+        self.paths: dict[str, None] = {}
         self.n = 0
 
-    def keep(self, df: DataFrame, partition_files: int | None = None) -> DataFrame:
-        """Write df, and return it as read back. The schema is given, so that no job infers it."""
+    def keep(self, df: DataFrame, by: str | None = None) -> DataFrame:
+        """Write df, and return it as read back; its shuffle files go. The schema is given, so that no job infers it.
+
+        by: a column of few values, each of which gets a folder of its own."""
         path = f"{self.root}/{self.n}"
         self.n += 1
-        (df if partition_files is None else df.coalesce(partition_files)).write.parquet(path)
+        with setting(self.spark, CLEANUP, "true"), setting(self.spark, "spark.sql.maxConcurrentOutputFileWriters", "16"):
+            (df.write.partitionBy(by) if by else df.write).parquet(path)
+        self.paths[path] = None
         out = self.spark.read.schema(T.StructType([T.StructField(f.name, f.dataType) for f in df.schema])).parquet(path)
         out._scratch_path = path
         return out
 
-    def release(self) -> None:
-        """Let Spark remove the shuffle files of steps whose results have been written; it waits for collected garbage."""
-        gc.collect()
-        self.spark._jvm.System.gc()
-
     def drop(self, *frames: DataFrame) -> None:
         """Free the storage of tables that nothing reads any more."""
-        jvm = self.spark._jvm
         for df in frames:
-            path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(df._scratch_path)
+
+    def drop_part(self, df: DataFrame, by: str, value: int) -> None:
+        """Free one folder of a table that was written by a column."""
+        path = f"{df._scratch_path}/{by}={value}"
+        self.paths[path] = None
+        self._delete(path)
+
+    def drop_all_but(self, *frames: DataFrame) -> None:
+        """Free every table but these."""
+        stay = {df._scratch_path for df in frames}
+        for path in [p for p in self.paths if p not in stay]:
+            self._delete(path)
+
+    def _delete(self, path: str) -> None:
+        if path in self.paths:
+            del self.paths[path]
+            p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
@@ -93,14 +126,14 @@ def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
 
 
 def map_batches(df: DataFrame, f, schema: str) -> DataFrame:
-    """f: batch → dict of columns. Runs once per Arrow batch of df."""
+    """f: batch of BATCH_ROWS at most → dict of columns."""
+    ship(df.sparkSession)
     arrow = arrow_schema(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                out = f(b)
-                yield pa.RecordBatch.from_arrays([pa.array(out[x.name], type=x.type) for x in arrow], schema=arrow)
+        for b in slices(batches):
+            out = f(b)
+            yield pa.RecordBatch.from_arrays([pa.array(out[x.name], type=x.type) for x in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
 
@@ -111,6 +144,22 @@ def arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     return to_arrow_schema(T._parse_datatype_string(schema))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def let(value, f):
+    """f of a value that is computed once."""
+    return F.transform(F.array(value), f)[0]
+
+
 def lower_ascii(col):
     """A-Z to lower case, and nothing else."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 
-def _toward_least(links: DataFrame) -> DataFrame:
-    """links (u, v) with the least of u and its neighbours, as m. The groups are aggregated, never collected."""
-    least = links.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return links.join(least, "u")
+def _toward_least(links: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """links (u, v) with the least of u and its neighbours, as m; and the table of m, to be dropped. It is written first,
+    so that both sides of the join are plain shuffles, of which Spark can split a hub's."""
+    least = scratch.keep(links.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+    return links.join(least, "u"), least
 
 
 def _state(links: DataFrame) -> tuple:
@@ -30,12 +31,13 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     state = _state(now)
     while state[0]:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _toward_least(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = scratch.keep(large)
-        small = _toward_least(large)
+        joined, least = _toward_least(both, scratch)
+        large = scratch.keep(joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        scratch.drop(least)
+        small, least = _toward_least(large, scratch)
         new = scratch.keep(small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).distinct())
         new_state = _state(new)
-        scratch.drop(large, now)
+        scratch.drop(large, now, least)
         now = new
         if new_state == state:
             break

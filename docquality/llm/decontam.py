@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, documents, small_batches, table, texts_of
+from .common import arrow_schema, documents, ship, table, texts_of
 from .licenses import words_of
 
 # Spaced seeds with 7 open positions each. One of them has a hit in every overlap of 13 words or more of
@@ -235,7 +235,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     least: the fewest words of an overlap; a shorter item must be there from its first word to
     its last. identity: the share of equal words, of shorter items too.
     """
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     docs = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     out = None
     for items in parts(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text"), part_words):
@@ -246,7 +246,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", least: int = 13, identity: float = 0.8, least_item: int = 6, part_words: int = PART_WORDS) -> DataFrame:
     """docs without those that overlap a benchmark item. A filter: nothing is shuffled."""
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     for items in parts(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text"), part_words):
         sent = docs.sparkSession.sparkContext.broadcast(sorted(r["text"] for r in items))
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_schema, map_batches, small_batches, table
+from .common import Scratch, arrow_schema, map_batches, ship, table
 from .components import components
 
 #: Classes of a key that one block holds, about.
@@ -206,7 +206,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
     miss: the chance, for a pair at exactly the threshold, that no table brings it together.
     """
-    small_batches(vectors.sparkSession)
+    ship(vectors.sparkSession)
     scratch = Scratch(vectors.sparkSession, "vectors")
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"), F.col(label_col).alias("label"))
     good = rows.filter(usable("v", "vec_id", "label")).withColumns({"h": F.xxhash64("v"), "g": F.xxhash64(F.lit(1), "v"), "dim": F.size("v")})

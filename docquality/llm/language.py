@@ -1,20 +1,25 @@
 """Language ID by a bidirectional gated recurrent network over bytes.
 
-The network reads a piece of a word byte by byte in both directions and gives each byte position a probability for every language;
-a document's probabilities are pooled over all positions of all its words (the mean of their logarithms). It is trained
-in numpy by backpropagation through time, on words of a bounded sample of labelled documents.
+The network reads a whole word byte by byte in both directions and gives each byte position a probability for every
+language; a document's probabilities are pooled over all positions of all its words (the mean of their logarithms). It
+is trained in numpy by backpropagation through time, on all words of a bounded sample of labelled documents; a word
+counts as often as it occurs.
 
-A word is read in pieces of a few bytes, with a blank at its ends. A piece's positions are labelled alike wherever it
-stands, so each worker remembers the pooled results of a bounded number of pieces and words, and runs the network on
-new pieces only, batched by length.
+Words are runs of letters, in lower case and with a blank at each end; ASCII digits and marks part them. A word's
+positions are labelled alike wherever it stands, so each worker remembers the pooled results of a bounded number of
+words, and runs the network on new ones only, batched by length. A word of more than WINDOW bytes (unspaced scripts) is
+read in windows that overlap, and each position counts in a window that shows at least CONTEXT bytes on each side of it.
 
 Defined results: `und` with score 0 for null texts, texts without a letter, and where there was nothing to learn from.
-Words without a letter count nowhere. Rows are judged alone, so repeated rows get equal results.
+Words without a letter count nowhere. Equal probabilities go to the first language by name. Rows are judged alone, so
+repeated rows get equal results. An empty table gives no rows. Other columns pass through; a column that has the name of
+a result is replaced.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,19 +27,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_batches, small_batches, texts_of
+from .common import documents, map_batches, texts_of
 
-#: Training documents, at most (in expectation), and words of each.
-SAMPLE_DOCS, SAMPLE_WORDS = 2500, 30
+#: Training documents, at most (in expectation). All their words are read.
+SAMPLE_DOCS = 1200
 #: Documents that a language is learned from at least, in expectation, if it has as many; a chance of 1e-13 to get none.
 LEAST_OF_LANGUAGE = 30
 #: Steps in which shares of a language are taken.
 FINE = 1 << 50
-#: Bytes of a word that are read in one piece, and code points of the longest word that is remembered.
-PIECE, LONG = 6, 96
-#: Words, and pieces, that a worker remembers.
-REMEMBERED = 600_000
+#: Bytes of a word that are read at once, and bytes around a position that are seen at least where a word is longer.
+WINDOW, CONTEXT = 256, 32
+#: Words that a worker remembers, and bytes of the longest of them.
+REMEMBERED, LONG = 800_000, 96
 HIDDEN = 16
+#: Batches that are trained on at least, however few words there are.
+LEAST_STEPS = 500
 UNKNOWN = "und"
 
 
@@ -78,11 +85,36 @@ class Network:
 
     def log_probabilities(self, x: np.ndarray) -> np.ndarray:
         """(words, length, languages): the label of every position."""
-        f, g = self.states("f", x), self.states("g", x[:, ::-1])[::-1]
-        h = np.stack([np.concatenate([a[0], b[0]], 1) for a, b in zip(f, g, strict=True)], 1)
-        y = h @ self.weights["o"] + self.weights["b"]
-        y = y - y.max(2, keepdims=True)
-        return y - np.log(np.exp(y).sum(2, keepdims=True))
+        hidden = len(self.weights["fc"])
+        y = self.weights["b"] + (self.read("f", x) @ self.weights["o"][:hidden] + self.read("g", x[:, ::-1])[::-1] @ self.weights["o"][hidden:])
+        y -= y.max(2, keepdims=True)
+        y -= np.log(np.exp(y).sum(2, keepdims=True))
+        return y.transpose(1, 0, 2)
+
+    def read(self, d: str, x: np.ndarray) -> np.ndarray:
+        """(length, words, hidden): the states alone, as states() has them."""
+        e, u, c = (self.weights[d + k] for k in "euc")
+        n = len(c)
+        e, u = e.copy(), u.copy()
+        e[:, : 2 * n] *= 0.5  # a sigmoid is half a tanh of the half
+        u[:, : 2 * n] *= 0.5
+        out = np.empty((x.shape[1], len(x), n), e.dtype)
+        h = np.zeros((len(x), n), e.dtype)
+        for t in range(x.shape[1]):
+            row, a = e.take(x[:, t], 0), h @ u
+            gates = np.tanh(row[:, : 2 * n] + a[:, : 2 * n])
+            gates *= 0.5
+            gates += 0.5
+            m = a[:, 2 * n :]
+            m += c
+            m *= gates[:, n:]
+            m += row[:, 2 * n :]
+            new = np.tanh(m, out=m)
+            h = h - new
+            h *= gates[:, :n]
+            h += new
+            out[t] = h
+        return out
 
     def gradients(self, x: np.ndarray, label: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean cross entropy of all positions, by backpropagation through time."""
@@ -130,13 +162,16 @@ def as_bytes(words: list[bytes], at: np.ndarray) -> np.ndarray:
     return np.frombuffer(b"".join([words[i] for i in at]), np.uint8).reshape(len(at), -1)
 
 
-def train(words: list[bytes], labels: np.ndarray, languages: int, hidden: int = HIDDEN, epochs: int = 3, batch: int = 512, rate: float = 0.01, seed: int = 7) -> Network:
-    """Adam over batches of words of one length. Languages weigh alike, however many words they have."""
+def train(words: list[bytes], labels: np.ndarray, languages: int, hidden: int = HIDDEN, epochs: int = 3, batch: int = 512, rate: float = 0.01, seed: int = 7, counts: np.ndarray | None = None) -> Network:
+    """Adam over batches of words of one length. Languages weigh alike, however many words they have; within one a word
+    weighs as often as it occurs (counts)."""
     rng = np.random.default_rng(seed)
     net = Network.new(languages, hidden, rng)
-    weight = (1 / np.maximum(1, np.bincount(labels, minlength=languages)))[labels].astype(np.float32)
+    n = np.ones(len(words)) if counts is None else counts
+    weight = (n / np.maximum(1, np.bincount(labels, n, minlength=languages))[labels]).astype(np.float32)
     m, v = ({k: np.zeros_like(x) for k, x in net.weights.items()} for _ in range(2))
     groups, k = by_length(words), 0
+    epochs = max(epochs, -(-LEAST_STEPS // max(1, sum(-(-len(at) // batch) for at in groups.values()))))
     total = epochs * sum(-(-len(at) // batch) for at in groups.values())
     for _ in range(epochs):
         parts = [part for at in groups.values() for part in np.array_split(rng.permutation(at), -(-len(at) // batch))]
@@ -151,12 +186,28 @@ def train(words: list[bytes], labels: np.ndarray, languages: int, hidden: int =
     return net
 
 
-def pieces(word: str) -> list[bytes]:
-    """A word's bytes between blanks, in pieces; none if it has no letter."""
-    if not (word.isalpha() or any(map(str.isalpha, word))):
-        return []
-    raw = f" {word.lower()} ".encode("utf-8", "surrogatepass")
-    return [raw[i : i + PIECE] for i in range(0, len(raw), PIECE)]
+#: ASCII other than a-z becomes a blank; all else stays.
+_LETTERS = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+
+
+def words_of(text: str) -> list[bytes]:
+    return text.lower().encode("utf-8", "surrogatepass").translate(_LETTERS).split()
+
+
+def has_letter(word: bytes) -> bool:
+    return any(97 <= c <= 122 for c in word) or any(map(str.isalpha, word.decode("utf-8", "replace")))
+
+
+def windows(word: bytes) -> list[tuple[bytes, int, int]]:
+    """A word between blanks: (bytes to read, first and last position that count there)."""
+    raw = b" " + word + b" "
+    if len(raw) <= WINDOW:
+        return [(raw, 0, len(raw))]
+    step, out = WINDOW - 2 * CONTEXT, []
+    for at in range(0, len(raw), step):
+        start = max(0, min(at - CONTEXT, len(raw) - WINDOW))
+        out.append((raw[start : start + WINDOW], at - start, min(at + step, len(raw)) - start))
+    return out
 
 
 class Sums:
@@ -178,44 +229,44 @@ class Sums:
 
 
 class Reader:
-    """Pools labels of positions: of pieces by the network, of words and texts by sums. It remembers pieces and words."""
+    """Pools labels of positions: of words by the network, of texts by sums over their words. It remembers words."""
 
     def __init__(self, weights: dict[str, np.ndarray]):
         self.net, self.width = Network(weights), len(weights["b"]) + 1
-        self.pieces, self.words = Sums(self.width), Sums(self.width)
-
-    def learn_pieces(self, new: list[bytes]) -> None:
-        """Sums of log-probabilities over a piece's positions, and the number of positions."""
-        for n, at in by_length(new).items():
-            for part in np.array_split(at, -(-len(at) // 8192)):
-                got = self.net.log_probabilities(as_bytes(new, part)).sum(1)
-                self.pieces.add([new[i] for i in part], np.concatenate([got, np.full((len(part), 1), n)], 1))
-
-    def learn(self, new: list[str]) -> None:
-        cut = [pieces(w) for w in new]
-        flat = [p for c in cut for p in c]
-        needed = set(flat)
-        if len(self.pieces.places) + len(needed) > REMEMBERED:
-            self.pieces = Sums(self.width)
-        self.learn_pieces(list(needed.difference(self.pieces.places)))
-        ends = np.cumsum([len(c) for c in cut])
-        total = np.concatenate([np.zeros((1, self.width)), np.cumsum(self.pieces.rows[self.pieces.at(flat)], axis=0, dtype=np.float64)])
-        self.words.add(new, total[ends] - total[np.concatenate([[0], ends[:-1]])])
+        self.words = Sums(self.width)
+
+    def pooled(self, words: list[bytes]) -> np.ndarray:
+        """For each word: sums of log-probabilities over its positions, and the number of positions."""
+        out = np.zeros((len(words), self.width))
+        cut = [(i, *w) for i, word in enumerate(words) if has_letter(word) for w in windows(word)]
+        raw = [c[1] for c in cut]
+        owner, lo, hi = (np.array([c[k] for c in cut], np.int64) for k in (0, 2, 3))
+        for n, at in by_length(raw).items():
+            for part in np.array_split(at, -(-len(at) * n // 65_536)):
+                got = self.net.log_probabilities(as_bytes(raw, part))
+                if n < WINDOW:
+                    total = got.sum(1)
+                else:
+                    total = np.array([g[a:b].sum(0) for g, a, b in zip(got, lo[part], hi[part], strict=True)])
+                np.add.at(out, owner[part], np.concatenate([total, (hi[part] - lo[part])[:, None]], 1))
+        return out
 
     def read(self, texts: list[str]) -> np.ndarray:
         """(texts, languages + 1): sums over all positions, and their number."""
-        words = [t.split() for t in texts]
-        for i, w in enumerate(words):
-            if w and len(max(w, key=len)) > LONG:  # too long to remember
-                words[i] = [x[k : k + LONG] for x in w for k in range(0, len(x), LONG)]
+        words = [words_of(t) for t in texts]
+        long = [(i, x) for i, w in enumerate(words) if w and len(max(w, key=len)) > LONG for x in w if len(x) > LONG]  # not remembered
+        for i in {i for i, _ in long}:
+            words[i] = [x for x in words[i] if len(x) <= LONG]
         if len(self.words.places) > REMEMBERED:
             self.words = Sums(self.width)
         if new := list(set().union(*words).difference(self.words.places)):
-            self.learn(new)
+            self.words.add(new, self.pooled(new))
         out = np.zeros((len(texts), self.width))
         for i, w in enumerate(words):
             if w:
                 out[i] = self.words.rows[self.words.at(w)].sum(0, dtype=np.float64)
+        if long:
+            np.add.at(out, [i for i, _ in long], self.pooled([x for _, x in long]))
         return out
 
 
@@ -230,13 +281,13 @@ def reader_of(mark: str, weights: dict[str, np.ndarray]) -> Reader:
     return _readers[mark]
 
 
-def sampled_words(docs: DataFrame, eligible: Column, sample_docs: int, sample_words: int) -> list:
-    """(lang, words) of a sample of the labelled documents that are eligible, evenly spread words of each.
+def sampled_words(docs: DataFrame, eligible: Column, sample_docs: int, sample_words: int | None = None) -> list:
+    """(lang, words) of a sample of the labelled documents that are eligible; sample_words: evenly spread words of each,
+    or (None) all.
 
     Every language gets an equal part of sample_docs, in expectation, and LEAST_OF_LANGUAGE documents if that is less;
     one that has fewer is taken whole. So the languages that are learned do not depend on the size of the table.
     """
-    small_batches(docs.sparkSession)
     src = docs.filter(eligible & F.col("lang").isNotNull() & F.col("text").rlike(r"[^\x00-\x20]"))
     sizes = src.groupBy("lang").count().collect()
     each = max(LEAST_OF_LANGUAGE, sample_docs / max(1, len(sizes)))
@@ -244,35 +295,45 @@ def sampled_words(docs: DataFrame, eligible: Column, sample_docs: int, sample_wo
     part = src.join(F.broadcast(parts), F.col("lang") == F.col("l")).filter(F.pmod(F.xxhash64("doc_id", "lang"), F.lit(FINE)) < F.col("part"))
 
     def some(batch: pa.RecordBatch) -> dict:
-        words = [x.split() for x in texts_of(batch, "text")]
-        return {"lang": batch.column(0), "words": [[w[i][:LONG] for i in np.unique(np.linspace(0, len(w) - 1, min(len(w), sample_words)).astype(int))] if w else [] for w in words]}
+        words = [words_of(x) for x in texts_of(batch, "text")]
+        if sample_words is not None:
+            words = [[w[i] for i in np.unique(np.linspace(0, len(w) - 1, min(len(w), sample_words)).astype(int))] if w else [] for w in words]
+        return {"lang": batch.column(0), "words": words}
 
-    return map_batches(part.select("lang", "text"), some, "lang string, words array<string>").collect()
+    return map_batches(part.select("lang", "text"), some, "lang string, words array<binary>").collect()
 
 
 def learned(rows: list) -> tuple[list[str], dict[str, np.ndarray]] | None:
+    """The languages, and the weights of a network trained on (lang, words); none where there are no words."""
     languages = sorted({r["lang"] for r in rows if r["words"]})
-    if not languages:
-        return None
+    seen: Counter[tuple[int, bytes]] = Counter()
+    for r in rows:
+        if r["words"]:
+            k = languages.index(r["lang"])
+            seen.update((k, bytes(w)) for w in r["words"])
     # by language and word, so that the order in which tasks end does not matter
-    pairs = sorted((languages.index(r["lang"]), p) for r in rows for w in r["words"] for p in pieces(w))
-    if not pairs:
+    read = [(k, x[0], n) for (k, w), n in sorted(seen.items()) if has_letter(w) for x in windows(w)]
+    if not read:
         return None
-    return languages, train([p for _, p in pairs], np.array([k for k, _ in pairs]), len(languages)).weights
+    labels, words, counts = (list(x) for x in zip(*read, strict=True))
+    return languages, train(words, np.array(labels), len(languages), counts=np.array(counts, float)).weights
 
 
-def identify(docs: DataFrame, eligible: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS) -> DataFrame:
-    """docs with lang_pred and score. eligible: which rows (of doc_id, text, lang) may be learned from."""
+def model(docs: DataFrame, eligible: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS) -> tuple[list[str], dict[str, np.ndarray]] | None:
+    """What is learned from the rows that eligible (a condition on doc_id, text, lang) holds for."""
     src = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), docs[lang_col].alias("lang"))
-    model = learned(sampled_words(src, eligible, sample_docs, sample_words))
-    base = docs.drop("lang_pred", "score")
-    if model is None:
-        return base.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
-    small_batches(docs.sparkSession)
-    languages, weights = model
+    return learned(sampled_words(src, eligible, sample_docs))
+
+
+def label(docs: DataFrame, known: tuple[list[str], dict[str, np.ndarray]] | None, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
+    """docs with the language of every text and its probability."""
+    base = docs.drop(pred_col, score_col)
+    if known is None:
+        return base.withColumns({pred_col: F.lit(UNKNOWN), score_col: F.lit(0.0)})
+    languages, weights = known
     names, mark = base.columns, uuid.uuid4().hex
 
-    def label(batch: pa.RecordBatch) -> dict:
+    def run(batch: pa.RecordBatch) -> dict:
         got = reader_of(mark, weights).read(texts_of(batch, text_col))
         n = got[:, -1:]
         mean = got[:, :-1] / np.maximum(n, 1)
@@ -280,10 +341,15 @@ def identify(docs: DataFrame, eligible: Column, id_col: str = "doc_id", text_col
         p /= p.sum(1, keepdims=True)
         best = p.argmax(1)
         some = n[:, 0] > 0
-        return dict(zip(names, batch.columns, strict=True)) | {"lang_pred": [languages[k] if s else UNKNOWN for k, s in zip(best, some, strict=True)], "score": np.where(some, p.max(1), 0.0)}
+        return dict(zip(names, batch.columns, strict=True)) | {pred_col: [languages[k] if s else UNKNOWN for k, s in zip(best, some, strict=True)], score_col: np.where(some, p.max(1), 0.0)}
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema) + f", `{pred_col}` string, `{score_col}` double"
+    return map_batches(base, run, schema)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema) + ", lang_pred string, score double"
-    return map_batches(base, label, schema)
+
+def identify(docs: DataFrame, eligible: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+    """docs with lang_pred and score. eligible: which rows (of doc_id, text, lang) may be learned from."""
+    return label(docs, model(docs, eligible, id_col, text_col, lang_col, sample_docs), text_col)
 
 
 def fold(id_col: str = "doc_id") -> Column:

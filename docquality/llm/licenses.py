@@ -19,7 +19,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents, map_batches, small_batches, texts_of
+from .common import documents, map_batches, ship, texts_of
 
 # The phrases of the base result and their labels.
 BASE_PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -204,7 +204,7 @@ def scan_text(text: str) -> dict:
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its words, base phrases, labels, score, and the detections with their places in the
     normalised text (words joined by single spaces)."""
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     src = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
 
     def scan(batch: pa.RecordBatch) -> dict:

@@ -13,8 +13,10 @@ Only lines that share their first or last half with a different line can have su
 first and all other lines emit nothing. The hash of a variant is put together from those of what is before, in and
 after a block of words, so a line of n words costs about n**1.5 word hashes.
 
-Null texts stay null; empty texts stay empty. Rows that share a doc_id (or have none) are one document to the rules
-and are treated alike. An empty table gives no rows.
+Null texts stay null; empty texts stay empty. A document is known by its doc_id (null or not) and a hash of its text,
+so rows that share a doc_id but not their text are documents of their own, in the order of that hash; rows that repeat
+both are one document and are treated alike. An empty table gives no rows. Other columns pass through, whatever their
+names; only n_lines, n_exact and n_near are replaced, if counts are asked for.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents
+from .common import Scratch, documents, fresh, let
 
 LEAST_WORDS = 8
 
@@ -37,9 +39,9 @@ def normal(line: Column) -> Column:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, line) of docs (doc_id, text), lines in normal form, those without words left out."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return lines.filter(F.col("line").rlike(r"[^\x09-\x0D\x20]")).select("doc_id", "line_no", normal(F.col("line")).alias("line"))
+    """(doc_id, th, line_no, line) of docs (doc_id, th, text), lines in normal form, those without words left out."""
+    lines = docs.select("doc_id", "th", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return lines.filter(F.col("line").rlike(r"[^\x09-\x0D\x20]")).select("doc_id", "th", "line_no", normal(F.col("line")).alias("line"))
 
 
 def half_keys(line: Column, n: Column) -> Column:
@@ -61,7 +63,7 @@ def with_blocks(lines: DataFrame) -> DataFrame:
     w, n = F.col("words"), F.col("n")
     blocks = lines.withColumn("n", F.size("words")).withColumns({"block": block_of(n - 1), "b": block_of(n)})
     return blocks.select(
-        "doc_id", "line_no", "words", "n", "block",
+        "ord", "words", "n", "block",
         F.transform(F.sequence(F.lit(0), F.floor((n - 1) / F.col("block")).cast("int")), lambda j: F.xxhash64(F.slice(w, F.lit(1), j * F.col("block")))).alias("before"),
         F.transform(F.sequence(F.lit(0), F.floor((n - 1) / F.col("block")).cast("int")), lambda j: F.xxhash64(F.slice(w, (j + 1) * F.col("block") + 1, n))).alias("after"),
         F.transform(F.sequence(F.lit(0), F.floor(n / F.col("b")).cast("int")), lambda j: F.xxhash64(j, n, F.xxhash64(F.slice(w, F.lit(1), j * F.col("b"))), F.xxhash64(F.slice(w, j * F.col("b") + 1, F.col("b") - 1)), F.xxhash64(F.slice(w, (j + 1) * F.col("b"), n)))).alias("own"),
@@ -92,60 +94,69 @@ def within_one_edit(a: Column, b: Column) -> Column:
 
 
 def dropped_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """(doc_id, line_no, near) of the lines to drop from docs (doc_id, text); near is false for exact copies."""
+    """(doc_id, th, line_no, near) of the lines to drop from docs (doc_id, th, text); near is false for exact copies."""
     scratch = Scratch(docs.sparkSession, "lines")
-    line, at = F.col("line"), F.struct("doc_id", "line_no")
+    line, at = F.col("line"), F.struct("doc_id", "th", "line_no")
     n = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
     halves = F.when(F.col("n") >= least_words, half_keys(line, F.col("n"))).alias("halves")
-    slim = scratch.keep(lines_of(docs).withColumn("n", n).select("doc_id", "line_no", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"), halves))
+    slim = scratch.keep(lines_of(docs).withColumn("n", n).select("doc_id", "th", "line_no", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"), halves))
     firsts = scratch.keep(slim.groupBy("h", "g").agg(F.min(at).alias("ord"), F.count(F.lit(1)).alias("copies"), F.any_value("halves").alias("halves")))
     repeated = firsts.filter("copies > 1").select("h", "g", "ord")
-    exact = slim.select("h", "g", "doc_id", "line_no").join(repeated, ["h", "g"]).filter(~at.eqNullSafe(F.col("ord"))).select("doc_id", "line_no", F.lit(False).alias("near"))
+    exact = scratch.keep(slim.drop("halves").join(repeated, ["h", "g"]).filter(~at.eqNullSafe(F.col("ord"))).select("doc_id", "th", "line_no"))
+    scratch.drop(slim)
 
     half = firsts.filter("halves is not null").select("ord", F.explode("halves").alias("half"))
     shared = half.groupBy("half").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("half")
-    wanted = half.join(shared, "half", "left_semi").select("ord").distinct()
-    wanted = wanted.groupBy(F.col("ord.doc_id").alias("d")).agg(F.collect_list("ord.line_no").alias("at_lines"))  # of one document
+    wanted = scratch.keep(half.join(shared, "half", "left_semi").select("ord").distinct())
+    scratch.drop(firsts)
+    by_text = wanted.groupBy(F.col("ord.doc_id").alias("d"), F.col("ord.th").alias("t")).agg(F.collect_list("ord.line_no").alias("at_lines"))  # of one document
     # texts are always brought together by a shuffle, so that the plan is the same at every size
-    found = docs.select("doc_id", "text").hint("merge").join(wanted, F.col("doc_id").eqNullSafe(F.col("d")))
-    found = found.select("doc_id", F.explode(F.transform("at_lines", lambda i: F.struct(i.alias("line_no"), F.get(F.split("text", "\n"), i).alias("line")))).alias("x"))
-    found = found.select("doc_id", "x.line_no", F.split(normal(F.col("x.line")), " ").alias("words")).dropDuplicates(["doc_id", "line_no"])
-    found = scratch.keep(found)
-    scratch.release()
-    lines = scratch.keep(with_blocks(found).withColumn("ord", at).drop("doc_id", "line_no"))
-
-    out = variants(lines)
-    first = out.groupBy("key", "i").agg(F.min("ord").alias("earliest"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "i", "earliest")
-    changed = scratch.keep(out.join(first, ["key", "i"]).select("ord", "earliest").filter("earliest < ord").distinct())
-    own = lines.select(F.explode("own").alias("key"), F.col("ord").alias("other"))
-    added = scratch.keep(out.join(own, "key").select("ord", "other").distinct())
-    scratch.release()
+    found = docs.hint("merge").join(by_text, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")))
+    lines_at = let(F.split("text", "\n"), lambda x: F.transform("at_lines", lambda i: F.struct(i.alias("line_no"), F.get(x, i).alias("line"))))
+    found = found.select("doc_id", "th", F.explode(lines_at).alias("x")).select(F.struct("doc_id", "th", "x.line_no").alias("ord"), F.split(normal(F.col("x.line")), " ").alias("words"))
+    lines = scratch.keep(with_blocks(found.dropDuplicates(["ord"])))
+    scratch.drop(wanted)
+
+    # what is alike meets under a key; only keys that meet another are looked at again
+    own = lines.select(F.explode("own").alias("key"), F.lit(0).alias("i"), "ord")
+    each = scratch.keep(variants(lines).select("key", "i", "ord").union(own))
+    meeting = each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    alike = scratch.keep(each.join(meeting, "key", "left_semi"))
+    scratch.drop(each)
+    cut = alike.filter("i > 0")
+    first = cut.groupBy("key", "i").agg(F.min("ord").alias("earliest"))
+    changed = cut.join(first, ["key", "i"]).select("ord", "earliest").filter("earliest < ord").distinct()
+    added = scratch.keep(cut.join(alike.filter("i = 0").select("key", F.col("ord").alias("other")), "key").select("ord", "other").distinct())
     earlier = changed.union(added).union(added.groupBy("other").agg(F.min("ord")))
-    pairs = earlier.filter(F.col("earliest") < F.col("ord")).distinct()
+    pairs = scratch.keep(earlier.filter(F.col("earliest") < F.col("ord")).distinct())
     words = lines.select(F.col("ord").alias("o"), F.col("words").alias("a"))
     both = pairs.join(words, F.col("ord").eqNullSafe(F.col("o"))).drop("o")
     both = both.join(words.withColumnRenamed("a", "b"), F.col("earliest").eqNullSafe(F.col("o")))
-    near = both.filter(within_one_edit(F.col("a"), F.col("b"))).select("ord.doc_id", "ord.line_no").distinct()
-    gone = scratch.keep(exact.union(near.withColumn("near", F.lit(True))))
-    scratch.release()
+    near = both.filter(within_one_edit(F.col("a"), F.col("b"))).select("ord.doc_id", "ord.th", "ord.line_no").distinct()
+    gone = scratch.keep(exact.withColumn("near", F.lit(False)).union(near.withColumn("near", F.lit(True))))
+    scratch.drop_all_but(gone)
     return gone
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
-    """docs with text_col reduced to the lines that stay, and the columns n_lines, n_exact and n_near (the last two
-    count dropped lines). Other columns pass through."""
-    slim = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    gone = dropped_lines(slim, least_words).groupBy("doc_id").agg(F.collect_set("line_no").alias("__gone"), F.count_if("near").alias("__near"), F.count_if(~F.col("near")).alias("__exact"))
-    gone = gone.withColumnRenamed("doc_id", "__doc_id")
-    all_lines = F.split(text_col, "\n")
-    kept = F.filter(all_lines, lambda _, i: ~F.array_contains("__gone", i))
-    return (
-        docs.drop("n_lines", "n_exact", "n_near")
-        .hint("merge")
-        .join(gone, docs[id_col].eqNullSafe(F.col("__doc_id")), "left")
-        .withColumns({"n_lines": F.coalesce(F.size(all_lines), F.lit(0)).cast("long"), "n_exact": F.coalesce("__exact", F.lit(0)), "n_near": F.coalesce("__near", F.lit(0)), text_col: F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))})
-        .drop("__gone", "__near", "__exact", "__doc_id")
-    )
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS, counts: bool = True) -> DataFrame:
+    """docs with text_col reduced to the lines that stay. counts: adds n_lines, n_exact and n_near (the last two count
+    dropped lines). Other columns pass through."""
+    th = F.xxhash64(docs[text_col])
+    gone = dropped_lines(docs.select(docs[id_col].alias("doc_id"), th.alias("th"), docs[text_col].alias("text")).filter("text is not null"), least_words)
+    own_id, own_th, lines, near, exact = fresh(docs, "__id", "__th", "__gone", "__near", "__exact")
+    each = gone.groupBy(F.col("doc_id").alias(own_id), F.col("th").alias(own_th)).agg(F.array_sort(F.collect_set("line_no")).alias(lines), F.count_if("near").alias(near), F.count_if(~F.col("near")).alias(exact))
+    joined = docs.hint("merge").join(each, docs[id_col].eqNullSafe(F.col(own_id)) & (th == F.col(own_th)), "left")
+
+    def kept(x: Column) -> Column:
+        """What stands between dropped lines, each run taken at once."""
+        edges = F.concat(F.array(F.lit(-1)), F.col(lines), F.array(F.size(x)))
+        return let(edges, lambda e: F.flatten(F.transform(F.sequence(F.lit(0), F.size(e) - 2), lambda j: F.slice(x, F.get(e, j) + 2, F.get(e, j + 1) - F.get(e, j) - 1))))
+
+    text = F.when(F.col(lines).isNull(), joined[text_col]).otherwise(F.array_join(let(F.split(joined[text_col], "\n"), kept), "\n"))
+    out = [text.alias(c) if c == text_col else joined[c] for c in docs.columns if not counts or c.lower() not in ("n_lines", "n_exact", "n_near")]
+    if counts:
+        out += [F.coalesce(F.size(F.split(joined[text_col], "\n")), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(exact, F.lit(0)).alias("n_exact"), F.coalesce(near, F.lit(0)).alias("n_near")]
+    return joined.select(out)
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,9 +19,14 @@ sketches, without a row for each pair. So no group is expanded into all of its p
 Pairs are first held against 512-bit parity sketches (one bit for each shingle; their Hamming distance is a lower bound
 of the symmetric difference, too), then the shingle sets are intersected exactly.
 
+Keys are made in PARTS by their hash, each a folder of its own: one part is shuffled at a time, and its folder goes
+before the next. Which keys hold two classes is found by an aggregation, so a key of very many rows is combined before
+the shuffle, and joins are between written tables, so that Spark can split a crowded key among tasks.
+
 Defined results: null or empty texts, and texts without words, have no shingles and no links; texts with fewer words
 than a shingle are one shingle; rows of equal text always link; a null doc_id takes the id of its component, if there
-is one. An empty table gives no rows.
+is one. Rows that share a doc_id are linked each by its own text, and one of them is enough to carry the id. An empty
+table gives no rows. Other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_schema, documents, map_batches, small_batches, texts_of
+from .common import Scratch, arrow_schema, documents, fresh, map_batches, ship, slices, texts_of
 from .components import components
 
 BITS, LONG_BITS = 512, 4096
@@ -44,6 +49,8 @@ BLOCK = 512
 ARRANGEMENTS = 5
 #: Classes under one key of which all pairs between components are compared at once; beyond, the key is arranged anew.
 FEW = 24
+#: Parts in which keys are shuffled, one after the other.
+PARTS = 4
 REMEMBERED = 500_000
 _U = np.uint64
 
@@ -133,75 +140,51 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def sketches(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """(doc_id, n, set_id, parity, keys). set_id stands for the set: equal sets have equal ones, 0 is the empty set.
+def sketches(docs: DataFrame, words: int, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """Of docs (doc_id, th, text): rows (part, doc_id, th, n, set_id, parity, keys), written with a folder for each part.
 
-    Of equal sets that one task meets, the first has the parity and the keys, so copies are reduced before the shuffle.
+    Part -1 has one row for each document; set_id stands for its set: equal sets have equal ones, 0 is the empty set.
+    The other parts have the keys of sets. Of equal sets that one task meets, the first has the parity and the keys, so
+    copies are reduced before the shuffle.
     """
-    small_batches(docs.sparkSession)
-    src = docs.select("doc_id", "text")
-    schema = f"doc_id {src.schema['doc_id'].dataType.simpleString()}, n long, set_id long, parity binary, keys array<long>"
+    ship(docs.sparkSession)
+    schema = f"part int, doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, n long, set_id long, parity binary, keys array<long>"
     arrow = arrow_schema(docs.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, seen = Bands(num, den), set()
-        for b in batches:
-            rows = []
-            for text in texts_of(b, "text"):
+        for b in slices(batches):
+            at, rows = [], []
+            for i, text in enumerate(texts_of(b, "text")):
                 s = shingle_set(text, words)
                 c = set_id(s)
                 new = c not in seen
                 seen.add(c)
-                rows.append((len(s), c, parity(s) if new else None, block_keys(s, bands).view(np.int64) if new else None))
-            if rows:
-                columns = [b.column(0), *(pa.array(list(x), f.type) for x, f in zip(zip(*rows, strict=True), list(arrow)[1:], strict=True))]
-                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
-
-    return src.mapInArrow(run, schema)
+                at.append(i)
+                rows.append((-1, len(s), c, parity(s) if new else None, None))
+                if new and len(s):
+                    keys = block_keys(s, bands)
+                    part = keys % _U(PARTS)
+                    for p in range(PARTS):
+                        if len(own := keys[part == p]):
+                            at.append(i)
+                            rows.append((p, None, c, None, own.view(np.int64)))
+            take, columns = pa.array(at), list(map(list, zip(*rows, strict=True)))
+            got = {"part": columns[0], "doc_id": b.column(0).take(take), "th": b.column(1).take(take), **dict(zip(("n", "set_id", "parity", "keys"), columns[1:], strict=True))}
+            yield pa.RecordBatch.from_arrays([x if isinstance(x := got[f.name], pa.Array) else pa.array(x, f.type) for f in arrow], schema=arrow)
+
+    return scratch.keep(docs.select("doc_id", "th", "text").mapInArrow(run, schema), by="part")
 
 
 def set_id(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 if len(s) else 0
 
 
-def groups_under_keys(keyed: DataFrame) -> DataFrame:
-    """keyed (key, set_id) → (key, set_id, least) of the keys with two classes or more; least: the least class there.
-
-    A sorted pass sees one key after the other and holds one row of it, so that a key of any number of classes fits;
-    equal rows are passed over.
-    """
-    arrow = arrow_schema(keyed.sparkSession, "key long, set_id long, least long")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, []  # the last key, its least class, whether that has been given out; and its last class
-        for b in batches:
-            key, c = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            if not len(key):
-                continue
-            if last is not None:
-                key, c = np.concatenate([[last[0]], key]), np.concatenate([[last[2]], c])
-            starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            least = c[starts].copy()
-            if last is not None:
-                least[0] = last[1]
-            each = np.repeat(least, np.diff(np.append(starts, len(key))))
-            new = np.append(True, (key[1:] != key[:-1]) | (c[1:] != c[:-1]))
-            if last is not None:
-                new[0] = False
-            follow = new & (c != each)  # classes beyond the least
-            # the least class itself is given once, with the first that follows it
-            where = np.flatnonzero(follow)
-            opened = {last[0]} if last is not None and last[3] else set()
-            first_of = where[np.append(True, key[where][1:] != key[where][:-1])] if len(where) else where
-            lead = np.array([i for i in first_of if key[i] not in opened], dtype=np.int64)
-            k, s, m = np.concatenate([key[where], key[lead]]), np.concatenate([c[where], each[lead]]), np.concatenate([each[where], each[lead]])
-            given = bool(len(where)) and key[where[-1]] == key[-1] or last is not None and key[-1] == last[0] and last[3]
-            last = (key[-1], each[-1], c[-1], given)
-            if len(k):
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(s), pa.array(m)], schema=arrow)
-
-    dealt = keyed.repartition("key").sortWithinPartitions("key", "set_id")
-    return dealt.mapInArrow(run, "key long, set_id long, least long")
+def groups_under_keys(keyed: DataFrame, scratch: Scratch) -> DataFrame:
+    """keyed (key, set_id) → (key, set_id, least) of the keys with two classes or more; least: the least class there."""
+    ends = keyed.groupBy("key").agg(F.min("set_id").alias("least"), F.max("set_id").alias("most"))
+    shared = scratch.keep(ends.filter("least < most").select("key", "least"))
+    return scratch.keep(keyed.join(shared, "key").select("key", "set_id", "least").distinct())
 
 
 def similar(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
@@ -236,24 +219,27 @@ def verified(pairs: DataFrame, sets: DataFrame, slim: DataFrame, num: int, den:
     return map_batches(full.select("a", "b", "x", "y"), exact, "a long, b long")
 
 
-def links(found: DataFrame, docs: DataFrame, scratch: Scratch, words: int, num: int, den: int) -> DataFrame:
+def links(sketched: DataFrame, found: DataFrame, docs: DataFrame, scratch: Scratch, words: int, num: int, den: int) -> DataFrame:
     """(node, root) of the set classes that link, from sketches()."""
     spark = docs.sparkSession
-    under = scratch.keep(groups_under_keys(found.select(F.explode("keys").alias("key"), "set_id")))
-    scratch.release()
-    classes = found.filter("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.any_value("n").alias("n"), F.max("parity").alias("parity"))
+    under = None
+    for p in range(PARTS):
+        part = groups_under_keys(sketched.filter(F.col("part") == p).select(F.explode("keys").alias("key"), "set_id"), scratch)
+        under = part if under is None else under.union(part)
+        scratch.drop_part(sketched, "part", p)
+    classes = found.filter("n > 0").groupBy("set_id").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.any_value("n").alias("n"), F.max("parity").alias("parity"))
     slim = scratch.keep(under.select("set_id").distinct().join(classes, "set_id"))
     kind = arrow_schema(spark, "set_id long, shingles binary")
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             s = [shingle_set(x, words) for x in texts_of(b, "text")]
             yield pa.RecordBatch.from_arrays([pa.array([set_id(x) for x in s], pa.int64()), pa.array([x.tobytes() for x in s], pa.binary())], schema=kind)
 
     # texts and sets are always brought together by a shuffle, so that the plan is the same at every size
-    texts = docs.select("doc_id", "text").hint("merge").join(slim.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    wanted = slim.select(F.col("rep.doc_id").alias("i"), F.col("rep.th").alias("t"))
+    texts = docs.hint("merge").join(wanted, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t")), "left_semi").select("text")
     sets = scratch.keep(texts.mapInArrow(to_sets, "set_id long, shingles binary").dropDuplicates(["set_id"]))
-    scratch.release()
 
     edges = None
     tried = None
@@ -269,16 +255,15 @@ def links(found: DataFrame, docs: DataFrame, scratch: Scratch, words: int, num:
         # with the old roots in place of the old links the graph stays small
         edges = good if roots is None else good.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
         roots = scratch.keep(components(edges, scratch))
-        scratch.release()
 
     def rooted(rows: DataFrame) -> DataFrame:
         return rows.join(roots.toDF("set_id", "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
 
     def unsettled(rows: DataFrame) -> DataFrame:
         """(key, set_id, root, many): rows of the keys whose classes are in more than one component."""
-        rows = rooted(rows.select("key", "set_id"))
+        rows = scratch.keep(rooted(rows.select("key", "set_id")))
         open_keys = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi")
-        return rows.join(open_keys.select("key", (F.col("size") > FEW).alias("many")), "key")
+        return scratch.keep(rows.join(scratch.keep(open_keys.select("key", (F.col("size") > FEW).alias("many"))), "key"))
 
     def across(rows: DataFrame) -> DataFrame:
         x, y = rows.select("key", F.col("set_id").alias("a"), F.col("root").alias("ra")), rows.select("key", F.col("set_id").alias("b"), F.col("root").alias("rb"))
@@ -286,19 +271,19 @@ def links(found: DataFrame, docs: DataFrame, scratch: Scratch, words: int, num:
 
     def to_another(rows: DataFrame) -> DataFrame:
         """Each class with one class of its key that stands for it by chance, if they are in different components."""
-        chosen = rows.groupBy("key").agg(F.min_by(F.struct("set_id", "root"), F.xxhash64("key", "set_id")).alias("c"))
+        chosen = scratch.keep(rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "set_id").alias("by"), "set_id", "root")).alias("c")))
         x = rows.join(chosen, "key").filter(F.col("root") != F.col("c.root"))
         return x.select(F.least("set_id", "c.set_id").alias("a"), F.greatest("set_id", "c.set_id").alias("b"))
 
     for arrangement in (1, 2):
         settle(under.filter("set_id <> least").select(F.col("least").alias("a"), F.col("set_id").alias("b")))
-        rest = scratch.keep(unsettled(under))
+        rest = unsettled(under)
         settle(across(rest.filter("not many")).union(to_another(rest.filter("many"))))
-        rest = scratch.keep(unsettled(rest.filter("many")))
+        rest = unsettled(rest.filter("many"))
         if rest.isEmpty():
             return roots
         if arrangement == 1:  # similar sets share a key in any arrangement: the classes left over enter another one
-            under = scratch.keep(groups_under_keys(anew(rest.select("set_id").distinct(), sets, num, den)))
+            under = groups_under_keys(scratch.keep(anew(rest.select("set_id").distinct(), sets, num, den)), scratch)
     # what still shares keys with many is alike; it is compared in blocks, by long parity sketches
     clusters = components(rest.groupBy("key").agg(F.min("set_id").alias("a")).join(rest.select("key", F.col("set_id").alias("b")), "key").select("a", "b"), scratch)
     settle(close_pairs(rooted(clusters.toDF("set_id", "cluster")).join(sets, "set_id"), num, den))
@@ -367,28 +352,48 @@ def close_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
     return x.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "a long, b long")
 
 
+def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(docs[id_col].alias("doc_id"), F.coalesce(F.xxhash64(docs[text_col]), F.lit(0)).alias("th"), docs[text_col].alias("text"))
+
+
+def grouped(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """(doc_id, th, n, set_id, root) of docs (doc_id, th, text); root stands for the component, null without shingles."""
+    scratch = Scratch(docs.sparkSession, "ngram")
+    sketched = sketches(docs, words, num, den, scratch)
+    found = scratch.keep(sketched.filter("part = -1").select("doc_id", "th", "n", "set_id", "parity"))
+    scratch.drop_part(sketched, "part", -1)
+    roots = links(sketched, found, docs, scratch, words, num, den)
+    rooted = found.select("doc_id", "th", "n", F.when(F.col("n") > 0, F.col("set_id")).alias("set_id")).join(roots.toDF("set_id", "root"), "set_id", "left")
+    out = scratch.keep(rooted.select("doc_id", "th", "n", "set_id", F.coalesce("root", "set_id").alias("root")))
+    scratch.drop_all_but(out)
+    return out
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document. Documents link at a Jaccard similarity of num / den of
     their sets of `words`-word shingles; component_id is the least doc_id that links reach."""
+    part = grouped(_hashed(docs, id_col, text_col), words, num, den)
     scratch = Scratch(docs.sparkSession, "ngram")
-    docs = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    sketched = scratch.keep(sketches(docs, words, num, den))
-    found = scratch.keep(sketched.select("doc_id", "n", "set_id"))
-    roots = links(sketched, docs, scratch, words, num, den)
-    scratch.drop(sketched)
-    classes = found.filter("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"))
-    joined = scratch.keep(classes.join(roots.toDF("set_id", "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id")))
-    least = joined.groupBy("root").agg(F.min("rep").alias("component_id"))
-    known = scratch.keep(joined.join(least, "root").select("set_id", "component_id"))
-    out = found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("set_id")).alias("set_id")).join(known, "set_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    least = scratch.keep(part.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id")))
+    out = part.join(least, "root", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """docs with one document, the least by id, of each component."""
-    part = jaccard_components(docs, id_col, text_col, words, num, den)
-    first = part.filter(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(first, docs[id_col].eqNullSafe(first["doc_id"]), "left_semi")
+    """docs with one row of each component: the least by doc_id (null last) and hash of the text; of rows that repeat
+    both, any one. Rows without shingles stay, as they are alike to nothing."""
+    part = grouped(_hashed(docs, id_col, text_col), words, num, den)
+    scratch = Scratch(docs.sparkSession, "keep")
+    i, t, copies = fresh(docs, "__id", "__th", "__copies")
+    own = part.filter("root is not null").groupBy("root", "doc_id", "th").agg(F.count(F.lit(1)).alias("n"))
+    first = own.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th", "n")).alias("r"))
+    first = first.select(F.col("r.doc_id").alias(i), F.col("r.th").alias(t), F.col("r.n").alias(copies))
+    empty = part.filter("root is null").select(F.col("doc_id").alias(i), F.col("th").alias(t), F.lit(1).cast("long").alias(copies)).distinct()
+    stay = scratch.keep(first.union(empty))
+    th = F.coalesce(F.xxhash64(docs[text_col]), F.lit(0))
+    kept = docs.hint("merge").join(stay, docs[id_col].eqNullSafe(F.col(i)) & (th == F.col(t)))
+    once = kept.filter(F.col(copies) == 1).select(docs.columns)
+    return once.union(kept.filter(F.col(copies) > 1).select(docs.columns).dropDuplicates([id_col, text_col]))
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_schema, documents, small_batches, texts_of
+from .common import Scratch, arrow_schema, documents, ship, texts_of
 from .tokens import default_vocabulary, encoder
 
 #: Pieces that one bucket of a length holds at least, before a length gets more than one.
@@ -41,7 +41,7 @@ def cut(n: int, size: int) -> list[tuple[int, int]]:
 
 
 def pieces_of(docs: DataFrame, id_col: str, text_col: str, size: int, vocabulary: str, end_id: int, with_ids: bool) -> DataFrame:
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     src = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     schema = f"doc_id {src.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     arrow, end = arrow_schema(docs.sparkSession, schema), np.array([end_id], dtype="<u4").tobytes()

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents, map_batches, small_batches, texts_of
+from .common import Scratch, documents, map_batches, ship, texts_of
 
 # The kinds in the order in which spans of one start are listed.
 KINDS = ("email", "ip", "card", "phone", "id")
@@ -151,7 +151,7 @@ SCAN = "array<struct<start:int,end:int,seed:boolean,value:bigint,patterns:array<
 
 def scan(docs: DataFrame, id_col: str, text_col: str, shortest: int) -> DataFrame:
     """doc_id, base spans and candidate tokens of every document."""
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     src = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
 
     def run(batch: pa.RecordBatch) -> dict:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents, map_batches, small_batches, table, texts_of
+from .common import Scratch, documents, map_batches, ship, table, texts_of
 
 #: Labelled documents that are learned from, at most (in expectation).
 SAMPLE_DOCS = 6000
@@ -228,7 +228,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     host and path: columns or expressions of docs. quality and toxic are the document's own log-odds, score and
     toxicity the posterior probabilities; keep: more likely good than not, and more likely not toxic.
     """
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     col = lambda c: docs[c] if isinstance(c, str) else c
     src = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), col(host).cast("string").alias("host"), col(path).cast("string").alias("path"))
     rows = sample(src, labels.select(labels["doc_id"], *[labels[h] for h in HEADS]), sample_docs)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents, small_batches, texts_of
+from .common import Scratch, documents, ship, texts_of
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Chunks remembered by one Python worker, some 150 bytes each.
@@ -92,7 +92,7 @@ def length_histogram(docs: DataFrame, text_col: str = "text", vocabulary: str |
 
     Each task counts its own rows before the shuffle, so what is shuffled follows the distinct lengths.
     """
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     path = vocabulary or default_vocabulary()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
