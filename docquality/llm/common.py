@@ -14,8 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows that a worker holds as Python strings at a time. Spark bounds the bytes of the Arrow batches that it sends.
+#: Rows that a worker holds as Python strings at a time.
 BATCH_ROWS = 512
+#: What a session that has Spark's own bounds of Arrow batches gets instead: (setting, default, bound).
+BATCHES = (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", str(BATCH_ROWS)), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "16m"))
 #: Lets Spark remove the shuffle files of a write when it has ended.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -33,7 +35,9 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Give this package to the Python workers of a cluster, once for each application."""
+    """Give this package to the Python workers of a cluster, once for each application, and keep Arrow batches small.
+
+    Results are lazy, so the bounds have to hold when the caller runs them; those that the caller has set are left."""
     sc, package = spark.sparkContext, Path(__file__).parents[1]
     if sc.applicationId not in _shipped:
         _shipped.add(sc.applicationId)
@@ -42,6 +46,9 @@ def ship(spark: SparkSession) -> None:
             for f in sorted(package.rglob("*.py")):
                 z.write(f, f.relative_to(package.parent))
         sc.addPyFile(str(path))
+    for key, default, bound in BATCHES:
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, bound)
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:

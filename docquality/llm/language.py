@@ -38,7 +38,7 @@ FINE = 1 << 50
 #: Bytes of a word that are read at once, and bytes around a position that are seen at least where a word is longer.
 WINDOW, CONTEXT = 256, 32
 #: Words that a worker remembers, and bytes of the longest of them.
-REMEMBERED, LONG = 800_000, 96
+REMEMBERED, LONG = 500_000, 96
 HIDDEN = 16
 #: Batches that are trained on at least, however few words there are.
 LEAST_STEPS = 500
