@@ -1,37 +1,42 @@
-"""Best-fit packing of documents into sequences of a fixed number of tokens.
+"""Bulk-synchronous best-fit packing of documents into sequences of a fixed number of tokens.
 
-Documents that are too long are cut; then pieces and gaps are matched in bulk-synchronous steps. Pieces are sorted by
-length and ranked within a length; gaps are sorted by size. One step takes the longest pieces left: a sweep gives each
-the smallest gap that holds it (its successor), as many pieces as there are such gaps, by rank; the gaps shrink, and
-sweeps repeat until no gap holds a piece of that length. What is left opens new sequences.
+Documents that are too long are cut. Pieces are then taken by classes: those of which one fits in a sequence, two, three
+and so on, and at last all smaller ones. A class is matched with the gaps that there are, in sweeps:
 
-Pieces of one length differ in their rank only, and so do gaps of one size, so the state of a step is kept as runs: at
-most `size` lengths, and a few runs of gaps for each. It does not grow with the corpus. The runs say, for every range
-of ranks, which sequences take it; each task finds its own rows' ranges by binary search.
+* pieces and gaps are range-sorted together by size, the largest first, a gap before pieces of its size;
+* along that order every piece wants the smallest gap before it, its successor. Where several want the same one, ranks
+  decide, as with brackets: a gap opens a level, and the first piece after it that meets this level closes it. Levels
+  come from counts by task and size, so all tasks find them at once, and equal levels are brought together;
+* gaps shrink by the piece they got, and the sweep is repeated with the pieces left until no gap holds any.
 
-Ranks are counted in buckets within a length, so that no task gets all pieces of a common length. A null text is
-empty: one end token. Rows with the same doc_id are packed as documents of their own. An empty table gives no rows.
+Pieces left of a class open new sequences, by rank, as many in each as the class says. The result is close to serial
+best fit from the largest piece to the smallest (`best_fit`), with some ten sweeps rather than a step for each piece.
+
+A sweep moves a size and two numbers for each gap and piece that are left, texts and ids stay where they are. Its only
+table that all tasks get has a row for each size and task. Every sweep is written to shared storage before the next.
+
+Defined results: a null text is empty, one end token. Rows are packed each by itself, so repeated rows and those that
+share a doc_id or have none are documents of their own. An empty table gives no rows. Other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import bisect
-import math
 import zlib
 from collections import defaultdict, deque
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_schema, documents, ship, texts_of
+from .common import Scratch, arrow_schema, documents, ship, slices, texts_of
 from .tokens import default_vocabulary, encoder
 
-#: Pieces that one bucket of a length holds at least, before a length gets more than one.
-BUCKET = 400
+#: Classes of pieces that are taken by themselves: up to so many pieces of the class fit in a sequence.
+CLASSES = 6
 
 
 def cut(n: int, size: int) -> list[tuple[int, int]]:
@@ -48,7 +53,7 @@ def pieces_of(docs: DataFrame, id_col: str, text_col: str, size: int, vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = encoder(vocabulary, added=True).ids
-        for b in batches:
+        for b in slices(batches):
             at, rows = [], []
             for i, text in enumerate(texts_of(b, "text")):
                 ids = ids_of(text) + end
@@ -64,7 +69,8 @@ def pieces_of(docs: DataFrame, id_col: str, text_col: str, size: int, vocabulary
 
 
 def best_fit(counts: dict[int, int], size: int) -> list[tuple[int, int, int, int, int]]:
-    """Runs (length, first rank, pieces, first sequence, offset): piece r of the run goes to sequence first + r.
+    """Serial best fit, to hold the sweeps against: runs (length, first rank, pieces, first sequence, offset), of which
+    piece r goes to sequence first + r.
 
     counts: how many pieces there are of each length. Sequences are numbered from 0, without gaps.
     """
@@ -104,39 +110,111 @@ def best_fit(counts: dict[int, int], size: int) -> list[tuple[int, int, int, int
     return out
 
 
-def ranked(pieces: DataFrame, counts: dict[int, int]) -> DataFrame:
-    """Adds rank: the place of a piece among those of its length, from 0."""
-    spark = pieces.sparkSession
-    buckets = [(n, math.ceil(c / max(BUCKET, math.isqrt(c)))) for n, c in counts.items()]
-    lengths = F.broadcast(spark.createDataFrame(buckets, "length long, buckets long"))  # one row for each length up to `size`
-    p = pieces.join(lengths, "length").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.col("buckets"))).drop("buckets")
-    up = W.partitionBy("length").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    before = p.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n")).select("length", "bucket", F.coalesce(F.sum("n").over(up), F.lit(0)).alias("before"))
-    own = W.partitionBy("length", "bucket").orderBy("doc_id", "piece")
-    return p.withColumn("rank", F.row_number().over(own) - 1).join(before, ["length", "bucket"]).withColumn("rank", F.col("rank") + F.col("before")).drop("before", "bucket")
+def range_sorted(rows: DataFrame, *order: Column) -> DataFrame:
+    """rows in this order over all tasks. at: part * 2**33 + place in the part; parts are in order."""
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+
+
+def part_of(at: str) -> Column:
+    return F.shiftright(at, 33)
+
+
+def sweep(pieces: DataFrame, gaps: DataFrame, scratch: Scratch) -> DataFrame:
+    """(kind, id, value, other, got) of pieces (id, value), kind 1, and gaps (id, value), kind 0: what each was matched
+    with, or null, and the size of that."""
+    rows = gaps.select(F.lit(0).alias("kind"), "id", "value").union(pieces.select(F.lit(1).alias("kind"), "id", "value"))
+    rows = scratch.keep(range_sorted(rows, F.desc("value"), F.asc("kind"), F.asc("id")))
+    # a row for each size, kind and part: few, whatever the number of pieces
+    runs = rows.groupBy(part_of("at").alias("part"), "value", "kind").agg(F.min("at").alias("lo"), F.count(F.lit(1)).alias("n"))
+    up = F.when(F.col("kind") == 0, F.col("n")).otherwise(-F.col("n"))
+    before = F.coalesce(F.sum(up).over(W.orderBy("lo").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    runs = runs.select(F.col("part").alias("p"), F.col("value").alias("v"), F.col("kind").alias("k"), "lo", before.alias("before"))
+    x = rows.join(F.broadcast(runs), (part_of("at") == F.col("p")) & (F.col("value") == F.col("v")) & (F.col("kind") == F.col("k")))
+    own = F.col("at") - F.col("lo")
+    x = x.select("kind", "id", "value", "at", (F.col("before") + F.when(F.col("kind") == 0, own + 1).otherwise(-own)).alias("level"))
+    along = W.partitionBy("level").orderBy("at")  # of each size two runs at most
+    me = F.struct("kind", "id", "value")
+    x = x.select("kind", "id", "value", F.when(F.col("kind") == 0, F.lead(me).over(along)).otherwise(F.lag(me).over(along)).alias("o"))
+    met = F.when(F.col("o.kind") != F.col("kind"), F.col("o"))
+    out = scratch.keep(x.select("kind", "id", "value", met["id"].alias("other"), met["value"].alias("got")))
+    scratch.drop(rows)
+    return out
+
+
+def opened(pieces: DataFrame, each: int, most: int | None, scratch: Scratch) -> DataFrame:
+    """(id, value, sequence, offset, filled) of pieces (id, value) that open sequences, `each` in one, the largest first.
+    Beyond `most` pieces sequence is null."""
+    rows = scratch.keep(range_sorted(pieces.select("id", "value"), F.desc("value"), F.asc("id")))
+    parts = rows.groupBy(part_of("at").alias("p")).agg(F.min("at").alias("lo"), F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(W.orderBy("lo").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    x = rows.join(F.broadcast(parts.select("p", "lo", before.alias("before"))), part_of("at") == F.col("p"))
+    x = x.select("id", "value", (F.col("before") + F.col("at") - F.col("lo")).alias("rank"))
+    x = x.withColumn("group", F.floor(F.col("rank") / each))
+    whole = W.partitionBy("group")  # of `each` rows at most
+    along = whole.orderBy("rank")
+    opens = F.lit(True) if most is None else F.col("rank") < most
+    out = scratch.keep(x.select(
+        "id", "value", F.when(opens, F.first("id").over(along)).alias("sequence"),
+        F.coalesce(F.sum("value").over(along.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("offset"), F.sum("value").over(whole).alias("filled"),
+    ))
+    scratch.drop(rows)
+    return out
+
+
+def matched(pieces: DataFrame, size: int, scratch: Scratch) -> DataFrame:
+    """(id, sequence, offset) of pieces (id, value). A sequence is known by the id of the piece that opened it."""
+    least = pieces.agg(F.min("value")).first()[0]
+    placed: list[DataFrame] = []
+    gaps = None
+
+    def add_gaps(more: DataFrame) -> None:
+        """Gaps (id, value) that some piece fits in."""
+        nonlocal gaps
+        more = more.filter(F.col("value") >= least)
+        gaps = more if gaps is None else gaps.union(more)
+
+    for j in range(1, CLASSES + 2):
+        last = j > CLASSES
+        left = pieces.filter((F.col("value") <= size // j) & (F.lit(True) if last else F.col("value") > size // (j + 1)))
+        while True:
+            seen = left.agg(F.min("value").alias("least"), F.max("value").alias("most"), F.sum("value").alias("all")).first()
+            if seen["least"] is None:
+                break
+            widest = gaps.agg(F.max("value")).first()[0] if gaps is not None else None
+            if widest is not None and widest >= seen["least"]:
+                x = sweep(left, gaps, scratch)
+                ends = x.filter("kind = 1")
+                placed.append(ends.filter("other is not null").select("id", F.col("other").alias("sequence"), (size - F.col("got")).alias("offset")))
+                left = ends.filter("other is null").select("id", "value")
+                gaps = None
+                add_gaps(x.filter("kind = 0").select("id", (F.col("value") - F.coalesce("got", F.lit(0))).alias("value")))
+            elif j == 1:
+                placed.append(left.select("id", F.col("id").alias("sequence"), F.lit(0).cast("long").alias("offset")))
+                add_gaps(left.select("id", (size - F.col("value")).alias("value")))
+                break
+            else:
+                each = size // seen["most"] if last else j
+                x = opened(left, each, -(-seen["all"] // size) * each if last else None, scratch)
+                new = x.filter("sequence is not null")
+                placed.append(new.select("id", "sequence", "offset"))
+                add_gaps(new.filter("id = sequence").select("id", (size - F.col("filled")).alias("value")))
+                left = x.filter("sequence is null").select("id", "value")
+    out = placed[0]
+    for x in placed[1:]:
+        out = out.union(x)
+    return out
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 1024, vocabulary: str | None = None, end_id: int = 2, with_ids: bool = False) -> DataFrame:
     """One row per piece: where it starts in its document, and its sequence and offset there."""
-    spark = docs.sparkSession
-    pieces = Scratch(spark, "packing").keep(pieces_of(docs, id_col, text_col, size, vocabulary or default_vocabulary(), end_id, with_ids))
-    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `size` rows
-    runs = np.array(sorted(best_fit(counts, size)), dtype=np.int64).reshape(-1, 5)
-    kept = spark.sparkContext.broadcast(runs)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
-    arrow = arrow_schema(spark, schema)
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs = kept.value
-        starts = runs[:, 0] * (1 << 52) + runs[:, 1]
-        for b in batches:
-            cols = {n: b.column(i) for i, n in enumerate(b.schema.names)}
-            length, rank = (cols[n].to_numpy(zero_copy_only=False) for n in ("length", "rank"))
-            run = runs[np.searchsorted(starts, length * (1 << 52) + rank, side="right") - 1]
-            cols |= {"sequence_id": pa.array(run[:, 3] + rank - run[:, 1]), "offset": pa.array(run[:, 4])}
-            yield pa.RecordBatch.from_arrays([cols[f.name] for f in arrow], schema=arrow)
-
-    return ranked(pieces, counts).mapInArrow(place, schema)
+    scratch = Scratch(docs.sparkSession, "packing")
+    pieces = scratch.keep(pieces_of(docs, id_col, text_col, size, vocabulary or default_vocabulary(), end_id, with_ids).withColumn("id", F.monotonically_increasing_id()))
+    slim = scratch.keep(pieces.select("id", F.col("length").alias("value")))
+    if slim.isEmpty():
+        return pieces.drop("id").withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
+    placed = scratch.keep(matched(slim, size, scratch).withColumnRenamed("sequence", "sequence_id"))
+    scratch.drop_all_but(pieces, placed)
+    return pieces.join(placed, "id").drop("id")
 
 
 def sequences(packed: DataFrame) -> DataFrame:
