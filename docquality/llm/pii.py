@@ -8,12 +8,18 @@ instances they hold as identifiers (kind `id`). What the patterns of one round m
 identifiers teach patterns that no base kind was seen in. Tokens without a digit, and those of fewer than `shortest`
 code points, are never instances.
 
+A pattern is made of whole words of the context, in lower case and with numbers as 0; a long one is kept as its
+beginning and a hash of all of it. Of a word that holds several spans, what stands between them is a word of its own.
+
 The text is read once. What is shuffled are instances and patterns, counted per document before the shuffle. Null and
-empty texts have no spans. Repeated rows count once for the graph, since edges are distinct.
+empty texts have no spans. Rows are numbered when they are read, so rows that share a doc_id or have none keep their own
+spans. Repeated rows count once for the graph, since edges are distinct. An empty table gives no rows. Other columns are
+not looked at, whatever their names.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -111,13 +117,58 @@ def joined(spans: list[tuple[int, str, int]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, k, e in spans)
 
 
-def shape(word: str) -> str:
-    """A context word without its case and its numbers."""
-    return re.sub("[0-9]+", "0", word.lower())[:32]
+#: Code points of a context word that are kept as they are; a longer one ends in a hash of the whole.
+PLAIN = 32
 
 
-#: Code points on each side of a token that are looked at for its context; a word cut by that stays cut on every run.
-CONTEXT = 64
+def shape(word: str) -> str:
+    """A context word without its case and its numbers."""
+    word = re.sub("[0-9]+", "0", word.lower())
+    if len(word) <= PLAIN:
+        return word
+    return word[: PLAIN // 2] + hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
+
+
+_WORD = re.compile(r"\S+")
+
+
+class Context:
+    """The words around spans of one text, in time linear in the text and the spans."""
+
+    def __init__(self, text: str, spans: list[tuple[int, int, bool]]):
+        self.text = text
+        self.words = [m.span() for m in _WORD.finditer(text)]
+        self.starts = [s for s, _ in self.words]
+        self.shapes: dict[int, str] = {}
+        self.begins, self.ends = sorted(s for s, _, _ in spans), sorted(e for _, e, _ in spans)
+
+    def whole(self, i: int) -> str:
+        if not 0 <= i < len(self.words):
+            return ""
+        if i not in self.shapes:
+            self.shapes[i] = shape(self.text[slice(*self.words[i])])
+        return self.shapes[i]
+
+    def before(self, s: int) -> tuple[str, str]:
+        """The last but one and the last word before s."""
+        i = bisect.bisect_right(self.starts, s) - 1
+        if i < 0:
+            return "", ""
+        own, end = self.words[i]
+        if s >= end:  # s is not in a word
+            return self.whole(i - 1), self.whole(i)
+        k = bisect.bisect_right(self.ends, s)
+        part = self.text[max(own, self.ends[k - 1] if k else 0) : s]
+        return (self.whole(i - 1), shape(part)) if part else (self.whole(i - 2), self.whole(i - 1))
+
+    def after(self, e: int) -> str:
+        """The first word from e on."""
+        i = bisect.bisect_right(self.starts, e) - 1
+        if i >= 0 and e < self.words[i][1]:
+            k = bisect.bisect_left(self.begins, e)
+            part = self.text[e : min(self.words[i][1], self.begins[k] if k < len(self.begins) else len(self.text))]
+            return shape(part) if part else ""
+        return self.whole(i + 1)
 
 
 def candidates(text: str, base: list[tuple[int, str, int]], shortest: int) -> list[dict]:
@@ -134,11 +185,9 @@ def candidates(text: str, base: list[tuple[int, str, int]], shortest: int) -> li
                 k += 1
             if e - s >= shortest and not (k < len(taken) and taken[k][0] < e):
                 out.append((s, e, False))
-    rows = []
+    rows, context = [], Context(text, out) if out else None
     for s, e, seed in out:
-        left, right = text[max(0, s - CONTEXT) : s].split(), text[e : e + CONTEXT].split()
-        l2, l1 = ["", "", *map(shape, left[-2:])][-2:]
-        r1 = shape(right[0]) if right else ""
+        (l2, l1), r1 = context.before(s), context.after(e)
         patterns = [f"{l2} {l1} _"] * bool(l1) + [f"{l1} _ {r1}"] * bool(l1 and r1)
         if patterns:
             value = hashlib.blake2b(text[s:e].lower().encode("utf-8", "surrogatepass"), digest_size=8).digest()
@@ -150,7 +199,7 @@ SCAN = "array<struct<start:int,end:int,seed:boolean,value:bigint,patterns:array<
 
 
 def scan(docs: DataFrame, id_col: str, text_col: str, shortest: int) -> DataFrame:
-    """doc_id, base spans and candidate tokens of every document."""
+    """doc_id, base spans and candidate tokens of every document, with a number of the row."""
     ship(docs.sparkSession)
     src = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
 
@@ -159,7 +208,7 @@ def scan(docs: DataFrame, id_col: str, text_col: str, shortest: int) -> DataFram
         found = [candidates(x, b, shortest) for x, b in zip(texts_of(batch, "text"), base, strict=True)]
         return {"doc_id": batch.column(0), "base": [joined(b) for b in base], "candidates": found}
 
-    return map_batches(src, run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, base string, candidates {SCAN}")
+    return map_batches(src, run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, base string, candidates {SCAN}").withColumn("row", F.monotonically_increasing_id())
 
 
 def trusted_patterns(edges: DataFrame, scratch: Scratch, rounds: int, smoothing: float, least: float, least_seeds: int) -> DataFrame:
@@ -174,7 +223,8 @@ def trusted_patterns(edges: DataFrame, scratch: Scratch, rounds: int, smoothing:
     trust = edges.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("trust"), F.max("seed").alias("sure"))
     patterns = None
     for i in range(rounds):
-        scored = edges.join(trust, "value").groupBy("pattern").agg(F.sum("trust").alias("mass"), F.count(F.lit(1)).alias("n"), F.count_if("sure").alias("seeds"))
+        # written first, so that both sides of the join are plain shuffles, which Spark can split where a value is common
+        scored = edges.join(scratch.keep(trust), "value").groupBy("pattern").agg(F.sum("trust").alias("mass"), F.count(F.lit(1)).alias("n"), F.count_if("sure").alias("seeds"))
         patterns = scratch.keep(scored.select("pattern", "seeds", (F.col("mass") / (F.col("n") + smoothing)).alias("trust")).filter("trust > 0"))
         if i + 1 < rounds:
             found = edges.join(patterns, "pattern", "left")
@@ -191,14 +241,16 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ro
     """
     scratch = Scratch(docs.sparkSession, "pii")
     found = scratch.keep(scan(docs, id_col, text_col, shortest))
-    tokens = found.select("doc_id", F.explode("candidates").alias("c")).select("doc_id", "c.*")
+    tokens = found.select("row", F.explode("candidates").alias("c")).select("row", "c.*")
     edges = tokens.select(F.explode("patterns").alias("pattern"), "value", "seed").groupBy("pattern", "value").agg(F.max("seed").alias("seed"))
-    good = trusted_patterns(edges, scratch, rounds, smoothing, least_trust, least_seeds)
-    unseen = tokens.filter(~F.col("seed")).select("doc_id", "start", "end", F.explode("patterns").alias("pattern"))
-    hits = unseen.join(good, "pattern").groupBy("doc_id", "start", "end").agg(F.max("trust").alias("trust"))
+    good = scratch.keep(trusted_patterns(edges, scratch, rounds, smoothing, least_trust, least_seeds))
+    unseen = tokens.filter(~F.col("seed")).select("row", "start", "end", F.explode("patterns").alias("pattern"))
+    hits = unseen.join(good, "pattern").groupBy("row", "start", "end").agg(F.max("trust").alias("trust"))
     # no identifier is collected with those of other documents; one document's are as many as its tokens at most
-    by_doc = hits.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "trust")).alias("identifiers"))
-    return found.select("doc_id", "base").join(by_doc, "doc_id", "left")
+    by_row = scratch.keep(hits.groupBy("row").agg(F.collect_list(F.struct("start", "end", "trust")).alias("identifiers")))
+    slim = scratch.keep(found.select("row", "doc_id", "base"))
+    scratch.drop_all_but(slim, by_row)
+    return slim.join(by_row, "row", "left").drop("row")
 
 
 def digest(found: DataFrame) -> DataFrame:
