@@ -193,9 +193,7 @@ def verified(pairs: DataFrame, classes: DataFrame, dim: int, cosine: float) -> D
 
     def near(batch: pa.RecordBatch) -> dict:
         v = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-        x, y = _matrix(v["x"], dim), _matrix(v["y"], dim)
-        dot = (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1)))
-        keep = pa.array(dot >= cosine)
+        keep = pa.array((unit(_matrix(v["x"], dim)) * unit(_matrix(v["y"], dim))).sum(1) >= cosine)
         return {n: v[n].filter(keep) for n in ("a", "b")}
 
     return map_batches(full.select("a", "b", "x", "y"), near, "a long, b long")
