@@ -3,8 +3,8 @@
 A document's own evidence is the log-odds that it is good (and that it is toxic), from a logistic regression on how it
 is written and on the labelled words it holds. Its site has evidence as well: documents of one host, and of one path of
 that host, tend to be alike. Each level's share of good documents is drawn toward that of the level above, by as many
-documents as the spread between groups of that level calls for (method of moments), so that sparse paths follow their
-host and sparse hosts follow all. A document does not count for its own site. The posterior adds the document's
+documents as the spread between groups of that level (of hosts around all, of paths around their host) calls for beyond
+the spread within them (method of moments), so that sparse paths follow their host and sparse hosts follow all. A document does not count for its own site. The posterior adds the document's
 log-odds and what its path's log-odds exceed the global ones by.
 
 Labelled words are those of a bounded sample of labelled documents; a word's log-odds are shrunk by its few documents.
@@ -12,7 +12,8 @@ All documents count for the shares of their hosts and paths; groups are sums, wh
 
 Defined results: null and empty texts have no words and get the evidence of that; null hosts and paths are groups of
 their own; with no labels of both kinds, or fewer than LEAST_LABELS, the evidence is 0 and everything is kept. Rows with
-one id are judged one by one. An empty table gives no rows.
+one id are judged one by one, and each counts for its site. An empty table gives no rows. Other columns are not looked
+at, whatever their names.
 """
 
 from __future__ import annotations
@@ -194,28 +195,41 @@ def logit(p: Column) -> Column:
 
 
 def strength(groups: DataFrame) -> float:
-    """Documents that a group's parent is worth: from the spread of the shares of groups (n, mass) beyond chance."""
+    """Documents that a group's parent is worth: the variance within groups over that between groups of one parent.
+
+    groups: n documents of the sum `mass`, of the sum of squares `sq` (without it, each is 0 or 1), under the parent of
+    `pn` documents and the sum `pmass` (without them, under all).
+    """
+    has = set(groups.columns)
+    if "pn" not in has:
+        whole = groups.agg(F.sum("n"), F.sum("mass")).first()
+        groups = groups.withColumns({"pn": F.lit(whole[0]), "pmass": F.lit(whole[1])})
+    sq = F.col("sq") if "sq" in has else F.col("mass")
+    apart = F.col("mass") / F.col("n") - F.col("pmass") / F.col("pn")
     r = groups.agg(
-        F.sum("n").alias("n"), F.sum("mass").alias("mass"), F.count(F.lit(1)).alias("k"), F.sum(F.col("mass") * F.col("mass") / F.col("n")).alias("ss"), F.sum(F.col("n") * F.col("n")).alias("nn")
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.sum(sq - F.col("mass") * F.col("mass") / F.col("n")).alias("within"),
+        F.sum(F.col("n") * apart * apart).alias("between"), F.sum(1 - F.col("n") / F.col("pn")).alias("free"), F.sum(F.col("n") * (1 - F.col("n") / F.col("pn"))).alias("size"),
     ).first()
-    if not r["n"] or r["k"] < 2:
+    if not r["n"] or not r["size"] or r["size"] < 1e-9:
         return 1.0
-    m = min(max(r["mass"] / r["n"], 1e-6), 1 - 1e-6)
-    between = (r["ss"] - r["n"] * m * m - (r["k"] - 1) * m * (1 - m)) / max(1e-9, r["n"] - r["nn"] / r["n"])
-    return float(min(max(m * (1 - m) / max(between, 1e-9) - 1, 1.0), 1e6))
+    chance = max(r["within"], 0.0) / max(1.0, r["n"] - r["k"])
+    spread = (r["between"] - r["free"] * chance) / r["size"]
+    return float(min(max(chance / max(spread, 1e-12), 1.0), 1e6))
 
 
-def with_site(scored: DataFrame, head: str) -> DataFrame:
+def with_site(scored: DataFrame, head: str, scratch: Scratch) -> DataFrame:
     """Adds <head>_site, what a document's path adds to its log-odds, without the document itself."""
     p = 1 / (1 + F.exp(-F.col(head)))
-    sums = [F.count(F.lit(1)).alias("n"), F.sum("p").alias("mass")]
+    sums = [F.count(F.lit(1)).alias("n"), F.sum("p").alias("mass"), F.sum(F.col("p") * F.col("p")).alias("sq")]
     x = scored.withColumn("p", p)
-    paths = x.groupBy("host", "path").agg(*sums)
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("mass").alias("hmass"))
+    paths = scratch.keep(x.groupBy("host", "path").agg(*sums))
+    hosts = scratch.keep(paths.groupBy(F.col("host").alias("__host")).agg(F.sum("n").alias("hn"), F.sum("mass").alias("hmass"), F.sum("sq").alias("hsq")))
     whole = hosts.agg(F.sum("hn").alias("n"), F.sum("hmass").alias("mass")).first()
     share = (whole["mass"] / whole["n"]) if whole["n"] else 0.5
-    k_host, k_path = strength(hosts.select(F.col("hn").alias("n"), F.col("hmass").alias("mass"))), strength(paths)
-    sites = paths.join(hosts.withColumnRenamed("host", "__host"), F.col("host").eqNullSafe(F.col("__host"))).drop("__host").select(F.col("host").alias("__host"), F.col("path").alias("__path"), "n", "mass", "hn", "hmass")
+    # written first: where sites are few they are broadcast, else both sides are plain shuffles, which Spark can split
+    sites = scratch.keep(paths.join(hosts, F.col("host").eqNullSafe(F.col("__host"))).select("__host", F.col("path").alias("__path"), "n", "mass", "sq", "hn", "hmass"))
+    k_host = strength(hosts.select(F.col("hn").alias("n"), F.col("hmass").alias("mass"), F.col("hsq").alias("sq")))
+    k_path = strength(sites.select("n", "mass", "sq", F.col("hn").alias("pn"), F.col("hmass").alias("pmass")))
     y = x.join(sites, F.col("host").eqNullSafe(F.col("__host")) & F.col("path").eqNullSafe(F.col("__path")))
     host = (F.col("hmass") - F.col("p") + k_host * share) / (F.col("hn") - 1 + k_host)
     path = (F.col("mass") - F.col("p") + k_path * host) / (F.col("n") - 1 + k_path)
@@ -242,7 +256,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     scratch = Scratch(docs.sparkSession, "quality")
     scored = scratch.keep(map_batches(src, score, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, host string, path string, quality double, toxic double"))
     for head in HEADS:
-        scored = with_site(scored, head)
+        scored = with_site(scored, head, scratch)
     good, bad = (1 / (1 + F.exp(-(F.col(h) + F.col(f"{h}_site")))) for h in HEADS)
     learned = [bool(np.any(model.weights[k])) for k in range(2)]
     keep = ((F.col("score") >= 0.5) if learned[0] else F.lit(True)) & ((F.col("toxicity") < 0.5) if learned[1] else F.lit(True))

@@ -448,3 +448,24 @@ def test_sparse_groups_shrink(spark):
     even = spark.createDataFrame([(10.0, 5.0)] * 20, "n double, mass double")
     apart = spark.createDataFrame([(10.0, 0.5), (10.0, 9.5)] * 10, "n double, mass double")
     assert quality.strength(even) > 100 * quality.strength(apart)
+
+
+def test_strength_of_known_groups(spark):
+    rng = np.random.default_rng(14)
+    for k_host, k_path in ((3.0, 30.0), (40.0, 5.0)):
+        rows = []
+        for _ in range(400):
+            host = rng.beta(0.4 * k_host, 0.6 * k_host)
+            paths = []
+            for _ in range(6):
+                n = int(rng.integers(1, 60))
+                path = rng.beta(max(1e-3, host * k_path), max(1e-3, (1 - host) * k_path))
+                x = (rng.random(n) < path).astype(float)
+                paths.append((float(n), float(x.sum()), float((x * x).sum())))
+            pn, pmass = sum(p[0] for p in paths), sum(p[1] for p in paths)
+            rows += [(*p, pn, pmass) for p in paths]
+        got = quality.strength(spark.createDataFrame(rows, "n double, mass double, sq double, pn double, pmass double"))
+        assert 0.7 * k_path <= got <= 1.4 * k_path  # the spread of paths within hosts, whatever that of hosts is
+    soft = spark.createDataFrame([(100.0, 50.0 + d, (50.0 + d) ** 2 / 100 + 0.01) for d in (-5.0, 5.0) * 20], "n double, mass double, sq double")
+    hard = soft.drop("sq")
+    assert quality.strength(soft) < 1.001 < quality.strength(hard)  # documents of one value each say more than chance would
