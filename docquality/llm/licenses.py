@@ -1,11 +1,14 @@
 """License scans: ordered signature rules behind a keyword gate.
 
-A rule is a regular expression over the normalised words of a text, with a label, a priority and a keyword. One
-Aho-Corasick pass finds which keywords a text holds; only their rules run. Detections are then settled in order of
-priority, length and place: one that lies within a stronger detection is suppressed.
-
-Null and empty texts have no words and no labels. Ties are settled by rule order, so the result is the same on every
-run. Work per document is linear in its text, and nothing is shuffled.
+A rule (license_rules.py) is a regular expression over the normalised words of a text, with a label, a priority and a
+keyword that each of its matches holds. One Aho-Corasick pass finds which keywords a text holds; only their rules run.
+Detections are then settled in order of priority, length, place and rule: one that lies within a stronger detection, or
+around one, is suppressed.
+
+Defined results: null and empty texts have no words and no labels. Ties are settled by rule order, so the result is the
+same on every run. Rows are scanned one by one, so repeated rows, and rows that share a doc_id or have none, get their
+own results. An empty table gives no rows. Other columns are not looked at, whatever their names. Work per document is
+linear in its text, and nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -19,96 +22,12 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents, map_batches, ship, texts_of
+from .common import documents, map_batches, texts_of
+from .license_rules import RULES
 
 # The phrases of the base result and their labels.
 BASE_PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: License families by label: the names they go by, in normalised words (`?` and alternation as in a regex).
-NAMES = {
-    "mit": ["mit", "expat", "x11"],
-    "apache": ["apache(?: software)?", "asl"],
-    "apache-1.1": ["apache(?: software)? license(?: version)? 1 1"],
-    "apache-2.0": ["apache(?: software)? license(?: version)? 2(?: 0)?", "apache 2(?: 0)?", "asl 2 0"],
-    "gpl": ["gnu gpl", "gpl", "gnu general public license", "general public license"],
-    "gpl-2.0": ["gpl ?v?2(?: 0)?", "general public license(?: version)? v?2(?: 0)?"],
-    "gpl-3.0": ["gpl ?v?3(?: 0)?", "general public license(?: version)? v?3(?: 0)?"],
-    "lgpl": ["lgpl", "lesser general public license", "library general public license"],
-    "lgpl-2.1": ["lgpl ?v?2 1", "lesser general public license(?: version)? v?2 1"],
-    "lgpl-3.0": ["lgpl ?v?3(?: 0)?", "lesser general public license(?: version)? v?3(?: 0)?"],
-    "agpl": ["agpl", "affero general public license"],
-    "agpl-3.0": ["agpl ?v?3(?: 0)?", "affero general public license(?: version)? v?3(?: 0)?"],
-    "bsd": ["bsd", "berkeley software distribution"],
-    "bsd-2-clause": ["bsd 2 clause", "(?:2|two) clause bsd", "simplified bsd", "freebsd"],
-    "bsd-3-clause": ["bsd 3 clause", "(?:3|three) clause bsd", "(?:new|revised|modified) bsd"],
-    "bsd-4-clause": ["bsd 4 clause", "(?:4|four) clause bsd", "original bsd"],
-    "mpl": ["mpl", "mozilla public"],
-    "mpl-1.1": ["mpl 1 1", "mozilla public license(?: version)? 1 1"],
-    "mpl-2.0": ["mpl 2(?: 0)?", "mozilla public license(?: version)? 2(?: 0)?"],
-    "epl": ["epl", "eclipse public"],
-    "epl-2.0": ["epl 2 0", "eclipse public license(?: version)? 2 0"],
-    "cddl": ["cddl", "common development and distribution"],
-    "cc0-1.0": ["cc0(?: 1 0)?", "creative commons zero"],
-    "cc-by": ["cc by", "creative commons attribution"],
-    "cc-by-4.0": ["cc by 4 0", "creative commons attribution 4 0"],
-    "cc-by-sa": ["cc by sa(?: \\d \\d)?", "creative commons attribution share ?alike"],
-    "cc-by-nc": ["cc by nc(?: \\d \\d)?", "creative commons attribution non ?commercial"],
-    "cc-by-nd": ["cc by nd(?: \\d \\d)?", "creative commons attribution no ?deriv(?:s|atives)"],
-    "cc-by-nc-sa": ["cc by nc sa(?: \\d \\d)?"],
-    "cc-by-nc-nd": ["cc by nc nd(?: \\d \\d)?"],
-    "isc": ["isc", "internet systems consortium"],
-    "zlib": ["zlib", "zlib libpng"],
-    "unlicense": ["unlicense"],
-    "wtfpl": ["wtfpl", "do what the fuck you want to public"],
-    "boost": ["boost software", "bsl 1 0"],
-    "artistic": ["artistic", "perl artistic"],
-    "python": ["psf", "python software foundation"],
-    "postgresql": ["postgresql"],
-    "openssl": ["openssl"],
-    "ofl": ["sil open font", "ofl 1 1"],
-    "odbl": ["odbl", "open database"],
-    "eupl": ["eupl", "european union public"],
-    "ms-pl": ["ms pl", "microsoft public"],
-    "ncsa": ["ncsa", "university of illinois"],
-    "proprietary": ["proprietary", "commercial"],
-}
-
-#: How a text says that a license holds: (words before, words after, strength, keyword).
-PHRASINGS = [
-    (r"(?:released|licensed|distributed|available|provided|published) under (?:the )?(?:terms of (?:the )?)?", r"(?: licen[cs]e)?(?: agreement)?", 90, "under"),
-    (r"(?:is|are) (?:covered|governed) by (?:the )?", r"(?: licen[cs]e)?", 85, "ed by"),
-    (r"spdx license identifier ", r"(?: only| or later)?", 100, "spdx"),
-    (r"subject to (?:the )?(?:terms of (?:the )?)?", r"(?: licen[cs]e)?", 70, "subject to"),
-    (r"permission (?:is )?granted under (?:the )?", r"(?: licen[cs]e)?", 80, "permission"),
-    (r"", r" licen[cs]e(?:s|d)?", 50, "licen"),
-]
-
-#: Signatures that do not name their license: (label, expression, strength, keyword).
-SIGNATURES = [
-    ("mit", r"permission is hereby granted free of charge to any person obtaining a copy", 95, "hereby granted"),
-    ("mit", r"the software is provided as is without warranty of any kind express or implied", 60, "provided as is"),
-    ("apache-2.0", r"you may not use this file except in compliance with the license", 95, "in compliance"),
-    ("gpl", r"this program is free software you can redistribute it and or modify", 95, "redistribute it"),
-    ("lgpl", r"this library is free software you can redistribute it and or modify", 96, "redistribute it"),
-    ("bsd", r"redistribution and use in source and binary forms with or without modification are permitted", 95, "binary forms"),
-    ("bsd-3-clause", r"neither the name of .{1,80}? nor the names of its contributors", 96, "neither the name"),
-    ("bsd-4-clause", r"all advertising materials mentioning features or use of this software", 96, "advertising materials"),
-    ("isc", r"permission to use copy modify and or distribute this software for any purpose", 95, "to use copy"),
-    ("unlicense", r"this is free and unencumbered software released into the public domain", 95, "unencumbered"),
-    ("public-domain", r"(?:released|placed|dedicated) (?:in|into|to) the public domain", 70, "public domain"),
-    ("zlib", r"altered source versions must be plainly marked as such", 95, "plainly marked"),
-    ("boost", r"boost software license version 1 0", 96, "boost software"),
-    ("proprietary", r"all rights reserved", 30, "all rights"),
-    ("proprietary", r"(?:unauthorized|unauthorised) (?:copying|distribution|use) .{0,40}?(?:prohibited|forbidden)", 60, "unauthori"),
-    ("cc-by", r"creativecommons org licenses by (?:\d \d)?", 98, "creativecommons"),
-    ("cc-by-sa", r"creativecommons org licenses by sa (?:\d \d)?", 99, "creativecommons"),
-    ("cc-by-nc", r"creativecommons org licenses by nc (?:\d \d)?", 99, "creativecommons"),
-    ("apache-2.0", r"apache org licenses license 2 0", 98, "apache org"),
-    ("gpl", r"gnu org licenses gpl", 98, "gnu org"),
-    ("mpl-2.0", r"mozilla org mpl 2 0", 98, "mozilla org"),
-]
-
-
 @dataclass(frozen=True)
 class Rule:
     label: str
@@ -119,15 +38,8 @@ class Rule:
 
 @functools.cache
 def rules() -> tuple[Rule, ...]:
-    """Every phrasing of every family, then the signatures: some four hundred rules, in order."""
-    out = []
-    for label, names in NAMES.items():
-        any_name = f"(?:{'|'.join(names)})"
-        for before, after, strength, keyword in PHRASINGS:
-            # a more specific name outranks its family; the longer detection wins between equals
-            out.append(Rule(label, re.compile(rf"(?<![^ ]){before}{any_name}{after}(?![^ ])"), strength + label.count("-"), keyword))
-    out += [Rule(label, re.compile(rf"(?<![^ ]){x}(?![^ ])"), strength, keyword) for label, x, strength, keyword in SIGNATURES]
-    return tuple(out)
+    """The rules in their order, between word boundaries."""
+    return tuple(Rule(label, re.compile(rf"(?<![^ ]){x}(?![^ ])"), strength, keyword) for label, keyword, strength, x in RULES)
 
 
 @functools.cache
@@ -204,7 +116,6 @@ def scan_text(text: str) -> dict:
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its words, base phrases, labels, score, and the detections with their places in the
     normalised text (words joined by single spaces)."""
-    ship(docs.sparkSession)
     src = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
 
     def scan(batch: pa.RecordBatch) -> dict:

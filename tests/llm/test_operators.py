@@ -469,3 +469,26 @@ def test_strength_of_known_groups(spark):
     soft = spark.createDataFrame([(100.0, 50.0 + d, (50.0 + d) ** 2 / 100 + 0.01) for d in (-5.0, 5.0) * 20], "n double, mass double, sq double")
     hard = soft.drop("sq")
     assert quality.strength(soft) < 1.001 < quality.strength(hard)  # documents of one value each say more than chance would
+
+
+def test_base_phrases_by_brute_force(spark):
+    rng = random.Random(15)
+    parts = ["MIT", "License", "license", "Apache", "GENERAL", "public", "é", "mit-license", "x", "general public", "\x7f", "'", "licensé", "  ", "\n", "mit license."]
+    texts = [*ODD, *("".join(rng.choice(parts) + rng.choice([" ", "-", "/", ""]) for _ in range(rng.randrange(12))) for _ in range(600))]
+    phrases = {("mit", "license"): "mit", ("apache", "license"): "apache", ("general", "public", "license"): "gpl"}
+    for t, r in zip(texts, licenses.license_scan(docs(spark, texts)).orderBy("doc_id").collect(), strict=True):
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+        at = sorted((i, label) for p, label in phrases.items() for i in range(len(w)) if tuple(w[i : i + len(p)]) == p)
+        assert (r["n_words"], r["n_base"]) == (len(w), len(at)), t
+        assert (r["first_word"], r["last_word"]) == ((at[0][0], at[-1][0]) if at else (None, None)), t
+        assert r["base_labels"] == ",".join(sorted({x for _, x in at})) and set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(","))
+
+
+def test_rules_hold_their_keyword():
+    known = licenses.rules()
+    assert len(known) > 250 and len({r.keyword for r in known}) > 0.95 * len(known)
+    for rule, (_, keyword, strength, x) in zip(known, licenses.RULES, strict=True):
+        assert keyword in x.replace("licen[cs]e", "license") and 0 < strength <= 101, x
+    assert [x[3] for x in licenses.detections("spdx license identifier gpl 2 0 or later")] == ["gpl-2.0"]
+    assert [x[3] for x in licenses.detections("the gnu lesser general public license version 2 1 and the isc license")] == ["lgpl-2.1", "isc"]
