@@ -90,14 +90,12 @@ class Scratch:
         self.paths: dict[str, None] = {}
         self.n = 0
 
-    def keep(self, df: DataFrame, by: str | None = None) -> DataFrame:
-        """Write df, and return it as read back; its shuffle files go. The schema is given, so that no job infers it.
-
-        by: a column of few values, each of which gets a folder of its own."""
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Write df, and return it as read back; its shuffle files go. The schema is given, so that no job infers it."""
         path = f"{self.root}/{self.n}"
         self.n += 1
-        with setting(self.spark, CLEANUP, "true"), setting(self.spark, "spark.sql.maxConcurrentOutputFileWriters", "16"):
-            (df.write.partitionBy(by) if by else df.write).parquet(path)
+        with setting(self.spark, CLEANUP, "true"):
+            df.write.parquet(path)
         self.paths[path] = None
         out = self.spark.read.schema(T.StructType([T.StructField(f.name, f.dataType) for f in df.schema])).parquet(path)
         out._scratch_path = path
@@ -108,12 +106,6 @@ class Scratch:
         for df in frames:
             self._delete(df._scratch_path)
 
-    def drop_part(self, df: DataFrame, by: str, value: int) -> None:
-        """Free one folder of a table that was written by a column."""
-        path = f"{df._scratch_path}/{by}={value}"
-        self.paths[path] = None
-        self._delete(path)
-
     def drop_all_but(self, *frames: DataFrame) -> None:
         """Free every table but these."""
         stay = {df._scratch_path for df in frames}

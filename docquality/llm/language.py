@@ -19,7 +19,6 @@ a result is replaced.
 from __future__ import annotations
 
 import uuid
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -281,7 +280,7 @@ def reader_of(mark: str, weights: dict[str, np.ndarray]) -> Reader:
     return _readers[mark]
 
 
-def sampled_words(docs: DataFrame, eligible: Column, sample_docs: int, sample_words: int | None = None) -> list:
+def sample(docs: DataFrame, eligible: Column, sample_docs: int, sample_words: int | None = None) -> DataFrame:
     """(lang, words) of a sample of the labelled documents that are eligible; sample_words: evenly spread words of each,
     or (None) all.
 
@@ -300,29 +299,36 @@ def sampled_words(docs: DataFrame, eligible: Column, sample_docs: int, sample_wo
             words = [[w[i] for i in np.unique(np.linspace(0, len(w) - 1, min(len(w), sample_words)).astype(int))] if w else [] for w in words]
         return {"lang": batch.column(0), "words": words}
 
-    return map_batches(part.select("lang", "text"), some, "lang string, words array<binary>").collect()
+    return map_batches(part.select("lang", "text"), some, "lang string, words array<binary>")
+
+
+def sampled_words(docs: DataFrame, eligible: Column, sample_docs: int, sample_words: int | None = None) -> list:
+    return sample(docs, eligible, sample_docs, sample_words).collect()
 
 
-def learned(rows: list) -> tuple[list[str], dict[str, np.ndarray]] | None:
-    """The languages, and the weights of a network trained on (lang, words); none where there are no words."""
-    languages = sorted({r["lang"] for r in rows if r["words"]})
-    seen: Counter[tuple[int, bytes]] = Counter()
-    for r in rows:
-        if r["words"]:
-            k = languages.index(r["lang"])
-            seen.update((k, bytes(w)) for w in r["words"])
+def learned(counted: list[tuple[str, bytes, int]]) -> tuple[list[str], dict[str, np.ndarray]] | None:
+    """The languages, and the weights of a network trained on (lang, word, times); none where there are no words."""
     # by language and word, so that the order in which tasks end does not matter
-    read = [(k, x[0], n) for (k, w), n in sorted(seen.items()) if has_letter(w) for x in windows(w)]
-    if not read:
+    known = sorted(x for x in counted if has_letter(x[1]))
+    if not known:
         return None
-    labels, words, counts = (list(x) for x in zip(*read, strict=True))
+    languages = sorted({x[0] for x in known})
+    number = {x: k for k, x in enumerate(languages)}
+    labels, words, counts = [], [], []
+    for lang, word, n in known:
+        for x, _, _ in windows(word):
+            labels.append(number[lang])
+            words.append(x)
+            counts.append(n)
     return languages, train(words, np.array(labels), len(languages), counts=np.array(counts, float)).weights
 
 
 def model(docs: DataFrame, eligible: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS) -> tuple[list[str], dict[str, np.ndarray]] | None:
     """What is learned from the rows that eligible (a condition on doc_id, text, lang) holds for."""
     src = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), docs[lang_col].alias("lang"))
-    return learned(sampled_words(src, eligible, sample_docs))
+    words = sample(src, eligible, sample_docs).select("lang", F.explode("words").alias("word"))
+    counted = words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")).toArrow()  # of a bounded sample
+    return learned(list(zip(*(counted.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True)))
 
 
 def label(docs: DataFrame, known: tuple[list[str], dict[str, np.ndarray]] | None, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:

@@ -19,8 +19,7 @@ sketches, without a row for each pair. So no group is expanded into all of its p
 Pairs are first held against 512-bit parity sketches (one bit for each shingle; their Hamming distance is a lower bound
 of the symmetric difference, too), then the shingle sets are intersected exactly.
 
-Keys are made in PARTS by their hash, each a folder of its own: one part is shuffled at a time, and its folder goes
-before the next. Which keys hold two classes is found by an aggregation, so a key of very many rows is combined before
+Keys are made in PARTS by their hash, each a column of its own: one part is read and shuffled at a time. Which keys hold two classes is found by an aggregation, so a key of very many rows is combined before
 the shuffle, and joins are between written tables, so that Spark can split a crowded key among tasks.
 
 Defined results: null or empty texts, and texts without words, have no shingles and no links; texts with fewer words
@@ -141,39 +140,33 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def sketches(docs: DataFrame, words: int, num: int, den: int, scratch: Scratch) -> DataFrame:
-    """Of docs (doc_id, th, text): rows (part, doc_id, th, n, set_id, parity, keys), written with a folder for each part.
+    """(doc_id, th, n, set_id, parity, k0, k1, ...) of docs (doc_id, th, text), written. set_id stands for the set: equal
+    sets have equal ones, 0 is the empty set. k0 and on have the keys, in PARTS.
 
-    Part -1 has one row for each document; set_id stands for its set: equal sets have equal ones, 0 is the empty set.
-    The other parts have the keys of sets. Of equal sets that one task meets, the first has the parity and the keys, so
-    copies are reduced before the shuffle.
+    Of equal sets that one task meets, the first has the parity and the keys, so copies are reduced before the shuffle.
     """
     ship(docs.sparkSession)
-    schema = f"part int, doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, n long, set_id long, parity binary, keys array<long>"
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, n long, set_id long, parity binary" + "".join(f", k{p} array<long>" for p in range(PARTS))
     arrow = arrow_schema(docs.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, seen = Bands(num, den), set()
         for b in slices(batches):
-            at, rows = [], []
-            for i, text in enumerate(texts_of(b, "text")):
+            rows = []
+            for text in texts_of(b, "text"):
                 s = shingle_set(text, words)
                 c = set_id(s)
-                new = c not in seen
+                if c in seen or not len(s):
+                    rows.append((len(s), c, *[None] * (1 + PARTS)))
+                    continue
                 seen.add(c)
-                at.append(i)
-                rows.append((-1, len(s), c, parity(s) if new else None, None))
-                if new and len(s):
-                    keys = block_keys(s, bands)
-                    part = keys % _U(PARTS)
-                    for p in range(PARTS):
-                        if len(own := keys[part == p]):
-                            at.append(i)
-                            rows.append((p, None, c, None, own.view(np.int64)))
-            take, columns = pa.array(at), list(map(list, zip(*rows, strict=True)))
-            got = {"part": columns[0], "doc_id": b.column(0).take(take), "th": b.column(1).take(take), **dict(zip(("n", "set_id", "parity", "keys"), columns[1:], strict=True))}
-            yield pa.RecordBatch.from_arrays([x if isinstance(x := got[f.name], pa.Array) else pa.array(x, f.type) for f in arrow], schema=arrow)
-
-    return scratch.keep(docs.select("doc_id", "th", "text").mapInArrow(run, schema), by="part")
+                keys = block_keys(s, bands)
+                part = keys % _U(PARTS)
+                rows.append((len(s), c, parity(s), *[keys[part == p].view(np.int64) for p in range(PARTS)]))
+            columns = [pa.array(list(x), f.type) for x, f in zip(zip(*rows, strict=True), list(arrow)[2:], strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], schema=arrow)
+
+    return scratch.keep(docs.select("doc_id", "th", "text").mapInArrow(run, schema))
 
 
 def set_id(s: np.ndarray) -> int:
@@ -224,9 +217,9 @@ def links(sketched: DataFrame, found: DataFrame, docs: DataFrame, scratch: Scrat
     spark = docs.sparkSession
     under = None
     for p in range(PARTS):
-        part = groups_under_keys(sketched.filter(F.col("part") == p).select(F.explode("keys").alias("key"), "set_id"), scratch)
+        part = groups_under_keys(sketched.select(F.explode(f"k{p}").alias("key"), "set_id"), scratch)
         under = part if under is None else under.union(part)
-        scratch.drop_part(sketched, "part", p)
+    scratch.drop(sketched)
     classes = found.filter("n > 0").groupBy("set_id").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.any_value("n").alias("n"), F.max("parity").alias("parity"))
     slim = scratch.keep(under.select("set_id").distinct().join(classes, "set_id"))
     kind = arrow_schema(spark, "set_id long, shingles binary")
@@ -360,8 +353,7 @@ def grouped(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """(doc_id, th, n, set_id, root) of docs (doc_id, th, text); root stands for the component, null without shingles."""
     scratch = Scratch(docs.sparkSession, "ngram")
     sketched = sketches(docs, words, num, den, scratch)
-    found = scratch.keep(sketched.filter("part = -1").select("doc_id", "th", "n", "set_id", "parity"))
-    scratch.drop_part(sketched, "part", -1)
+    found = scratch.keep(sketched.select("doc_id", "th", "n", "set_id", "parity"))
     roots = links(sketched, found, docs, scratch, words, num, den)
     rooted = found.select("doc_id", "th", "n", F.when(F.col("n") > 0, F.col("set_id")).alias("set_id")).join(roots.toDF("set_id", "root"), "set_id", "left")
     out = scratch.keep(rooted.select("doc_id", "th", "n", "set_id", F.coalesce("root", "set_id").alias("root")))
