@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import functools
+import json
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,33 +22,62 @@ LABEL_WORDS = ("NOME", "CPF", "NASCIMENTO", "FILIACAO", "VALIDADE", "REGISTRO",
 PIVOT = 30
 
 
+#: Leads, vowels and tails that Korean syllables decompose into.
+_SYLLABLES, _LEAD, _VOWEL, _TAIL = 0xAC00, 0x1100, 0x1161, 0x11A7
+_ASCII_ONLY = r"^[\x00-\x7F]*+$"
+
+
+def _folded(c: str) -> str:
+    """A character's compatibility decomposition, without combining marks."""
+    return "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+
+
+@functools.cache
+def _all_folds() -> dict[str, str]:
+    """What each character beyond ASCII becomes, Korean syllables apart, if it does not stay."""
+    planes = [*range(0x80, 0xAC00), *range(0xD7A4, 0xD800), *range(0xE000, 0x30000)]
+    return {c: k for c in map(chr, planes) if (k := _folded(c)) != c}
+
+
 @functools.cache
 def _folds() -> tuple[str, str]:
-    """For translate(): characters whose compatibility decomposition has one base character, then marks to delete."""
-    one, base, gone = [], [], []
-    for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x10000)]):
-        kept = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
-        if not kept:
-            gone.append(c)
-        elif len(kept) == 1 and kept != c:
-            one.append(c)
-            base.append(kept)
-    return "".join(one + gone), "".join(base)
+    """For translate(): characters that become one other, then those that go."""
+    one = {c: k for c, k in _all_folds().items() if len(k) == 1}
+    return "".join([*one, *(c for c, k in _all_folds().items() if not k)]), "".join(one.values())
+
+
+@functools.cache
+def _long_folds() -> tuple[str, str]:
+    """A pattern of the characters that become several, and what they become, as the text of a JSON object."""
+    several = {c: k for c, k in _all_folds().items() if len(k) > 1}
+    points, runs = sorted(map(ord, several)), []
+    for p in points:
+        if runs and p == runs[-1][1] + 1:
+            runs[-1][1] = p
+        else:
+            runs.append([p, p])
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in [*runs, [_SYLLABLES, 0xD7A3]]) + "]", json.dumps(several)
 
 
 def strip_accents(c: Column) -> Column:
-    """Without combining marks. Characters that decompose into several stay; strip_accents_full handles them."""
-    return F.translate(c, *_folds())
+    """The compatibility decomposition without combining marks: accents, ligatures, fractions, signs and syllables."""
+    pattern, several = _long_folds()
 
+    def syllable(x: Column) -> Column:
+        n = F.ascii(x) - _SYLLABLES
+        letter = lambda first, count, i: F.substring(F.lit("".join(chr(first + k) for k in range(count))), (i + 1).cast("int"), F.lit(1))
+        return F.when(n.between(0, 11171), F.concat(letter(_LEAD, 19, F.floor(n / 588)), letter(_VOWEL, 21, F.floor(n % 588 / 28)), F.when(n % 28 > 0, letter(_TAIL, 28, n % 28)).otherwise("")))
 
-def strip_accents_full(c: Column) -> Column:
-    """The complete fold, in Python, for the rows that need it (ligatures, fractions, Hangul)."""
-    @F.pandas_udf("string")
-    def full(s: pd.Series) -> pd.Series:
-        fold = lambda x: "".join(k for k in unicodedata.normalize("NFKD", x) if not unicodedata.combining(k))
-        return s.astype(object).map(fold, na_action="ignore").astype(object)
+    def one(x: Column) -> Column:
+        return F.when(~x.rlike(pattern), x).otherwise(F.coalesce(F.try_element_at(F.from_json(F.lit(several), "map<string,string>"), x), syllable(x), x))
 
-    return F.when(c.rlike("[¼-¾Ĳ-ŀŉǄ-ǌǱ-ǳ]|[^\\x00-ɏ]"), full(c)).otherwise(strip_accents(c))
+    def full(x: Column) -> Column:
+        return F.when(~x.rlike(pattern), x).otherwise(F.array_join(F.transform(F.regexp_extract_all(x, F.lit("(?s)."), 0), one), ""))
+
+    return F.when(c.rlike(_ASCII_ONLY), c).otherwise(full(F.translate(c, *_folds())))
+
+
+strip_accents_full = strip_accents
 
 
 def let(value: Column, use) -> Column:
@@ -56,8 +85,21 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+#: White space, with the separators of files, groups, records and units.
+SPACE = r"[\s\x1C-\x1F]"
+
+
 def squeeze(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)\s+", " ")
+    return F.regexp_replace(c, rf"(?U){SPACE}+", " ")
+
+
+def strip(c: Column) -> Column:
+    """Without white space at either end, of whatever kind."""
+    return F.regexp_replace(c, rf"(?U)^{SPACE}++|{SPACE}++$", "")
+
+
+def not_blank(c: Column) -> Column:
+    return c.rlike(r"(?U)[^\s\x1C-\x1F]")
 
 
 def normalize_text(c: Column) -> Column:

@@ -23,7 +23,7 @@ def line_documents(lines: DataFrame, *keys: str) -> DataFrame:
     Blank lines go, and the others are numbered anew. Each line has its normalised text and its value (null for label
     lines and lines without one).
     """
-    kept = lines.filter(F.trim("text") != "").select(*keys, "document_type", F.struct("line_idx", "text", F.col("confidence").cast("double").alias("confidence")).alias("l"))
+    kept = lines.filter(X.not_blank(F.col("text"))).select(*keys, "document_type", F.struct("line_idx", "text", F.col("confidence").cast("double").alias("confidence")).alias("l"))
     docs = kept.groupBy(*keys, "document_type").agg(F.sort_array(F.collect_list("l")).alias("raw"))
 
     def line(x: Column, i: Column) -> Column:

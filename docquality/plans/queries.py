@@ -29,7 +29,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def lines_of(spark, sf_dir):
     d = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return d.filter(F.trim("line") != "")
+    return d.filter(X.not_blank(F.col("line")))
 
 
 def line_explode(spark, sf_dir):

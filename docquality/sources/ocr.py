@@ -15,7 +15,7 @@ from ..functions import text as X
 def words(raw: DataFrame, *keys: str) -> DataFrame:
     """raw (keys, pos, text, conf, left, top, width, height, page_num, block_num, par_num, line_num) → words with a
     confidence above 0 and a line_key."""
-    x = raw.withColumns({"text": F.trim("text"), "confidence": X.confidence(F.col("conf")), "line_key": F.concat_ws("-", "page_num", "block_num", "par_num", "line_num")})
+    x = raw.withColumns({"text": X.strip(F.col("text")), "confidence": X.confidence(F.col("conf")), "line_key": F.concat_ws("-", "page_num", "block_num", "par_num", "line_num")})
     return x.filter((F.col("text") != "") & (F.col("confidence") > 0)).select(*keys, "pos", "text", "confidence", "left", "top", "width", "height", "line_key")
 
 

@@ -203,3 +203,20 @@ def test_settings():
     with pytest.raises(ValueError):
         AugmentationConfig(jpeg_quality=10)
     assert AugmentationConfig(extensions=(".JPG",)).extensions == ("jpg",)
+
+
+def test_cells_of_annotations(spark):
+    import csv
+
+    rows = ["1,2,3,4,Rua A,,12", "1,2,3,4," + ",".join(f"c{i}" for i in range(100)), '1,2,3,4,"say ""no"", twice"x,y', '"1",2,3,4, a b\t', "1,2,3,4,", "1,2,3,4", "a,2,3,4,t", '1,2,3,4,"open, to the end', "1.5,-2,3e1,4,x"]
+    rows += ["[1, 2.5 -3],[4;5],-1,7,T, U", "[1],[2],x,1,t", "[1],[2],1,1,", "[],[2],1,1,t", '1,2,3,4,' + '""' * 5000]
+    df = spark.createDataFrame([("f", i, t) for i, t in enumerate(rows)], "path string, pos int, line string")
+    got = {r["pos"]: r for r in annotations.parse_boxes(df, "pos").collect()}
+    for i in (0, 1, 2, 3, 4, 7, 8):
+        want = next(csv.reader([rows[i]]))
+        assert got[i]["valid"] and got[i]["transcription"] == ",".join(want[4:]).strip(), rows[i]
+        assert [got[i][c] for c in annotations.HEADER] == [float(x) for x in want[:4]]
+    assert not got[5]["valid"] and not got[6]["valid"] and not got[10]["valid"] and not got[12]["valid"]
+    assert [got[9][c] for c in (*annotations.HEADER, "transcription")] == [-3.0, 4.0, 5.5, 1.0, "T, U"] and got[11]["valid"]
+    said = {r["pos"]: r["t"] for r in df.select("pos", annotations.transcription(F.col("line")).alias("t")).collect()}
+    assert said[0] == "Rua A,,12" and said[2] == '"say ""no"", twice"x,y' and said[9] == "T, U" and said[5] is None

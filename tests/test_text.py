@@ -95,3 +95,20 @@ def test_threshold_is_linear_between_neighbours(spark):
 def test_best_epoch(spark):
     h = spark.createDataFrame([(1, 0.5), (2, 0.4), (3, 0.45), (4, 0.46), (5, 0.1)], "epoch int, loss double")
     assert tuple(classify.best_epoch(h, patience=2).first()) == (2, 0.4, 4)
+
+
+def test_folds_are_the_full_decomposition(spark):
+    import unicodedata
+
+    fold = lambda t: "".join(x for x in unicodedata.normalize("NFKD", t) if not unicodedata.combining(x))
+    every = [chr(c) for c in [*range(0x80, 0xD800), *range(0xE000, 0x10000), *range(0x10000, 0x30000)] if fold(chr(c)) != chr(c)]
+    rows = ["".join(every[i : i + 60]) for i in range(0, len(every), 60)] + ["№ 3 ½ … ™", "한국어 text", "ção ﬁm 𝐀𝟙", "", None, "ascii only"]
+    assert values(spark, rows, X.strip_accents) == [None if t is None else fold(t) for t in rows]
+    assert values(spark, ["№ 3 ½ … ™"], X.normalize_text) == ["NO 3 1⁄2 ... TM"]
+
+
+def test_white_space_of_any_kind(spark):
+    rows = [" \t x  ", " ", "\t", "\x1f", "", "a   b"]
+    assert values(spark, rows, X.strip) == [t.strip() for t in rows]
+    assert values(spark, rows, X.not_blank) == [bool(t.strip()) for t in rows]
+    assert values(spark, rows, X.squeeze) == ["".join(" " if k else "".join(g) for k, g in __import__("itertools").groupby(t, str.isspace)) for t in rows]
