@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import fnv1a
-from ..plans.rules import SCENARIOS
+from ..plans.rules import PALETTES, SCENARIOS
 from .ranking import rank_within
 
 # Transforms that move pixels, and so masks and boxes too.
@@ -61,6 +61,11 @@ def affine(boxes: DataFrame, angle: Column, scale: Column, dx: Column, dy: Colum
     cx, cy = width / 2, height / 2
     c, s = F.cos(F.radians(angle)) * scale, F.sin(F.radians(angle)) * scale
     moved = F.transform(F.col("corners"), lambda p: F.struct((cx + (p["x"] - cx) * c - (p["y"] - cy) * s + dx).alias("x"), (cy + (p["x"] - cx) * s + (p["y"] - cy) * c + dy).alias("y")))
+    return _fitted(boxes, moved, width, height, least)
+
+
+def _fitted(boxes: DataFrame, moved: Column, width: Column, height: Column, least: float) -> DataFrame:
+    """Boxes around moved corners, clipped to the image, without those that are then narrower or lower than `least`."""
     x = boxes.withColumn("corners", corners(*map(F.col, ("x", "y", "width", "height")))).withColumn("corners", moved)
     within = lambda v, most: F.least(F.greatest(v, F.lit(0.0)), most)
     xs, ys = F.transform("corners", lambda p: p["x"]), F.transform("corners", lambda p: p["y"])
@@ -69,6 +74,21 @@ def affine(boxes: DataFrame, angle: Column, scale: Column, dx: Column, dy: Colum
     return x.filter((F.col("width") >= least) & (F.col("height") >= least))
 
 
+def perspective(boxes: DataFrame, matrix: list[Column], width: Column, height: Column, least: float = 2.0) -> DataFrame:
+    """Boxes (x, y, width, height) under a perspective, of which matrix has the nine numbers by rows."""
+    a, b, c, d, e, f, g, h, i = matrix
+    at = lambda p, u, v, w: u * p["x"] + v * p["y"] + w
+    moved = F.transform(F.col("corners"), lambda p: F.struct((at(p, a, b, c) / at(p, g, h, i)).alias("x"), (at(p, d, e, f) / at(p, g, h, i)).alias("y")))
+    return _fitted(boxes, moved, width, height, least)
+
+
+def background(seed: Column, palettes: tuple = PALETTES) -> Column:
+    """Three numbers of a background colour, drawn by a hash of the seed: one of the palettes, then a value in each range."""
+    ranges = F.array(*[F.array(*[F.struct(F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for lo, hi in p]) for p in palettes])
+    chosen = F.get(ranges, F.pmod(F.xxhash64(seed, F.lit(0)), F.lit(len(palettes))).cast("int"))
+    return F.transform(chosen, lambda r, k: r["lo"] + F.pmod(F.xxhash64(seed, k + 1), (r["hi"] - r["lo"] + 1).cast("long")).cast("int"))
+
+
 def order_points(points: Column) -> Column:
     """Four points as top left, top right, bottom right, bottom left: by their sums and differences."""
     pick = lambda key, last: F.element_at(F.array_sort(F.transform(points, lambda p: F.struct(key(p).alias("k"), p["x"].alias("x"), p["y"].alias("y")))), -1 if last else 1)
@@ -84,15 +104,23 @@ def target_size(points: Column) -> Column:
     return F.struct(side(edge(2, 3), edge(1, 0)).alias("width"), side(edge(1, 2), edge(0, 3)).alias("height"))
 
 
-def fitted_size(width: Column, height: Column, least: int | None = None, most: int | None = None) -> Column:
-    """(width, height, scale) with the longer side brought between least and most."""
+def detection_size(width: Column, height: Column, most: int = 1200) -> Column:
+    """(width, height, scale) for the search for contours: the longer side is `most` at most."""
     side = F.greatest(width, height)
-    scale = F.lit(1.0)
-    if most is not None:
-        scale = F.when(side > most, most / side).otherwise(scale)
-    if least is not None:
-        scale = F.when(side < least, least / side).otherwise(scale)
-    return F.struct(F.greatest(F.lit(1), F.round(width * scale).cast("int")).alias("width"), F.greatest(F.lit(1), F.round(height * scale).cast("int")).alias("height"), scale.alias("scale"))
+    scale = F.when(side > most, F.lit(float(most)) / side).otherwise(1.0)
+    return F.struct((width * scale).cast("int").alias("width"), (height * scale).cast("int").alias("height"), scale.alias("scale"))
+
+
+def ocr_size(width: Column, height: Column, least: int = 1200, most: int = 2200) -> Column:
+    """(width, height, scale) for recognition: the width is brought between least and most."""
+    target = F.least(F.greatest(width, F.lit(least)), F.lit(most))
+    scale = target.cast("double") / width
+    return F.struct(target.cast("int").alias("width"), F.when(target == width, height).otherwise((height * scale).cast("int")).alias("height"), scale.alias("scale"))
+
+
+def zip_boxes(boxes: Column, labels: Column) -> Column:
+    """Boxes with their labels, one to one; an error if there are more of one than of the other."""
+    return F.when(F.size(boxes) == F.size(labels), F.arrays_zip(boxes.alias("box"), labels.alias("label"))).otherwise(F.raise_error(F.lit("boxes and labels differ in number")))
 
 
 def applied_targets(name: Column) -> Column:
@@ -107,3 +135,20 @@ def applied_transforms(nested: Column, depth: int = 3) -> Column:
         return F.transform(F.filter(nested, lambda x: x["applied"]), leaf)
     own = lambda x: F.when(F.coalesce(F.size(x["children"]), F.lit(0)) > 0, applied_transforms(x["children"], depth - 1)).when(x["applied"], F.array(leaf(x))).otherwise(F.array().cast("array<struct<name:string,params:string,applied_to:array<string>>>"))
     return F.flatten(F.transform(nested, own))
+
+
+#: Levels of a tree of transforms that are looked through.
+DEPTH = 8
+
+
+def applied_in_json(tree: Column) -> Column:
+    """The leaves that were applied in a tree of transforms, as JSON text (name, applied, params, children): an array of
+    (name, params, applied_to), in order. Levels beyond DEPTH are an error rather than left out."""
+    node = "struct<name:string,applied:boolean,params:string,children:string>"
+    leaf = lambda x: F.struct(x["name"].alias("name"), x["params"].alias("params"), applied_targets(x["name"]).alias("applied_to"))
+    nodes = F.coalesce(F.from_json(tree, f"array<{node}>"), F.array().cast(f"array<{node}>"))
+    inner = lambda x: F.coalesce(F.from_json(x["children"], f"array<{node}>"), F.array().cast(f"array<{node}>"))
+    for _ in range(DEPTH):  # a node with children makes room for them
+        nodes = F.flatten(F.transform(nodes, lambda x: F.when(F.size(inner(x)) > 0, inner(x)).otherwise(F.array(x))))
+    deep = F.exists(nodes, lambda x: F.size(inner(x)) > 0)
+    return F.when(deep, F.raise_error(F.lit(f"transforms are nested more than {DEPTH} levels deep"))).otherwise(F.transform(F.filter(nodes, lambda x: x["applied"]), leaf))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..plans.rules import OTHER, OTHER_NAMES
@@ -38,8 +39,24 @@ def probability_columns(predictions: DataFrame, classes: list, places: int | Non
 
 
 def rejection_threshold(validation: DataFrame, percentile: float = 5.0) -> DataFrame:
-    """(threshold): the exact percentile, between neighbours linear, of the highest probabilities."""
-    return validation.agg(F.percentile("max_probability", F.lit(min(max(percentile, 0.0), 100.0) / 100)).alias("threshold"))
+    """(threshold): the exact percentile, between neighbours linear, of the highest probabilities; null without any.
+
+    Equal values are counted first. Values are dealt into buckets at approximate quantiles; only the totals of buckets
+    meet in one task, and ranks are counted within a bucket.
+    """
+    share = min(max(percentile, 0.0), 100.0) / 100
+    v = validation.filter(F.col("max_probability").isNotNull()).groupBy(F.col("max_probability").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    cuts = v.agg(F.percentile_approx("v", [i / 200 for i in range(1, 200)], 2000).alias("cuts"))  # one row
+    x = v.crossJoin(F.broadcast(cuts)).select("v", "n", F.size(F.filter("cuts", lambda c: c < F.col("v"))).alias("bucket"))
+    up = W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    totals = x.groupBy("bucket").agg(F.sum("n").alias("t"))  # 200 rows
+    totals = totals.select("bucket", F.coalesce(F.sum("t").over(up), F.lit(0)).alias("before"), F.sum("t").over(W.partitionBy()).alias("all"))
+    to = W.partitionBy("bucket").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
+    x = x.join(F.broadcast(totals), "bucket").withColumn("end", F.col("before") + F.sum("n").over(to))
+    place = F.lit(share) * (F.col("all") - 1)
+    at = lambda k: F.max(F.when((F.col("end") > k) & (F.col("end") - F.col("n") <= k), F.col("v")))
+    low, high = F.floor(place), F.least(F.floor(place) + 1, F.col("all") - 1)
+    return x.agg(at(low).alias("lo"), at(high).alias("hi"), F.max(place - low).alias("part")).select((F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("part")).alias("threshold"))
 
 
 def confidence_analysis(predictions: DataFrame, threshold: DataFrame, true: str = "true_label") -> DataFrame:
@@ -88,6 +105,31 @@ def report(predictions: DataFrame, labels: list[str], true: str = "true_label",
     return functools.reduce(DataFrame.union, [r.select("label", *scores, "support"), accuracy, macro, weighted])
 
 
+def scores(predictions: DataFrame, true: str = "true_label", predicted: str = "predicted") -> DataFrame:
+    """(accuracy, macro_f1, n) of rows with a label; the mean of F1 is over the labels that occur, true or predicted."""
+    t, p = F.col(true).cast("string"), F.col(predicted).cast("string")
+    pairs = predictions.filter(F.col(true).isNotNull()).groupBy(t.alias("t"), p.alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    hit = F.col("t") == F.col("p")
+    sides = F.array(F.struct(F.col("t").alias("label"), F.lit(1).alias("true"), F.lit(0).alias("named")), F.struct(F.col("p").alias("label"), F.lit(0).alias("true"), F.lit(1).alias("named")))
+    each = pairs.select("n", hit.alias("hit"), F.explode(sides).alias("s")).filter(F.col("s.label").isNotNull()).groupBy("s.label").agg(
+        F.sum(F.when(F.col("hit"), F.col("n") * F.col("s.true")).otherwise(0)).alias("tp"), F.sum(F.col("n") * F.col("s.true")).alias("support"), F.sum(F.col("n") * F.col("s.named")).alias("named"),
+    )
+    f1 = F.coalesce(F.try_divide(2.0 * F.col("tp"), F.col("support") + F.col("named")), F.lit(0.0))
+    return each.agg((F.sum("tp") / F.sum("support")).alias("accuracy"), F.avg(f1).alias("macro_f1"), F.coalesce(F.sum("support"), F.lit(0)).alias("n"))
+
+
+def batch_means(batches: DataFrame, *metrics: str, size: str = "n") -> DataFrame:
+    """One row: each metric of batches as a mean over their items; null without any."""
+    return batches.agg(*[F.try_divide(F.sum(F.col(m) * F.col(size)), F.sum(size)).alias(m) for m in metrics])
+
+
+def parameter_counts(layers: DataFrame) -> DataFrame:
+    """(total, trainable, frozen) of layers (name, parameters, trainable)."""
+    n = F.col("parameters")
+    each = {"total": F.sum(n), "trainable": F.sum(F.when(F.col("trainable"), n)), "frozen": F.sum(F.when(~F.col("trainable"), n))}
+    return layers.agg(*[F.coalesce(x, F.lit(0)).alias(k) for k, x in each.items()])
+
+
 def external_metrics(predictions: DataFrame, labels: list[str], true: str = "true_label") -> DataFrame:
     """(metric, value) of scoring where only some rows have a label; metrics of empty subsets are left out."""
     t, final, known = F.col(true), F.col("final"), F.col(true).isNotNull()
@@ -109,10 +151,8 @@ def true_label(folder: Column, classes: list[str]) -> Column:
 def best_epoch(history: DataFrame, patience: int = 4) -> DataFrame:
     """(best_epoch, best_loss, last_epoch): the lowest loss before training stops for want of a better one.
 
-    history (epoch, loss) has one row for each epoch of one run.
+    history (epoch, loss) has one row for each epoch of one run, so few that one task orders them.
     """
-    from pyspark.sql import Window as W
-
     up = W.orderBy("epoch")
     x = history.withColumn("least", F.min("loss").over(up))
     x = x.withColumn("since", F.col("epoch") - F.max(F.when(F.col("loss") == F.col("least"), F.col("epoch"))).over(up))

@@ -26,14 +26,20 @@ def compare_fields(documents: DataFrame, signals: DataFrame, truth: DataFrame, k
 
     documents (key, document_type); signals from with_signals(); truth (key, field_name, value, value_list).
     """
-    spark = documents.sparkSession
-    names = (
-        documents.select(key, "document_type").join(F.broadcast(R.expected_fields(spark)), "document_type").select(key, "field_name")
-        .union(signals.select(key, "field_name")).union(truth.select(key, "field_name")).distinct()
-    )
-    p = signals.select(key, "field_name", X.value_text(F.col("value"), F.col("value_list")).alias("predicted_value"), "ocr_confidence", "parsing_confidence", *SIGNALS)
-    g = truth.select(key, "field_name", X.value_text(F.col("value"), F.col("value_list")).alias("ground_truth_value"))
-    x = names.join(p, [key, "field_name"], "left").join(g, [key, "field_name"], "left").join(documents.select(key, "document_type"), key)
+    # fields are paired within the row of their document: what is found, true and expected meets once, by the key
+    text = X.value_text(F.col("value"), F.col("value_list"))
+    p = signals.groupBy(key).agg(F.collect_list(F.struct("field_name", text.alias("predicted_value"), "ocr_confidence", "parsing_confidence", *SIGNALS)).alias("found"))
+    g = truth.groupBy(key).agg(F.collect_list(F.struct("field_name", text.alias("ground_truth_value"))).alias("true"))
+    expected = F.lit(None).cast("array<string>")
+    for t, fields in R.MINIMUM.items():
+        expected = F.when(F.col("document_type") == t, F.array(*map(F.lit, fields))).otherwise(expected)
+    none = F.array().cast("array<string>")
+    names = [F.coalesce(expected, none), *[F.coalesce(F.transform(c, lambda v: v["field_name"]), none) for c in ("found", "true")]]
+    x = documents.select(key, "document_type").join(p, key, "left").join(g, key, "left")
+    x = x.withColumn("field_name", F.explode(F.array_distinct(F.concat(*names))))
+    one = lambda c: F.get(F.filter(c, lambda v: v["field_name"] == F.col("field_name")), F.lit(0))
+    x = x.select(key, "document_type", "field_name", one("found").alias("f"), one("true")["ground_truth_value"].alias("ground_truth_value"))
+    x = x.select(key, "document_type", "field_name", "ground_truth_value", *[F.col("f")[c].alias(c) for c in ("predicted_value", "ocr_confidence", "parsing_confidence", *SIGNALS)])
     x = x.withColumns({c: F.coalesce(c, F.lit("")) for c in ("predicted_value", "ground_truth_value")})
     name = F.col("field_name")
     x = x.withColumns({"p": X.comparable(name, F.col("predicted_value")), "t": X.comparable(name, F.col("ground_truth_value")), "field_found": F.col("predicted_value") != "", "ground_truth_available": F.col("ground_truth_value") != ""})

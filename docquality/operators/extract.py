@@ -21,10 +21,11 @@ def line_documents(lines: DataFrame, *keys: str) -> DataFrame:
     """lines (keys, document_type, line_idx, text, confidence) → one row per document.
 
     Blank lines go, and the others are numbered anew. Each line has its normalised text and its value (null for label
-    lines and lines without one).
+    lines and lines without one); raw has the lines as they were.
     """
     kept = lines.filter(X.not_blank(F.col("text"))).select(*keys, "document_type", F.struct("line_idx", "text", F.col("confidence").cast("double").alias("confidence")).alias("l"))
-    docs = kept.groupBy(*keys, "document_type").agg(F.sort_array(F.collect_list("l")).alias("raw"))
+    # by the keys alone, so that all that is done by document later finds its rows in place
+    docs = kept.groupBy(*keys).agg(F.min("document_type").alias("document_type"), F.sort_array(F.collect_list("l")).alias("raw"))
 
     def line(x: Column, i: Column) -> Column:
         norm = X.normalize_text(x["text"])
@@ -34,7 +35,7 @@ def line_documents(lines: DataFrame, *keys: str) -> DataFrame:
         value = F.nullif(X.clean_value(x["text"]), F.lit(""))
         return x.withField("value", F.when(~X.is_label_line(x["norm"]), value)).withField("compact", F.regexp_replace(x["norm"], "[^A-Z0-9]", ""))
 
-    docs = docs.select(*keys, "document_type", F.transform("raw", line).alias("lines"), F.array_join(F.transform("raw", lambda x: x["text"]), "\n").alias("full_text"))
+    docs = docs.select(*keys, "document_type", "raw", F.transform("raw", line).alias("lines"), F.array_join(F.transform("raw", lambda x: x["text"]), "\n").alias("full_text"))
     return docs.withColumn("lines", F.transform("lines", with_value)).withColumn("noise_text", X.numeric_noise(F.col("full_text")))
 
 

@@ -31,18 +31,27 @@ def split_groups(samples: DataFrame, group: str, label: str, seed: int = 42, sha
     groups = samples.groupBy(group).agg(F.min(label).alias(label))
     counts = {r[label]: r["n"] for r in groups.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}  # one row for each class
     held, test_share = shares[1] + shares[2], shares[2] / (shares[1] + shares[2])
-    strata = counts if can_stratify(list(counts.values()), held) else {None: sum(counts.values())}
-    spark, drawn = samples.sparkSession, groups.withColumn("draw", draw(group, seed))
-    sizes = [(k, n, math.ceil(n * held), math.ceil(math.ceil(n * held) * test_share)) for k, n in strata.items()]
-    if None in strata:
+    drawn = groups.withColumn("draw", draw(group, seed))
+    by_label = can_stratify(list(counts.values()), held)
+    first = _side(drawn, label, counts if by_label else None, sum(counts.values()), held, group)
+    # the held-out side is judged on its own, and dealt again in the same order
+    rest = first.filter("chosen").drop("chosen")
+    in_rest = {k: math.ceil(n * held) for k, n in counts.items()} if by_label else {r[label]: r["n"] for r in rest.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    again = can_stratify(list(in_rest.values()), test_share)
+    second = _side(rest, label, in_rest if again else None, sum(in_rest.values()), test_share, group)
+    train = first.filter(~F.col("chosen")).select(group, label, F.lit("train").alias("split"))
+    return train.union(second.select(group, label, F.when(F.col("chosen"), "test").otherwise("val").alias("split")))
+
+
+def _side(drawn: DataFrame, label: str, counts: dict | None, total: int, share: float, group: str) -> DataFrame:
+    """Adds chosen: the first by draw, their number rounded up, of each class (counts) or of all (no counts)."""
+    if counts is None:
         ranked = rank_within(drawn, [], "draw", group, prefix=3, name="r")
-        held_n, test_n = F.lit(sizes[0][2]), F.lit(sizes[0][3])
-    else:
-        kind = groups.schema[label].dataType.simpleString()
-        plan = F.broadcast(spark.createDataFrame(sizes, f"{label} {kind}, n long, held_n int, test_n int"))
-        ranked = rank_within(drawn.join(plan, label), [label], "draw", group, prefix=3, name="r")
-        held_n, test_n = F.col("held_n"), F.col("test_n")
-    return ranked.select(group, label, F.when(F.col("r") < test_n, "test").when(F.col("r") < held_n, "val").otherwise("train").alias("split"))
+        return ranked.withColumn("chosen", F.col("r") < math.ceil(total * share)).drop("r")
+    kind = drawn.schema[label].dataType.simpleString()
+    plan = F.broadcast(drawn.sparkSession.createDataFrame([(k, math.ceil(n * share)) for k, n in counts.items()], f"{label} {kind}, side long"))  # one row for each class
+    ranked = rank_within(drawn.join(plan, label), [label], "draw", group, prefix=3, name="r")
+    return ranked.withColumn("chosen", F.col("r") < F.col("side")).drop("r", "side")
 
 
 def split_samples(samples: DataFrame, group: str, label: str, **options) -> DataFrame:

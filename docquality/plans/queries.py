@@ -100,9 +100,9 @@ def true_fields(spark, sf_dir):
 
 
 def with_counts(docs: DataFrame) -> DataFrame:
-    total = F.aggregate("lines", F.lit(0.0), lambda a, x: a + x["confidence"])
-    words = F.aggregate("lines", F.lit(0), lambda a, x: a + F.size(F.split(X.squeeze(F.trim(x["text"])), " ")))
-    return docs.withColumns({"mean_confidence": total / F.size("lines"), "n_lines": F.size("lines"), "n_words": words})
+    total = F.aggregate("raw", F.lit(0.0), lambda a, x: a + x["confidence"])
+    words = F.aggregate("raw", F.lit(0), lambda a, x: a + F.size(F.split(X.squeeze(F.trim(x["text"])), " ")))
+    return docs.withColumns({"mean_confidence": total / F.size("raw"), "n_lines": F.size("raw"), "n_words": words})
 
 
 def comparisons(spark, sf_dir):

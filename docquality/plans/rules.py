@@ -38,6 +38,55 @@ WEIGHTS = {
     "no_candidate_conflict": 0.08, "minimum_expected_field_found": 0.04, "cpf_has_11_digits": 0.06, "cpf_check_digits_valid": 0.06, "date_plausible": 0.06,
 }
 SCENARIOS = ("phone_tilt_color_background", "perspective_shadow", "low_light_blur", "noise_jpeg", "strong_skew_color_background", "multi_degradation")
+# Ranges of colours (three channels each), and the transforms of each scenario with their ranges.
+PALETTES = (
+    ((120, 185), (93, 140), (32, 74)),
+    ((86, 160), (132, 210), (120, 190)),
+    ((148, 220), (76, 150), (108, 185)),
+    ((180, 245), (175, 235), (170, 235)),
+    ((95, 165), (95, 170), (80, 150)),
+)
+TRANSFORMS = {
+    "phone_tilt_color_background": (
+        ("affine", {"rotate": (-10, 10), "scale": (0.90, 1.03), "translate": (-0.055, 0.055), "shear": (-1.5, 1.5)}, 1.0),
+        ("brightness_contrast", {"brightness": (-0.18, 0.18), "contrast": (-0.18, 0.22)}, 1.0),
+        ("hue_saturation", {"hue": (-4, 4), "saturation": (-16, 16), "value": (-8, 8)}, 0.65),
+        ("shadow", {"shadows": (1, 2), "intensity": (0.30, 0.58)}, 0.8),
+    ),
+    "perspective_shadow": (
+        ("perspective", {"scale": (0.035, 0.10)}, 1.0),
+        ("affine", {"rotate": (-4, 4), "scale": (0.92, 1.02), "translate": (-0.035, 0.035), "shear": (-1.5, 1.5)}, 1.0),
+        ("shadow", {"shadows": (1, 2), "intensity": (0.38, 0.66)}, 1.0),
+        ("brightness_contrast", {"brightness": (-0.14, 0.08), "contrast": (-0.10, 0.28)}, 1.0),
+    ),
+    "low_light_blur": (
+        ("affine", {"rotate": (-7, 7), "scale": (0.91, 1.01), "translate": (-0.04, 0.04), "shear": (-2, 2)}, 1.0),
+        ("brightness_contrast", {"brightness": (-0.42, -0.18), "contrast": (-0.28, 0.05)}, 1.0),
+        ("blur", {"size": (3, 7)}, 1.0),
+        ("shadow", {"shadows": (1, 2), "intensity": (0.35, 0.68)}, 0.85),
+    ),
+    "noise_jpeg": (
+        ("affine", {"rotate": (-6, 6), "scale": (0.92, 1.04), "translate": (-0.045, 0.045), "shear": (-1.5, 1.5)}, 1.0),
+        ("noise", {"std": (0.015, 0.075)}, 1.0),
+        ("brightness_contrast", {"brightness": (-0.24, 0.16), "contrast": (-0.22, 0.20)}, 1.0),
+        ("compression", {"quality": (48, 78)}, 1.0),
+    ),
+    "strong_skew_color_background": (
+        ("perspective", {"scale": (0.07, 0.14)}, 1.0),
+        ("affine", {"rotate": (-12, 12), "scale": (0.88, 1.00), "translate": (-0.065, 0.065), "shear": (-4, 4)}, 1.0),
+        ("brightness_contrast", {"brightness": (-0.22, 0.22), "contrast": (-0.24, 0.34)}, 1.0),
+        ("hue_saturation", {"hue": (-6, 6), "saturation": (-22, 22), "value": (-12, 12)}, 0.75),
+    ),
+    "multi_degradation": (
+        ("perspective", {"scale": (0.04, 0.11)}, 1.0),
+        ("affine", {"rotate": (-9, 9), "scale": (0.89, 1.02), "translate": (-0.055, 0.055), "shear": (-2.5, 2.5)}, 1.0),
+        ("shadow", {"shadows": (1, 3), "intensity": (0.32, 0.70)}, 0.9),
+        ("brightness_contrast", {"brightness": (-0.32, 0.12), "contrast": (-0.30, 0.30)}, 1.0),
+        ("blur", {"size": (3, 5)}, 0.6),
+        ("noise", {"std": (0.012, 0.055)}, 0.75),
+        ("compression", {"quality": (52, 86)}, 1.0),
+    ),
+}
 ACCEPT_FIELD = ACCEPT_DOCUMENT = GOOD_TEXT = 0.8
 #: The field name under which the whole text is compared.
 WHOLE_TEXT = "__texto_completo__"
@@ -53,6 +102,7 @@ class Rule:
     pattern: str = ""
 
 
+# The fields of each type, in order, with the labels they are found by.
 RULES = {
     "CPF_Frente": (Rule("numero_cpf", "cpf"), Rule("nome", "value", ("NOME",)), Rule("data_nascimento", "date", ("NASCIMENTO",))),
     "CPF_Verso": (Rule("emissao", "value", ("EMISSAO",)), Rule("site", "pattern", pattern="SITE")),
@@ -99,5 +149,11 @@ def audit_labels(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(t, f, list(labels)) for t, fields in AUDIT_LABELS.items() for f, labels in fields.items()], "document_type string, field_name string, labels array<string>")
 
 
+def scenario_parameters(spark: SparkSession) -> DataFrame:
+    """(scenario, step, transform, parameter, low, high, chance) of every range."""
+    rows = [(s, i, t, p, float(lo), float(hi), chance) for s, steps in TRANSFORMS.items() for i, (t, ranges, chance) in enumerate(steps) for p, (lo, hi) in ranges.items()]
+    return spark.createDataFrame(rows, "scenario string, step int, transform string, parameter string, low double, high double, chance double")
+
+
 def scenarios(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(enumerate(SCENARIOS)), "idx int, scenario string")

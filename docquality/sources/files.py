@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.classify import true_label
+from ..operators.ranking import rank_within
 from ..plans.rules import TYPES
 
 # Extensions, and tokens of file names.
@@ -102,8 +103,26 @@ def inference_images(paths: DataFrame, root: str, classes: list[str] = list(TYPE
     return images, empty.withColumn("warning", F.lit("no_images"))
 
 
-def tables_in(paths: DataFrame) -> DataFrame:
-    return paths.filter(extension(F.col("path")).isin(*TABLES)).select("path").orderBy("path")
+def tables_in(paths: DataFrame, root: str | None = None) -> DataFrame:
+    """(path) of tables, by path; with a root, only those directly in it."""
+    p = F.col("path")
+    x = paths.filter(extension(p).isin(*TABLES))
+    if root is not None:
+        start = root.rstrip("/") + "/"
+        x = x.filter(p.startswith(start) & ~F.contains(F.substr(p, F.lit(len(start) + 1)), F.lit("/")))
+    return x.select("path").orderBy("path")
+
+
+def input_images(paths: DataFrame, at: str) -> DataFrame:
+    """(path) of the one file at this path, whatever its kind, or of all .jpg files below it, by path."""
+    p = F.col("path")
+    below = p.startswith(at.rstrip("/") + "/") & p.endswith(".jpg")
+    return paths.filter((p == at) | below).select("path").orderBy("path")
+
+
+def first_images(images: DataFrame, n: int | None) -> DataFrame:
+    """The first n by path, or all."""
+    return images if n is None else images.orderBy("path").limit(n)
 
 
 def document_key(s: Column) -> Column:
@@ -138,9 +157,7 @@ def triplets(paths: DataFrame, images: tuple[str, ...] = ("jpg", "jpeg", "png"),
     mask = F.when(F.col("n_mask") == 1, F.col("mask_named")).when(F.col("n_named") == 1, F.col("not_image")).otherwise(F.col("likely.path"))
     ok = g.filter(good).withColumn("mask_path", mask).withColumn("image_path", F.when(F.col("mask_path") == F.col("first"), F.col("last")).otherwise(F.col("first"))).select("class_name", "document_id", "image_path", "mask_path", "annotation_path")
     if cap is not None:
-        from pyspark.sql import Window as W
-
-        ok = ok.withColumn("__r", F.row_number().over(W.partitionBy("class_name").orderBy("document_id"))).filter(F.col("__r") <= cap).drop("__r")
+        ok = rank_within(ok, ["class_name"], "document_id", name="__r").filter(F.col("__r") < cap).drop("__r")
     return ok, g.filter(~good).select("class_name", "document_id", "n_text", "n_image")
 
 

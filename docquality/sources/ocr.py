@@ -49,6 +49,19 @@ def best_candidate(candidates: DataFrame, key: str = "doc_id", preferred: str =
     return candidates.groupBy(key).agg(F.max_by(F.struct(*[c for c in candidates.columns if c != key]), rank).alias("b")).select(key, "b.*")
 
 
+# Fixed value: the rule by which a version is selected.
+SELECTION_RULE = "maior_confianca_media_tesseract_desempate_por_palavras_e_pre_ocr"
+
+
+def selection(candidates: DataFrame, key: str = "doc_id", preferred: str = "pre_ocr") -> DataFrame:
+    """(key, selected_version, selection_rule, candidates) of candidates (key, version, mean_confidence, n_lines, n_words,
+    seconds): what each version had, for audits."""
+    one = F.struct(F.bround("mean_confidence", 2).alias("mean_confidence"), "n_lines", "n_words", (F.col("n_words") == 0).alias("empty_text"), F.bround("seconds", 6).alias("seconds"))
+    known = candidates.groupBy(key).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("version", one.alias("facts"))))).alias("candidates"))  # of one document
+    best = best_candidate(candidates, key, preferred).select(key, F.col("version").alias("selected_version"))
+    return best.join(known, key).select(key, "selected_version", F.lit(SELECTION_RULE).alias("selection_rule"), "candidates")
+
+
 class OcrBackend(Protocol):
     """recognise(content, version) → rows (text, conf, left, top, width, height, page_num, block_num, par_num, line_num)."""
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 MOST_BYTES = 8 * 1024 * 1024
 # How files of the accepted kinds begin, in hexadecimal.
 MAGIC = {"jpg": "FFD8FF", "png": "89504E47", "bmp": "424D", "tif": "49492A00"}
+JPG_END, PNG_END = "FFD9", "49454E44AE426082"
 STATES = ("Uploaded", "Processing", "Quarantine", "Waiting Human Review", "Completed")
 
 
@@ -21,17 +22,23 @@ def uploads(spark: SparkSession, folder: str, files_per_trigger: int = 1000) ->
 
 def validity(length: Column, content: Column) -> Column:
     """`ok`, or why an upload goes to quarantine."""
-    start = F.hex(F.substring(content, 1, 4))
-    known = F.lit(False)
-    for magic in MAGIC.values():
-        known = known | start.startswith(magic)
-    return F.when(length > MOST_BYTES, "too_large").when(length == 0, "empty").when(~known, "unknown_format").otherwise("ok")
+    start, end = F.hex(F.substring(content, 1, 4)), F.hex(F.substring(content, -12, 12))
+    kind = {k: start.startswith(magic) for k, magic in MAGIC.items()}
+    known = kind["jpg"] | kind["png"] | kind["bmp"] | kind["tif"]
+    whole = F.when(kind["jpg"], end.endswith(JPG_END)).when(kind["png"], end.endswith(PNG_END)).otherwise(True)
+    return F.when(length > MOST_BYTES, "too_large").when(length == 0, "empty").when(~known, "unknown_format").when(~whole, "truncated").otherwise("ok")
 
 
 def with_validity(files: DataFrame) -> DataFrame:
     return files.withColumn("validity", validity(F.col("length"), F.col("content")))
 
 
+def upload_sinks(accepted: Callable[[DataFrame, int], None], quarantine: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch on with_validity(): valid uploads to one sink, all others with their reason to the other."""
+    both = to_sinks("__sink", {"accepted": accepted, "quarantine": quarantine})
+    return lambda batch, number: both(batch.withColumn("__sink", F.when(F.col("validity") == "ok", "accepted").otherwise("quarantine")), number)
+
+
 def without_duplicates(files: DataFrame, time: str = "modificationTime", delay: str = "1 hour") -> DataFrame:
     """Uploads with bytes that were not seen within the delay; state is dropped beyond it."""
     return files.withColumn("hash", F.sha2("content", 256)).withWatermark(time, delay).dropDuplicatesWithinWatermark(["hash"])
@@ -79,12 +86,20 @@ def next_state(state: str | None, event: str) -> str:
     return moves.get((state, event), state or "Uploaded")
 
 
-def job_states(events: DataFrame, job: str = "job_id", event: str = "event", time: str = "ts") -> DataFrame:
-    """(job_id, state, changes) after each micro-batch, from a stream of (job_id, ts, event)."""
+def job_states(events: DataFrame, job: str = "job_id", event: str = "event", time: str = "ts", keep_completed: str = "1 hour", keep: str = "30 days") -> DataFrame:
+    """(job_id, state, changes) after each micro-batch, from a stream of (job_id, ts, event).
+
+    A job's state goes `keep_completed` after it was completed, and `keep` after its last event in any case (processing
+    time), so state follows the jobs that are under way."""
     import pandas as pd
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+    millis = {name: int(pd.Timedelta(span).total_seconds() * 1000) for name, span in (("done", keep_completed), ("any", keep))}
+
     def run(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
         state, changes = held.get if held.exists else (None, 0)
         rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
         for name in rows["event"]:
@@ -92,7 +107,8 @@ def job_states(events: DataFrame, job: str = "job_id", event: str = "event", tim
             changes += new != state
             state = new
         held.update((state, int(changes)))
+        held.setTimeoutDuration(millis["done" if state == STATES[-1] else "any"])
         yield pd.DataFrame({"job_id": [str(key[0])], "state": [state], "changes": [int(changes)]})
 
     x = events.select(F.col(job).cast("string").alias("job_id"), F.col(time).alias("ts"), F.col(event).alias("event"))
-    return x.groupBy("job_id").applyInPandasWithState(run, "job_id string, state string, changes long", "state string, changes long", "update", GroupStateTimeout.NoTimeout)
+    return x.groupBy("job_id").applyInPandasWithState(run, "job_id string, state string, changes long", "state string, changes long", "update", GroupStateTimeout.ProcessingTimeTimeout)
