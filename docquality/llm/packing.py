@@ -7,7 +7,8 @@ and so on, and at last all smaller ones. A class is matched with the gaps that t
 * along that order every piece wants the smallest gap before it, its successor. Where several want the same one, ranks
   decide, as with brackets: a gap opens a level, and the first piece after it that meets this level closes it. Levels
   come from counts by task and size, so all tasks find them at once, and equal levels are brought together;
-* gaps shrink by the piece they got, and the sweep is repeated with the pieces left until no gap holds any.
+* gaps shrink by the piece they got, and the sweep is repeated with the pieces left until no gap holds any. The smallest
+  pieces are swept several for a gap: it stands in line once for each that it holds, smaller by the largest each time.
 
 Pieces left of a class open new sequences, by rank, as many in each as the class says. The result is close to serial
 best fit from the largest piece to the smallest (`best_fit`), with some ten sweeps rather than a step for each piece.
@@ -119,11 +120,19 @@ def part_of(at: str) -> Column:
     return F.shiftright(at, 33)
 
 
-def sweep(pieces: DataFrame, gaps: DataFrame, scratch: Scratch) -> DataFrame:
-    """(kind, id, value, other, got) of pieces (id, value), kind 1, and gaps (id, value), kind 0: what each was matched
-    with, or null, and the size of that."""
-    rows = gaps.select(F.lit(0).alias("kind"), "id", "value").union(pieces.select(F.lit(1).alias("kind"), "id", "value"))
-    rows = scratch.keep(range_sorted(rows, F.desc("value"), F.asc("kind"), F.asc("id")))
+def sweep(pieces: DataFrame, gaps: DataFrame, size: int, scratch: Scratch, largest: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of pieces (id, value) and gaps (id, value): placed (id, sequence, offset), the pieces left and the gaps left.
+
+    largest: the size of the largest piece, if a gap may get several pieces; else it gets one.
+    """
+    g = F.col("value")
+    if largest is None:
+        places = gaps.select(F.lit(0).alias("kind"), "id", F.lit(0).alias("slot"), g.alias("gap"), g.alias("value"))
+    else:
+        slot = F.explode(F.sequence(F.lit(0), F.greatest(F.floor(g / largest).cast("int") - 1, F.lit(0)))).alias("slot")
+        places = gaps.select("id", g.alias("gap"), slot).select(F.lit(0).alias("kind"), "id", "slot", "gap", (F.col("gap") - F.col("slot") * largest).alias("value"))
+    rows = places.union(pieces.select(F.lit(1).alias("kind"), "id", F.lit(0).alias("slot"), F.lit(0).cast("long").alias("gap"), "value"))
+    rows = scratch.keep(range_sorted(rows, F.desc("value"), F.asc("kind"), F.asc("id"), F.asc("slot")))
     # a row for each size, kind and part: few, whatever the number of pieces
     runs = rows.groupBy(part_of("at").alias("part"), "value", "kind").agg(F.min("at").alias("lo"), F.count(F.lit(1)).alias("n"))
     up = F.when(F.col("kind") == 0, F.col("n")).otherwise(-F.col("n"))
@@ -131,14 +140,23 @@ def sweep(pieces: DataFrame, gaps: DataFrame, scratch: Scratch) -> DataFrame:
     runs = runs.select(F.col("part").alias("p"), F.col("value").alias("v"), F.col("kind").alias("k"), "lo", before.alias("before"))
     x = rows.join(F.broadcast(runs), (part_of("at") == F.col("p")) & (F.col("value") == F.col("v")) & (F.col("kind") == F.col("k")))
     own = F.col("at") - F.col("lo")
-    x = x.select("kind", "id", "value", "at", (F.col("before") + F.when(F.col("kind") == 0, own + 1).otherwise(-own)).alias("level"))
+    x = x.select("kind", "id", "slot", "gap", "value", "at", (F.col("before") + F.when(F.col("kind") == 0, own + 1).otherwise(-own)).alias("level"))
     along = W.partitionBy("level").orderBy("at")  # of each size two runs at most
-    me = F.struct("kind", "id", "value")
-    x = x.select("kind", "id", "value", F.when(F.col("kind") == 0, F.lead(me).over(along)).otherwise(F.lag(me).over(along)).alias("o"))
+    me = F.struct("kind", "id", "slot", "gap", "value")
+    x = x.select("kind", "id", "gap", "value", F.when(F.col("kind") == 0, F.lead(me).over(along)).otherwise(F.lag(me).over(along)).alias("o"))
     met = F.when(F.col("o.kind") != F.col("kind"), F.col("o"))
-    out = scratch.keep(x.select("kind", "id", "value", met["id"].alias("other"), met["value"].alias("got")))
+    x = scratch.keep(x.select("kind", "id", "gap", "value", met.alias("met")))
     scratch.drop(rows)
-    return out
+    left = x.filter("kind = 1 and met is null").select("id", "value")
+    found = x.filter("kind = 1 and met is not null").select("id", "value", "met.*").toDF("id", "value", "k", "sequence", "slot", "gap", "v").drop("k", "v")
+    if largest is None:
+        placed = found.select("id", "sequence", (size - F.col("gap")).alias("offset"))
+        return placed, left, x.filter("kind = 0").select("id", (F.col("value") - F.coalesce(F.col("met.value"), F.lit(0))).alias("value"))
+    in_gap = W.partitionBy("sequence").orderBy("slot").rowsBetween(W.unboundedPreceding, -1)  # the pieces of one sequence
+    placed = found.select("id", "sequence", (size - F.col("gap") + F.coalesce(F.sum("value").over(in_gap), F.lit(0))).alias("offset"))
+    used = found.groupBy("sequence").agg(F.sum("value").alias("used"))
+    rest = gaps.join(used, F.col("id") == F.col("sequence"), "left").select("id", (F.col("value") - F.coalesce("used", F.lit(0))).alias("value"))
+    return scratch.keep(placed), left, scratch.keep(rest)
 
 
 def opened(pieces: DataFrame, each: int, most: int | None, scratch: Scratch) -> DataFrame:
@@ -182,12 +200,10 @@ def matched(pieces: DataFrame, size: int, scratch: Scratch) -> DataFrame:
                 break
             widest = gaps.agg(F.max("value")).first()[0] if gaps is not None else None
             if widest is not None and widest >= seen["least"]:
-                x = sweep(left, gaps, scratch)
-                ends = x.filter("kind = 1")
-                placed.append(ends.filter("other is not null").select("id", F.col("other").alias("sequence"), (size - F.col("got")).alias("offset")))
-                left = ends.filter("other is null").select("id", "value")
+                got, left, more = sweep(left, gaps, size, scratch, seen["most"] if last else None)
+                placed.append(got)
                 gaps = None
-                add_gaps(x.filter("kind = 0").select("id", (F.col("value") - F.coalesce("got", F.lit(0))).alias("value")))
+                add_gaps(more)
             elif j == 1:
                 placed.append(left.select("id", F.col("id").alias("sequence"), F.lit(0).cast("long").alias("offset")))
                 add_gaps(left.select("id", (size - F.col("value")).alias("value")))
