@@ -58,6 +58,23 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterato
             yield b.slice(at, rows)
 
 
+_memories: dict[str, list] = {}
+
+
+def remembers(owner: str, clear) -> None:
+    """Tell how an operator's memory in this process is cleared; see holds_memory()."""
+    _memories.setdefault(owner, []).append(clear)
+
+
+def holds_memory(owner: str) -> None:
+    """Say that an operator begins a task in this worker: what others remember from earlier tasks is dropped, so that a
+    worker that lives through all stages of a pipeline holds one operator's memory at a time."""
+    for other, clears in _memories.items():
+        if other != owner:
+            for clear in clears:
+                clear()
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir. Where it is unset, a session without other machines gets a
     temporary folder; on a cluster that is an error."""

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_schema, documents, fresh, ship, slices, table, texts_of
+from .common import Scratch, arrow_schema, documents, fresh, holds_memory, remembers, ship, slices, table, texts_of
 from .licenses import words_of
 
 # Spaced seeds with 7 open positions each. One of them has a hit in every overlap of 13 words or more of
@@ -44,7 +44,7 @@ SEEDS_LEAST, SEEDS_IDENTITY = 13, "0.8"
 HITS_AT_ONCE = 1_000_000
 #: Bits that the filter has for each hash, but 2 ** MOST_BITS in all; and bits that a hash sets.
 BITS_EACH, MOST_BITS, PROBES = 32, 27, 6
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 BLOOM_BITS = 22
 _U = np.uint64
 
@@ -58,6 +58,7 @@ class _Hashes(dict):
 
 
 _hashes = _Hashes()
+remembers("decontam", _hashes.clear)
 
 
 def word_hashes(text: str) -> np.ndarray:
@@ -291,6 +292,7 @@ def passed(docs: DataFrame, masks: Masks, held: np.ndarray, bits: int) -> DataFr
     arrow, sent = arrow_schema(spark, schema), spark.sparkContext.broadcast(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holds_memory("decontam")
         for b in slices(batches):
             texts = [word_hashes(x) for x in texts_of(b, "text")]
             ends = np.cumsum([len(h) for h in texts])

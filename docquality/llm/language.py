@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_batches, texts_of
+from .common import documents, holds_memory, map_batches, remembers, texts_of
 
 #: Training documents, at most (in expectation). All their words are read.
 SAMPLE_DOCS = 1200
@@ -37,7 +37,7 @@ FINE = 1 << 50
 #: Bytes of a word that are read at once, and bytes around a position that are seen at least where a word is longer.
 WINDOW, CONTEXT = 256, 32
 #: Words that a worker remembers, and bytes of the longest of them.
-REMEMBERED, LONG = 500_000, 96
+REMEMBERED, LONG = 300_000, 96
 HIDDEN = 16
 #: Batches that are trained on at least, however few words there are.
 LEAST_STEPS = 500
@@ -270,10 +270,12 @@ class Reader:
 
 
 _readers: dict[str, Reader] = {}
+remembers("language", _readers.clear)
 
 
 def reader_of(mark: str, weights: dict[str, np.ndarray]) -> Reader:
     """The one reader of this worker process, for the model so marked; it lasts for all tasks of the worker."""
+    holds_memory("language")
     if mark not in _readers:
         _readers.clear()
         _readers[mark] = Reader(weights)

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_schema, documents, fresh, map_batches, ship, slices, texts_of
+from .common import Scratch, arrow_schema, documents, fresh, holds_memory, map_batches, remembers, ship, slices, texts_of
 from .components import components
 
 BITS, LONG_BITS = 512, 4096
@@ -50,7 +50,7 @@ ARRANGEMENTS = 5
 FEW = 24
 #: Parts in which keys are shuffled, one after the other.
 PARTS = 4
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 _U = np.uint64
 
 
@@ -70,6 +70,7 @@ class _Words(dict):
 
 
 _words = _Words()
+remembers("ngram", _words.clear)
 
 
 def shingle_set(text: str, words: int) -> np.ndarray:
@@ -150,6 +151,7 @@ def sketches(docs: DataFrame, words: int, num: int, den: int, scratch: Scratch)
     arrow = arrow_schema(docs.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holds_memory("ngram")
         bands, seen = Bands(num, den), set()
         for b in slices(batches):
             rows = []
@@ -225,6 +227,7 @@ def links(sketched: DataFrame, found: DataFrame, docs: DataFrame, scratch: Scrat
     kind = arrow_schema(spark, "set_id long, shingles binary")
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holds_memory("ngram")
         for b in slices(batches):
             s = [shingle_set(x, words) for x in texts_of(b, "text")]
             yield pa.RecordBatch.from_arrays([pa.array([set_id(x) for x in s], pa.int64()), pa.array([x.tobytes() for x in s], pa.binary())], schema=kind)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents, map_batches, ship, table, texts_of
+from .common import Scratch, documents, holds_memory, map_batches, remembers, ship, table, texts_of
 
 #: Labelled documents that are learned from, at most (in expectation).
 SAMPLE_DOCS = 6000
@@ -35,7 +35,7 @@ LEAST_LABELS = 20
 #: Steps in which shares of a class are taken.
 FINE = 1 << 50
 BUCKETS = 1 << 17
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 HEADS = ("quality", "toxic")
 STYLE = 10
 
@@ -49,6 +49,7 @@ class _Buckets(dict):
 
 
 _buckets = _Buckets()
+remembers("quality", _buckets.clear)
 #: A-Z in lower case; what stands between words of letters becomes a space.
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -250,6 +251,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batch: pa.RecordBatch) -> dict:
+        holds_memory("quality")
         odds = [sent.value.log_odds(x) for x in texts_of(batch, "text")]
         return {"doc_id": batch.column(0), "host": batch.column(2), "path": batch.column(3), "quality": [x[0] for x in odds], "toxic": [x[1] for x in odds]}
 

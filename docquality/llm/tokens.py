@@ -21,11 +21,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents, ship, texts_of
+from .common import Scratch, documents, holds_memory, remembers, ship, slices, texts_of
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Chunks remembered by one Python worker, some 150 bytes each.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 _RUN = re.compile(r"  |\s \s")
 
 
@@ -77,12 +77,20 @@ class Encoder:
         return len(self.ids(text)) >> 2
 
 
-@functools.cache
 def encoder(path: str, added: bool = False) -> Encoder:
     """One for each Python worker."""
+    holds_memory("tokens")
+    return _encoder(path, added)
+
+
+@functools.cache
+def _encoder(path: str, added: bool) -> Encoder:
     return Encoder(path, added)
 
 
+remembers("tokens", _encoder.cache_clear)
+
+
 def default_vocabulary() -> str:
     return public_tokenizers.path(VOCABULARY)
 
@@ -98,7 +106,7 @@ def length_histogram(docs: DataFrame, text_col: str = "text", vocabulary: str |
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths: Counter[int] = Counter()
         length = encoder(path, added=True).length
-        for b in batches:
+        for b in slices(batches):
             lengths.update(map(length, texts_of(b, "text")))
         yield pa.RecordBatch.from_pydict({"n_tokens": pa.array(list(lengths), pa.int64()), "n_docs": pa.array(list(lengths.values()), pa.int64())})
 
