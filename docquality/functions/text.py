@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import json
 import unicodedata
 
 from pyspark.sql import Column
@@ -22,59 +21,27 @@ LABEL_WORDS = ("NOME", "CPF", "NASCIMENTO", "FILIACAO", "VALIDADE", "REGISTRO",
 PIVOT = 30
 
 
-#: Leads, vowels and tails that Korean syllables decompose into.
-_SYLLABLES, _LEAD, _VOWEL, _TAIL = 0xAC00, 0x1100, 0x1161, 0x11A7
 _ASCII_ONLY = r"^[\x00-\x7F]*+$"
-
-
-def _folded(c: str) -> str:
-    """A character's compatibility decomposition, without combining marks."""
-    return "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
-
-
-@functools.cache
-def _all_folds() -> dict[str, str]:
-    """What each character beyond ASCII becomes, Korean syllables apart, if it does not stay."""
-    planes = [*range(0x80, 0xAC00), *range(0xD7A4, 0xD800), *range(0xE000, 0x30000)]
-    return {c: k for c in map(chr, planes) if (k := _folded(c)) != c}
-
-
-@functools.cache
-def _folds() -> tuple[str, str]:
-    """For translate(): characters that become one other, then those that go."""
-    one = {c: k for c, k in _all_folds().items() if len(k) == 1}
-    return "".join([*one, *(c for c, k in _all_folds().items() if not k)]), "".join(one.values())
+#: Compatibility decomposition in the JVM: class and method of the library that Spark's collations come with.
+DECOMPOSE = ("com.ibm.icu.text.Normalizer", "decompose")
 
 
 @functools.cache
-def _long_folds() -> tuple[str, str]:
-    """A pattern of the characters that become several, and what they become, as the text of a JSON object."""
-    several = {c: k for c, k in _all_folds().items() if len(k) > 1}
-    points, runs = sorted(map(ord, several)), []
-    for p in points:
+def _combining() -> str:
+    """A pattern of all combining marks."""
+    runs: list[list[int]] = []
+    for p in (p for p in range(0x300, 0x20000) if unicodedata.combining(chr(p))):
         if runs and p == runs[-1][1] + 1:
             runs[-1][1] = p
         else:
             runs.append([p, p])
-    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in [*runs, [_SYLLABLES, 0xD7A3]]) + "]", json.dumps(several)
+    return "[" + "".join(f"\\x{{{a:X}}}" + (f"-\\x{{{b:X}}}" if b > a else "") for a, b in runs) + "]+"
 
 
 def strip_accents(c: Column) -> Column:
     """The compatibility decomposition without combining marks: accents, ligatures, fractions, signs and syllables."""
-    pattern, several = _long_folds()
-
-    def syllable(x: Column) -> Column:
-        n = F.ascii(x) - _SYLLABLES
-        letter = lambda first, count, i: F.substring(F.lit("".join(chr(first + k) for k in range(count))), (i + 1).cast("int"), F.lit(1))
-        return F.when(n.between(0, 11171), F.concat(letter(_LEAD, 19, F.floor(n / 588)), letter(_VOWEL, 21, F.floor(n % 588 / 28)), F.when(n % 28 > 0, letter(_TAIL, 28, n % 28)).otherwise("")))
-
-    def one(x: Column) -> Column:
-        return F.when(~x.rlike(pattern), x).otherwise(F.coalesce(F.try_element_at(F.from_json(F.lit(several), "map<string,string>"), x), syllable(x), x))
-
-    def full(x: Column) -> Column:
-        return F.when(~x.rlike(pattern), x).otherwise(F.array_join(F.transform(F.regexp_extract_all(x, F.lit("(?s)."), 0), one), ""))
-
-    return F.when(c.rlike(_ASCII_ONLY), c).otherwise(full(F.translate(c, *_folds())))
+    full = F.regexp_replace(F.java_method(F.lit(DECOMPOSE[0]), F.lit(DECOMPOSE[1]), c, F.lit(True)), _combining(), "")
+    return F.when(c.isNull() | c.rlike(_ASCII_ONLY), c).otherwise(full)
 
 
 strip_accents_full = strip_accents
@@ -255,8 +222,9 @@ def fnv1a(*parts: Column) -> Column:
 
 def register(spark) -> None:
     """The scalar functions that SQL users need, as temporary SQL functions: no Python runs in them."""
-    src, dst = (x.replace("\\", "\\\\").replace("'", "\\'") for x in _folds())
-    norm = f"trim(upper(regexp_replace(translate(s, '{src}', '{dst}'), '(?U)\\\\s+', ' ')))"
+    marks = _combining().replace("\\", "\\\\")
+    fold = f"case when s is null or s rlike '^[\\\\x00-\\\\x7F]*+$' then s else regexp_replace(java_method('{DECOMPOSE[0]}', '{DECOMPOSE[1]}', s, true), '{marks}', '') end"
+    norm = f"trim(upper(regexp_replace({fold}, '(?U)\\\\s+', ' ')))"
     digit = lambda i: f"try_cast(substring(regexp_replace(s, '(?U)\\\\D', ''), {i + 1}, 1) as int)"
     check = lambda n: "(" + " + ".join(f"{digit(i)} * {n + 1 - i}" for i in range(n)) + f") * 10 % 11 % 10 = {digit(n)}"
     body = {

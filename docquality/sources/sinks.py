@@ -86,7 +86,8 @@ def annotation_rows(boxes: DataFrame) -> DataFrame:
 def manifest_rows(manifest: DataFrame) -> DataFrame:
     """A manifest with its class as label too, and transforms as JSON text."""
     out = manifest.withColumn("label", F.col("class_name"))
-    return out.withColumn("transforms", F.to_json("transforms")) if "transforms" in out.columns else out
+    nested = "transforms" in out.columns and not isinstance(out.schema["transforms"].dataType, T.StringType)
+    return out.withColumn("transforms", F.to_json("transforms")) if nested else out
 
 
 def output_paths(image: Column, document_type: Column, root: str) -> Column:
