@@ -461,6 +461,10 @@ def oracle_sql() -> dict[str, str]:
         "bbox_convert": f"""with {_ANNOTATIONS}, e as (select path, pos, x as x_min, y as y_min, x + width as x_max, y + height as y_max from files), m as (select *, 500 - (y_max - 400) * 0.5 + 10 as a0, 500 - (y_min - 400) * 0.5 + 10 as a1, 400 + (x_min - 500) * 0.5 - 5 as b0, 400 + (x_max - 500) * 0.5 - 5 as b1 from e),
             c as (select *, greatest(0, least(a0, 1000)) as x0, greatest(0, least(a1, 1000)) as x1, greatest(0, least(b0, 800)) as y0, greatest(0, least(b1, 800)) as y1 from m), k as (select *, x1 - x0 >= 2 - 1e-9 and y1 - y0 >= 2 - 1e-9 as ok from c)
             select path, pos, x_min, y_min, x_max, y_max, case when ok then round_even(x0, 3) end as moved_x, case when ok then round_even(y0, 3) end as moved_y, case when ok then round_even(x1 - x0, 3) end as moved_width, case when ok then round_even(y1 - y0, 3) end as moved_height from k""",
+        "point_order": """with p as (select c_custkey, list_transform([[3, 5], [7, 11], [13, 17], [19, 23]], lambda m: {'x': (c_custkey::bigint * m[1] % 997)::double, 'y': (c_custkey::bigint * m[2] % 991)::double}) as p from customer),
+            s as (select c_custkey, list_sort(list_transform(p, lambda q: {'k': q.x + q.y, 'x': q.x, 'y': q.y})) as t, list_sort(list_transform(p, lambda q: {'k': q.y - q.x, 'x': q.x, 'y': q.y})) as g from p),
+            o as (select c_custkey, t[1].x as x0, t[1].y as y0, g[1].x as x1, g[1].y as y1, t[4].x as x2, t[4].y as y2, g[4].x as x3, g[4].y as y3 from s)
+            select *, greatest(1, floor(greatest(sqrt((x2 - x3) ** 2 + (y2 - y3) ** 2), sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2))))::int as width, greatest(1, floor(greatest(sqrt((x1 - x2) ** 2 + (y1 - y2) ** 2), sqrt((x0 - x3) ** 2 + (y0 - y3) ** 2))))::int as height from o""",
         "stage_window_counts": "select time_bucket(interval '1 day', ts) as window_start, event_type as stage, count(*) as n, round_even(avg(value), 6) as mean_value, max(value) as max_value from events group by 1, 2",
         "session_counts": "with a as (select user_id, ts, case when ts >= lag(ts) over (partition by user_id order by ts) + interval '6 hours' or lag(ts) over (partition by user_id order by ts) is null then 1 else 0 end as new from events), b as (select *, sum(new) over (partition by user_id order by ts) as s from a) select user_id, min(ts) as session_start, max(ts) + interval '6 hours' as session_end, count(*) as n from b group by user_id, s",
         "routing": f"{signals} select document_type, case when ocr_confidence >= 55 then 'accept' when doc_id % 2 <> 0 then 'fallback' when parsing_confidence >= 55 then 'accept' else 'human_review' end as route, count(*) as fields from ocr_s group by 1, 2",

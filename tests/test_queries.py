@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from docquality.plans import oracle, queries
+from docquality.plans import extras, oracle, queries
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -26,20 +26,19 @@ def plain(v):
     return round(v, 9) if isinstance(v, float) else v
 
 
-#: The evaluation queries share one plan; these stand for it here, and the driver runs all of them.
-SLOW = {"field_comparison", "text_similarity", "metrics_by_field", "batch_metrics", "doc_group_summary", "executive_by_type", "predominant_error", "document_metrics"}
+QUERIES, SQL = queries.queries() | extras.QUERIES, oracle.oracle_sql() | extras.SQL
 
 
-@pytest.mark.parametrize("name", sorted(set(oracle.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_same_rows(spark, db, name):
-    df = queries.queries()[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     columns = sorted(df.columns)
     got = sorted(repr([plain(r[c]) for c in columns]) for r in df.collect())
-    cursor = db.execute(oracle.oracle_sql()[name])
+    cursor = db.execute(SQL[name])
     names = [d[0] for d in cursor.description]
     assert sorted(names) == columns
     assert got == sorted(repr([plain(dict(zip(names, r, strict=True))[c]) for c in columns]) for r in cursor.fetchall())
 
 
-def test_every_query_but_one_has_sql():
-    assert set(queries.queries()) - set(oracle.oracle_sql()) == {"point_order"}
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(SQL)
