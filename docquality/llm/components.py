@@ -15,10 +15,11 @@ def _toward_least(links: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFr
     return links.join(least, "u"), least
 
 
-def _state(links: DataFrame) -> tuple:
-    """Equal for equal sets of links, but for chance."""
-    r = links.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.coalesce(F.sum(F.col("v") % 1_000_003), F.lit(0)).alias("s")).first()
-    return r["n"], r["x"], r["s"]
+def _settled(links: DataFrame) -> bool:
+    """Whether every node points to one other at most, and none to a node that points on."""
+    each = links.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("points")), F.struct(F.col("v").alias("x"), F.lit(0).alias("points")))).alias("e"))
+    g = each.groupBy("e.x").agg(F.sum("e.points").alias("out"), F.count(F.lit(1)).alias("n"))
+    return g.filter((F.col("out") > 1) | (F.col("out") == 1) & (F.col("n") > 1)).isEmpty()
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -28,18 +29,13 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     rounds; each round's links are written to shared storage. A hub's links are spread by the join, not gathered.
     """
     now = scratch.keep(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    state = _state(now)
-    while state[0]:
+    while not _settled(now):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         joined, least = _toward_least(both, scratch)
         large = scratch.keep(joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         scratch.drop(least)
         small, least = _toward_least(large, scratch)
         new = scratch.keep(small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).distinct())
-        new_state = _state(new)
         scratch.drop(large, now, least)
         now = new
-        if new_state == state:
-            break
-        state = new_state
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()

@@ -19,8 +19,9 @@ sketches, without a row for each pair. So no group is expanded into all of its p
 Pairs are first held against 512-bit parity sketches (one bit for each shingle; their Hamming distance is a lower bound
 of the symmetric difference, too), then the shingle sets are intersected exactly.
 
-Keys are made in PARTS by their hash, each a column of its own: one part is read and shuffled at a time. Which keys hold two classes is found by an aggregation, so a key of very many rows is combined before
-the shuffle, and joins are between written tables, so that Spark can split a crowded key among tasks.
+Keys are made in PARTS by their hash, each a column of its own: one part is read and shuffled at a time. Keys that very
+many classes share are known from a sample beforehand; they are combined before the shuffle, and joins are between
+written tables, so that Spark can split a crowded key among tasks.
 
 Defined results: null or empty texts, and texts without words, have no shingles and no links; texts with fewer words
 than a shingle are one shingle; rows of equal text always link; a null doc_id takes the id of its component, if there
@@ -50,6 +51,8 @@ ARRANGEMENTS = 5
 FEW = 24
 #: Parts in which keys are shuffled, one after the other.
 PARTS = 4
+#: Of every SAMPLED-th class the keys are counted; a key that SEEN of them have is crowded.
+SAMPLED, SEEN = 32, 16
 REMEMBERED = 300_000
 _U = np.uint64
 
@@ -175,11 +178,63 @@ def set_id(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 if len(s) else 0
 
 
-def groups_under_keys(keyed: DataFrame, scratch: Scratch) -> DataFrame:
-    """keyed (key, set_id) → (key, set_id, least) of the keys with two classes or more; least: the least class there."""
-    ends = keyed.groupBy("key").agg(F.min("set_id").alias("least"), F.max("set_id").alias("most"))
-    shared = scratch.keep(ends.filter("least < most").select("key", "least"))
-    return scratch.keep(keyed.join(shared, "key").select("key", "set_id", "least").distinct())
+def crowded_keys(sketched: DataFrame, parts: int) -> DataFrame:
+    """(key) of keys that very many classes share, by those of every SAMPLED-th class: a few keys, since each has some
+    SAMPLED * SEEN rows at least. It need not be exact: either way of grouping gives the same rows."""
+    some = sketched.filter(F.pmod(F.xxhash64("set_id"), F.lit(SAMPLED)) == 0)
+    keys = some.select("set_id", F.explode(F.flatten(F.array_compact(F.array(*[f"k{p}" for p in range(parts)])))).alias("key")).distinct()
+    return keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= SEEN).select("key")
+
+
+def groups_under_keys(keyed: DataFrame, scratch: Scratch, crowded: DataFrame | None = None) -> DataFrame:
+    """keyed (key, set_id) → (key, set_id, least) of the keys with two classes or more; least: the least class there.
+
+    The classes of crowded keys are aggregated, so that they are combined before the shuffle, and joined with their
+    least one, which Spark can split. All other rows are moved once and grouped as they come.
+    """
+    if crowded is None:
+        return scratch.keep(sorted_groups(keyed))
+    some = scratch.keep(keyed.join(crowded, "key").distinct())
+    least = scratch.keep(some.groupBy("key").agg(F.min("set_id").alias("least"), F.max("set_id").alias("most")).filter("least < most").select("key", "least"))
+    rest = sorted_groups(keyed.join(crowded, "key", "left_anti"))
+    return scratch.keep(rest.union(some.join(least, "key").select("key", "set_id", "least")))
+
+
+def sorted_groups(keyed: DataFrame) -> DataFrame:
+    """groups_under_keys() by a sorted pass, which sees one key after the other and holds one row of it; equal rows are
+    passed over."""
+    arrow = arrow_schema(keyed.sparkSession, "key long, set_id long, least long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, []  # the last key, its least class, whether that has been given out; and its last class
+        for b in batches:
+            key, c = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            if not len(key):
+                continue
+            if last is not None:
+                key, c = np.concatenate([[last[0]], key]), np.concatenate([[last[2]], c])
+            starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            least = c[starts].copy()
+            if last is not None:
+                least[0] = last[1]
+            each = np.repeat(least, np.diff(np.append(starts, len(key))))
+            new = np.append(True, (key[1:] != key[:-1]) | (c[1:] != c[:-1]))
+            if last is not None:
+                new[0] = False
+            follow = new & (c != each)  # classes beyond the least
+            # the least class itself is given once, with the first that follows it
+            where = np.flatnonzero(follow)
+            opened = {last[0]} if last is not None and last[3] else set()
+            first_of = where[np.append(True, key[where][1:] != key[where][:-1])] if len(where) else where
+            lead = np.array([i for i in first_of if key[i] not in opened], dtype=np.int64)
+            k, s, m = np.concatenate([key[where], key[lead]]), np.concatenate([c[where], each[lead]]), np.concatenate([each[where], each[lead]])
+            given = bool(len(where)) and key[where[-1]] == key[-1] or last is not None and key[-1] == last[0] and last[3]
+            last = (key[-1], each[-1], c[-1], given)
+            if len(k):
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(s), pa.array(m)], schema=arrow)
+
+    dealt = keyed.repartition("key").sortWithinPartitions("key", "set_id")
+    return dealt.mapInArrow(run, "key long, set_id long, least long")
 
 
 def similar(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
@@ -217,9 +272,10 @@ def verified(pairs: DataFrame, sets: DataFrame, slim: DataFrame, num: int, den:
 def links(sketched: DataFrame, found: DataFrame, docs: DataFrame, scratch: Scratch, words: int, num: int, den: int) -> DataFrame:
     """(node, root) of the set classes that link, from sketches()."""
     spark = docs.sparkSession
+    crowded = scratch.keep(crowded_keys(sketched, PARTS))
     under = None
     for p in range(PARTS):
-        part = groups_under_keys(sketched.select(F.explode(f"k{p}").alias("key"), "set_id"), scratch)
+        part = groups_under_keys(sketched.select(F.explode(f"k{p}").alias("key"), "set_id"), scratch, crowded)
         under = part if under is None else under.union(part)
     scratch.drop(sketched)
     classes = found.filter("n > 0").groupBy("set_id").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.any_value("n").alias("n"), F.max("parity").alias("parity"))
@@ -271,9 +327,22 @@ def links(sketched: DataFrame, found: DataFrame, docs: DataFrame, scratch: Scrat
         x = rows.join(chosen, "key").filter(F.col("root") != F.col("c.root"))
         return x.select(F.least("set_id", "c.set_id").alias("a"), F.greatest("set_id", "c.set_id").alias("b"))
 
+    def mostly(rows: DataFrame) -> DataFrame:
+        """Each class with the least class that it shares most keys with: one pair for each."""
+        n = rows.filter("set_id <> least").groupBy("least", "set_id").agg(F.count(F.lit(1)).alias("n"))
+        return n.groupBy("set_id").agg(F.max(F.struct("n", F.col("least").alias("l"))).alias("m")).select(F.col("m.l").alias("a"), F.col("set_id").alias("b"))
+
+    def to_least(rows: DataFrame) -> DataFrame:
+        """Each class with the least one of each of its keys that is not in its component yet."""
+        pairs = rows.join(under.select("key", "least").distinct(), "key").filter("set_id <> least")
+        own = pairs.join(roots.toDF("least", "other"), "least", "left").filter(F.coalesce("other", "least") != F.col("root"))
+        return own.select(F.col("least").alias("a"), F.col("set_id").alias("b"))
+
     for arrangement in (1, 2):
-        settle(under.filter("set_id <> least").select(F.col("least").alias("a"), F.col("set_id").alias("b")))
+        settle(mostly(under))
         rest = unsettled(under)
+        settle(to_least(rest))
+        rest = unsettled(rest)
         settle(across(rest.filter("not many")).union(to_another(rest.filter("many"))))
         rest = unsettled(rest.filter("many"))
         if rest.isEmpty():
