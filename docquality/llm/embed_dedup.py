@@ -6,17 +6,23 @@ under the keys in which one hash takes its second choice (multiprobe). How many
 from the number of vectors, the similarity and the chance of a miss that is allowed, which is measured on random pairs
 at exactly the threshold. Candidate pairs are verified by their cosine in double precision.
 
-Equal vectors of a label form one class from the start, so their pairs are never made. A key with very many classes is
-dealt out in blocks, and each pair of blocks is a task's work; no key is held by one task. Only pairs that are candidates
-leave it, and only links stay.
+Equal vectors of a label form one class from the start. Classes within half the angle of the threshold of the first one
+under their key form a ball: all of it links, by the triangle inequality, without a comparison. Candidates are pairs of
+balls. Two balls link as a whole, or not at all, where the angle between their centres and their radii say so; else
+their members are compared, in blocks, of which only counts and one link between the balls are kept. So neither copies
+nor near copies, however many, are expanded into their pairs, and every link counts.
+
+A key with very many balls is dealt out in blocks, and each pair of blocks is a task's work; no key is held by one task.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components link with nothing, nor do
-rows without a label or an id; vectors of different lengths never link. Repeated rows of one id count as one vector.
-An empty table gives no rows.
+rows without a label or an id; vectors of different lengths never link (each length is a plan of its own). Vectors of
+any size are scaled first. Repeated rows of one id count as one vector; an id with different vectors has the links of
+all. An empty table gives no rows. Other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -25,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_schema, map_batches, ship, table
+from .common import Scratch, arrow_schema, ship, table
 from .components import components
 
 #: Classes of a key that one block holds, about.
@@ -123,7 +129,9 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 def keyed(classes: DataFrame, dim: int, hashes: int, tables: int) -> DataFrame:
     """(label, t, key, rep, own) of classes (rep, label, v)."""
-    arrow = arrow_schema(classes.sparkSession, f"label {classes.schema['label'].dataType.simpleString()}, t int, key long, rep long, own boolean")
+    kind = classes.schema["label"].dataType.simpleString()
+    schema = f"label {kind}, t int, key long, rep long, own boolean"
+    arrow = arrow_schema(classes.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lsh = Polytopes(dim, hashes, tables)
@@ -137,7 +145,34 @@ def keyed(classes: DataFrame, dim: int, hashes: int, tables: int) -> DataFrame:
                 own = pa.array(np.tile(np.arange(k) == 0, n))
                 yield pa.RecordBatch.from_arrays([b.column(1).take(at), pa.array(np.full(n * k, t, np.int32)), pa.array(lsh.keys(x, t).ravel()), b.column(0).take(at), own], schema=arrow)
 
-    return classes.select("rep", "label", "v").mapInArrow(run, ", ".join(f"{f.name} {t}" for f, t in zip(arrow, (classes.schema["label"].dataType.simpleString(), "int", "long", "long", "boolean"), strict=True)))
+    return classes.select("rep", "label", "v").mapInArrow(run, schema)
+
+
+#: Angles are held against bounds with so much to spare; what is closer to a bound is compared by cosines.
+SPARE = 1e-6
+
+
+def angle(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip((unit(x) * unit(y)).sum(1), -1, 1))
+
+
+def balls_of(classes: DataFrame, dim: int, hashes: int, cosine: float) -> DataFrame:
+    """(rep, ball, off) of classes (rep, label, v): the class at the centre of the ball, and the angle to it."""
+    first = keyed(classes, dim, hashes, 1).filter("own").select("label", "key", "rep")
+    centre = first.groupBy("label", "key").agg(F.min("rep").alias("centre"))
+    v = classes.select("rep", "v")
+    x = first.join(centre, ["label", "key"]).select("rep", "centre").join(v, "rep").join(v.toDF("centre", "c"), "centre").select("rep", "centre", "v", "c")
+    arrow, most = arrow_schema(classes.sparkSession, "rep long, ball long, off double"), math.acos(cosine) / 2 - SPARE
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                rep, centre = (b.column(i).to_numpy() for i in (0, 1))
+                off = np.where(rep == centre, 0.0, angle(_matrix(b.column(2), dim), _matrix(b.column(3), dim)))
+                inside = off <= most
+                yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(np.where(inside, centre, rep)), pa.array(np.where(inside, off, 0.0))], schema=arrow)
+
+    return x.mapInArrow(run, "rep long, ball long, off double")
 
 
 def candidate_pairs(rows: DataFrame) -> DataFrame:
@@ -187,16 +222,68 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
     yield None
 
 
-def verified(pairs: DataFrame, classes: DataFrame, dim: int, cosine: float) -> DataFrame:
-    c = classes.select("rep", "v")
-    full = pairs.join(c.toDF("a", "x"), "a").join(c.toDF("b", "y"), "b")
+def judged(pairs: DataFrame, balls: DataFrame, dim: int, cosine: float) -> DataFrame:
+    """(a, b, whole) of pairs of balls (ball, radius, v) that may link: whole if all of one links with all of the other."""
+    c = balls.select("ball", "radius", "v")
+    x = pairs.join(c.toDF("a", "ra", "x"), "a").join(c.toDF("b", "rb", "y"), "b").select("a", "b", "ra", "rb", "x", "y")
+    arrow, most = arrow_schema(pairs.sparkSession, "a long, b long, whole boolean"), math.acos(cosine)
 
-    def near(batch: pa.RecordBatch) -> dict:
-        v = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-        keep = pa.array((unit(_matrix(v["x"], dim)) * unit(_matrix(v["y"], dim))).sum(1) >= cosine)
-        return {n: v[n].filter(keep) for n in ("a", "b")}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                apart, reach = angle(_matrix(b.column(4), dim), _matrix(b.column(5), dim)), b.column(2).to_numpy() + b.column(3).to_numpy()
+                may = pa.array(apart - reach <= most + SPARE)
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(may), b.column(1).filter(may), pa.array(apart + reach <= most - SPARE).filter(may)], schema=arrow)
+
+    return x.mapInArrow(run, "a long, b long, whole boolean")
+
+
+def compared(pairs: DataFrame, members: DataFrame, dim: int, cosine: float) -> DataFrame:
+    """Of pairs of balls (a, b) and members (ball, rep, size, v): rows (x, null, more) of a class and how many vectors of the
+    other ball it links with, and (a, b, null) of balls of which some members link."""
+    blocks = members.groupBy("ball").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    p = pairs.join(blocks.toDF("a", "na"), "a").join(blocks.toDF("b", "nb"), "b")
+
+    def side(own: str, mine: str, others: str, number: int) -> DataFrame:
+        x = p.join(members.withColumnRenamed("ball", own), own).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col(mine)).cast("int"))
+        x = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.col(others) - 1)))
+        i, j = ("mine", "other") if number == 0 else ("other", "mine")
+        return x.select(F.xxhash64("a", "b", i, j).alias("unit"), "a", "b", F.lit(number).alias("side"), "rep", "size", "v")
+
+    arrow = arrow_schema(pairs.sparkSession, "x long, y long, more long")
+
+    def count(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(rows)
+        one = t.column("side").to_numpy() == 0
+        rep, size, v = t.column("rep").to_numpy(), t.column("size").to_numpy(), unit(_matrix(t.column("v").combine_chunks(), dim))
+        # row by row as in a plain sum of products, so that a pair at the threshold is judged alike everywhere
+        near = np.stack([(v[~one] * u).sum(1) >= cosine for u in v[one]]) if one.any() and (~one).any() else np.zeros((0, 0), bool)
+        if not near.any():
+            return pa.RecordBatch.from_pydict({f.name: pa.array([], f.type) for f in arrow}, schema=arrow)
+        more = np.concatenate([near @ size[~one], near.T @ size[one]])
+        x, some = np.concatenate([rep[one], rep[~one]]), more > 0
+        n = int(some.sum())
+        edge = [t.column(c)[0].as_py() for c in ("a", "b")]
+        return pa.RecordBatch.from_arrays([pa.array([*x[some].tolist(), edge[0]], pa.int64()), pa.array([None] * n + [edge[1]], pa.int64()), pa.array([*more[some].tolist(), None], pa.int64())], schema=arrow)
 
-    return map_batches(full.select("a", "b", "x", "y"), near, "a long, b long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = [], None
+        for b in batches:
+            unit_of = b.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(unit_of[1:] != unit_of[:-1]) + 1).tolist(), len(unit_of)]
+            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+                if e == s:
+                    continue
+                if held and unit_of[s] != now:
+                    yield count(held)
+                    held = []
+                now = unit_of[s]
+                held.append(b.slice(s, e - s))
+        if held:
+            yield count(held)
+
+    both = side("a", "na", "nb", 0).union(side("b", "nb", "na", 1))
+    return both.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "x long, y long, more long")
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = 0.98, miss: float = 1e-5) -> DataFrame:
@@ -204,31 +291,48 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
     miss: the chance, for a pair at exactly the threshold, that no table brings it together.
     """
-    ship(vectors.sparkSession)
-    scratch = Scratch(vectors.sparkSession, "vectors")
+    spark = vectors.sparkSession
+    ship(spark)
+    scratch = Scratch(spark, "vectors")
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"), F.col(label_col).alias("label"))
     good = rows.filter(usable("v", "vec_id", "label")).withColumns({"h": F.xxhash64("v"), "g": F.xxhash64(F.lit(1), "v"), "dim": F.size("v")})
     members = scratch.keep(good.select("vec_id", "label", "h", "g").distinct())
-    classes = scratch.keep(good.groupBy("label", "h", "g").agg(F.min("vec_id").alias("rep"), F.any_value("v").alias("v"), F.any_value("dim").alias("dim")))
-    links = None
+    sizes = members.groupBy("label", "h", "g").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("size"))
+    vector = good.groupBy("label", "h", "g").agg(F.any_value("v").alias("v"), F.any_value("dim").alias("dim"))
+    classes = scratch.keep(sizes.join(vector, ["label", "h", "g"]).withColumn("rep", F.monotonically_increasing_id()))
+    links, counts, in_balls = [], [], []
     for dim, n in sorted((r["dim"], r["n"]) for r in classes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()):
         own = classes.filter(F.col("dim") == dim)
-        pairs = candidate_pairs(scratch.keep(keyed(own, dim, *plan(dim, n, cosine, miss))))
-        part = verified(pairs, own, dim, cosine)
-        links = part if links is None else links.union(part)
-    same = members.groupBy("label", "h", "g").agg(F.count(F.lit(1)).alias("size"))
-    size = scratch.keep(same.join(classes.select("label", "h", "g", "rep"), ["label", "h", "g"]))
-    if links is None:
-        links = vectors.sparkSession.createDataFrame([], "a long, b long")
-    links = scratch.keep(links)
-    roots = components(links, scratch)
-    both = links.union(links.select("b", "a")).toDF("rep", "other")
-    more = both.join(size.select(F.col("rep").alias("other"), "size"), "other").groupBy("rep").agg(F.sum("size").alias("more"))
-    known = size.join(more, "rep", "left").join(roots.toDF("rep", "root"), "rep", "left")
-    known = scratch.keep(known.select("label", "h", "g", (F.col("size") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("component_id")))
+        hashes, tables = plan(dim, n, cosine, miss)
+        placed = scratch.keep(balls_of(own, dim, hashes, cosine))
+        in_ball = scratch.keep(placed.join(own.select("rep", "label", "size", "first", "v"), "rep"))
+        in_balls.append(in_ball.select("rep", "ball", "size", "first"))
+        balls = in_ball.groupBy("ball").agg(F.max("off").alias("radius"), F.sum("size").alias("n"))
+        balls = scratch.keep(balls.join(in_ball.select(F.col("rep").alias("ball"), "v"), "ball"))
+        keys = keyed(in_ball.select(F.col("ball").alias("rep"), "label", "v"), dim, hashes, tables)  # a member's keys are its ball's
+        keys = scratch.keep(keys.groupBy("label", "t", "key", "rep").agg(F.max("own").alias("own")))
+        found = scratch.keep(judged(candidate_pairs(keys), balls, dim, cosine))
+        scratch.drop(keys)
+        whole = found.filter("whole").select("a", "b")
+        some = scratch.keep(compared(found.filter("not whole").select("a", "b"), in_ball.select("ball", "rep", "size", "v"), dim, cosine))
+        links += [whole, some.filter("y is not null").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()]
+        n_of = balls.select("ball", "n")
+        each = whole.join(n_of.toDF("b", "n"), "b").select(F.col("a").alias("ball"), "n").union(whole.join(n_of.toDF("a", "n"), "a").select(F.col("b").alias("ball"), "n"))
+        by_ball = each.groupBy("ball").agg(F.sum("n").alias("by_ball"))
+        by_class = some.filter("y is null").groupBy(F.col("x").alias("rep")).agg(F.sum("more").alias("by_class"))
+        own_n = in_ball.select("rep", "ball").join(n_of, "ball").join(by_ball, "ball", "left").join(by_class, "rep", "left")
+        counts.append(own_n.select("rep", (F.col("n") - 1 + F.coalesce("by_ball", F.lit(0)) + F.coalesce("by_class", F.lit(0))).alias("n_links")))
+    if not counts:
+        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    union = lambda frames: functools.reduce(DataFrame.union, frames)
+    roots = components(scratch.keep(union(links)), scratch)
+    rooted = scratch.keep(union(in_balls).join(roots.toDF("ball", "root"), "ball", "left").select("rep", F.coalesce("root", "ball").alias("root"), "first"))
+    least = scratch.keep(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
+    known = rooted.join(least, "root").join(scratch.keep(union(counts)), "rep").join(classes.select("rep", "label", "h", "g"), "rep")
+    known = scratch.keep(known.select("label", "h", "g", "n_links", "component_id"))
     out = members.join(known, ["label", "h", "g"]).select("vec_id", "n_links", "component_id")
-    # an id with several different vectors has the links of all of them
-    one = out.groupBy("vec_id").agg(F.sum("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
+    one = scratch.keep(out.groupBy("vec_id").agg(F.sum("n_links").alias("n_links"), F.min("component_id").alias("component_id")))
+    scratch.drop_all_but(one)
     full = rows.select("vec_id").join(one, "vec_id", "left")
     component = F.coalesce("component_id", "vec_id")
     return full.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
