@@ -38,10 +38,20 @@ def _combining() -> str:
     return "[" + "".join(f"\\x{{{a:X}}}" + (f"-\\x{{{b:X}}}" if b > a else "") for a, b in runs) + "]+"
 
 
+@functools.cache
+def _latin() -> tuple[str, str, str]:
+    """A pattern of texts in Latin letters of which each folds to one character or none, and their folds for translate()."""
+    fold = {chr(p): "".join(x for x in unicodedata.normalize("NFKD", chr(p)) if not unicodedata.combining(x)) for p in range(0x80, 0x180)}
+    one, gone = {c: k for c, k in fold.items() if len(k) == 1 and k != c}, [c for c, k in fold.items() if not k]
+    several = "".join(c for c, k in fold.items() if len(k) > 1)
+    return rf"^[\x00-\x{{17F}}&&[^{several}]]*+$", "".join([*one, *gone]), "".join(one.values())
+
+
 def strip_accents(c: Column) -> Column:
     """The compatibility decomposition without combining marks: accents, ligatures, fractions, signs and syllables."""
+    pattern, *folds = _latin()
     full = F.regexp_replace(F.java_method(F.lit(DECOMPOSE[0]), F.lit(DECOMPOSE[1]), c, F.lit(True)), _combining(), "")
-    return F.when(c.isNull() | c.rlike(_ASCII_ONLY), c).otherwise(full)
+    return F.when(c.isNull() | c.rlike(_ASCII_ONLY), c).when(c.rlike(pattern), F.translate(c, *folds)).otherwise(full)
 
 
 strip_accents_full = strip_accents
