@@ -36,6 +36,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, arrow_schema, documents, ship, slices, texts_of
 from .tokens import default_vocabulary, encoder
 
+#: Rows that one task sorts; more are range-sorted by many.
+ALONE = 200_000
 #: Classes of pieces that are taken by themselves: up to so many pieces of the class fit in a sequence.
 CLASSES = 6
 
@@ -111,19 +113,21 @@ def best_fit(counts: dict[int, int], size: int) -> list[tuple[int, int, int, int
     return out
 
 
-def range_sorted(rows: DataFrame, *order: Column) -> DataFrame:
-    """rows in this order over all tasks. at: part * 2**33 + place in the part; parts are in order."""
-    return rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+def range_sorted(rows: DataFrame, n: int, *order: Column) -> DataFrame:
+    """n rows in this order over all tasks. at: part * 2**33 + place in the part; parts are in order."""
+    dealt = rows.coalesce(1) if n <= ALONE else rows.repartitionByRange(*order)
+    return dealt.sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
 
 
 def part_of(at: str) -> Column:
     return F.shiftright(at, 33)
 
 
-def sweep(pieces: DataFrame, gaps: DataFrame, size: int, scratch: Scratch, largest: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def sweep(pieces: DataFrame, gaps: DataFrame, n: int, size: int, scratch: Scratch, largest: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Of pieces (id, value) and gaps (id, value): placed (id, sequence, offset), the pieces left and the gaps left.
 
-    largest: the size of the largest piece, if a gap may get several pieces; else it gets one.
+    n: how many of both there are. largest: the size of the largest piece, if a gap may get several pieces; else it gets
+    one.
     """
     g = F.col("value")
     if largest is None:
@@ -132,7 +136,7 @@ def sweep(pieces: DataFrame, gaps: DataFrame, size: int, scratch: Scratch, large
         slot = F.explode(F.sequence(F.lit(0), F.greatest(F.floor(g / largest).cast("int") - 1, F.lit(0)))).alias("slot")
         places = gaps.select("id", g.alias("gap"), slot).select(F.lit(0).alias("kind"), "id", "slot", "gap", (F.col("gap") - F.col("slot") * largest).alias("value"))
     rows = places.union(pieces.select(F.lit(1).alias("kind"), "id", F.lit(0).alias("slot"), F.lit(0).cast("long").alias("gap"), "value"))
-    rows = scratch.keep(range_sorted(rows, F.desc("value"), F.asc("kind"), F.asc("id"), F.asc("slot")))
+    rows = scratch.keep(range_sorted(rows, n if largest is None else n * size // largest, F.desc("value"), F.asc("kind"), F.asc("id"), F.asc("slot")))
     # a row for each size, kind and part: few, whatever the number of pieces
     runs = rows.groupBy(part_of("at").alias("part"), "value", "kind").agg(F.min("at").alias("lo"), F.count(F.lit(1)).alias("n"))
     up = F.when(F.col("kind") == 0, F.col("n")).otherwise(-F.col("n"))
@@ -145,7 +149,7 @@ def sweep(pieces: DataFrame, gaps: DataFrame, size: int, scratch: Scratch, large
     me = F.struct("kind", "id", "slot", "gap", "value")
     x = x.select("kind", "id", "gap", "value", F.when(F.col("kind") == 0, F.lead(me).over(along)).otherwise(F.lag(me).over(along)).alias("o"))
     met = F.when(F.col("o.kind") != F.col("kind"), F.col("o"))
-    x = scratch.keep(x.select("kind", "id", "gap", "value", met.alias("met")))
+    x = scratch.keep(x.select("kind", "id", "gap", "value", met.alias("met")), (rows,))
     scratch.drop(rows)
     left = x.filter("kind = 1 and met is null").select("id", "value")
     found = x.filter("kind = 1 and met is not null").select("id", "value", "met.*").toDF("id", "value", "k", "sequence", "slot", "gap", "v").drop("k", "v")
@@ -156,13 +160,13 @@ def sweep(pieces: DataFrame, gaps: DataFrame, size: int, scratch: Scratch, large
     placed = found.select("id", "sequence", (size - F.col("gap") + F.coalesce(F.sum("value").over(in_gap), F.lit(0))).alias("offset"))
     used = found.groupBy("sequence").agg(F.sum("value").alias("used"))
     rest = gaps.join(used, F.col("id") == F.col("sequence"), "left").select("id", (F.col("value") - F.coalesce("used", F.lit(0))).alias("value"))
-    return scratch.keep(placed), left, scratch.keep(rest)
+    return scratch.keep(placed, (x,)), left, scratch.keep(rest, (x,))
 
 
-def opened(pieces: DataFrame, each: int, most: int | None, scratch: Scratch) -> DataFrame:
+def opened(pieces: DataFrame, n: int, each: int, most: int | None, scratch: Scratch) -> DataFrame:
     """(id, value, sequence, offset, filled) of pieces (id, value) that open sequences, `each` in one, the largest first.
     Beyond `most` pieces sequence is null."""
-    rows = scratch.keep(range_sorted(pieces.select("id", "value"), F.desc("value"), F.asc("id")))
+    rows = scratch.keep(range_sorted(pieces.select("id", "value"), n, F.desc("value"), F.asc("id")))
     parts = rows.groupBy(part_of("at").alias("p")).agg(F.min("at").alias("lo"), F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(W.orderBy("lo").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     x = rows.join(F.broadcast(parts.select("p", "lo", before.alias("before"))), part_of("at") == F.col("p"))
@@ -174,7 +178,7 @@ def opened(pieces: DataFrame, each: int, most: int | None, scratch: Scratch) ->
     out = scratch.keep(x.select(
         "id", "value", F.when(opens, F.first("id").over(along)).alias("sequence"),
         F.coalesce(F.sum("value").over(along.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("offset"), F.sum("value").over(whole).alias("filled"),
-    ))
+    ), (rows,))
     scratch.drop(rows)
     return out
 
@@ -195,12 +199,12 @@ def matched(pieces: DataFrame, size: int, scratch: Scratch) -> DataFrame:
         last = j > CLASSES
         left = pieces.filter((F.col("value") <= size // j) & (F.lit(True) if last else F.col("value") > size // (j + 1)))
         while True:
-            seen = left.agg(F.min("value").alias("least"), F.max("value").alias("most"), F.sum("value").alias("all")).first()
+            seen = left.agg(F.min("value").alias("least"), F.max("value").alias("most"), F.sum("value").alias("all"), F.count(F.lit(1)).alias("n")).first()
             if seen["least"] is None:
                 break
-            widest = gaps.agg(F.max("value")).first()[0] if gaps is not None else None
+            widest, n_gaps = gaps.agg(F.max("value"), F.count(F.lit(1))).first() if gaps is not None else (None, 0)
             if widest is not None and widest >= seen["least"]:
-                got, left, more = sweep(left, gaps, size, scratch, seen["most"] if last else None)
+                got, left, more = sweep(left, gaps, seen["n"] + n_gaps, size, scratch, seen["most"] if last else None)
                 placed.append(got)
                 gaps = None
                 add_gaps(more)
@@ -210,7 +214,7 @@ def matched(pieces: DataFrame, size: int, scratch: Scratch) -> DataFrame:
                 break
             else:
                 each = size // seen["most"] if last else j
-                x = opened(left, each, -(-seen["all"] // size) * each if last else None, scratch)
+                x = opened(left, seen["n"], each, -(-seen["all"] // size) * each if last else None, scratch)
                 new = x.filter("sequence is not null")
                 placed.append(new.select("id", "sequence", "offset"))
                 add_gaps(new.filter("id = sequence").select("id", (size - F.col("filled")).alias("value")))
