@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 BATCH_ROWS = 512
 #: What a session that has Spark's own bounds of Arrow batches gets instead: (setting, default, bound).
 BATCHES = (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", str(BATCH_ROWS)), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "16m"))
+#: Bytes of kept tables that one task writes on from.
+TASK_BYTES = 8_000_000
 #: Lets Spark remove the shuffle files of a write when it has ended.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -107,10 +109,15 @@ class Scratch:
         self.paths: dict[str, None] = {}
         self.n = 0
 
-    def keep(self, df: DataFrame) -> DataFrame:
-        """Write df, and return it as read back; its shuffle files go. The schema is given, so that no job infers it."""
+    def keep(self, df: DataFrame, of: tuple[DataFrame, ...] = ()) -> DataFrame:
+        """Write df, and return it as read back; its shuffle files go. The schema is given, so that no job infers it.
+
+        of: the kept tables that df is made of. A table made of little is written by few tasks, TASK_BYTES of them each,
+        so that rounds over small tables do not leave, and read, a small file for every partition."""
         path = f"{self.root}/{self.n}"
         self.n += 1
+        if of:
+            df = df.coalesce(1 + sum(map(self.bytes_of, of)) // TASK_BYTES)
         with setting(self.spark, CLEANUP, "true"):
             df.write.parquet(path)
         self.paths[path] = None
@@ -118,6 +125,10 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def bytes_of(self, df: DataFrame) -> int:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+
     def drop(self, *frames: DataFrame) -> None:
         """Free the storage of tables that nothing reads any more."""
         for df in frames:

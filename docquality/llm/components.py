@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 
-def _toward_least(links: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """links (u, v) with the least of u and its neighbours, as m; and the table of m, to be dropped. It is written first,
+def _toward_least(links: DataFrame, of: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """links (u, v), made of a kept table, with the least of u and its neighbours, as m; and the table of m, to be dropped. It is written first,
     so that both sides of the join are plain shuffles, of which Spark can split a hub's."""
-    least = scratch.keep(links.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+    least = scratch.keep(links.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), (of,))
     return links.join(least, "u"), least
 
 
@@ -31,11 +31,11 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     now = scratch.keep(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     while not _settled(now):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        joined, least = _toward_least(both, scratch)
-        large = scratch.keep(joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        joined, least = _toward_least(both, now, scratch)
+        large = scratch.keep(joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), (now,))
         scratch.drop(least)
-        small, least = _toward_least(large, scratch)
-        new = scratch.keep(small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).distinct())
+        small, least = _toward_least(large, large, scratch)
+        new = scratch.keep(small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).distinct(), (large,))
         scratch.drop(large, now, least)
         now = new
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()

@@ -9,9 +9,9 @@ are the join keys. A set enters its own band and each band in which a larger par
 An empty block says nothing, so it is no key. A set with k - d empty blocks or more also enters the next arrangement,
 with other blocks, and after the last one all its shingles are keys. So no pair is lost to empty blocks.
 
-Sets that are equal form one class from the start and enter once. The classes under a key are compared with the least
-of them; where that joins all of them into one component (as with copies of a page, however many) nothing is left to
-do. Otherwise pairs of different components are compared, for keys of few classes. Those of a key of many are compared
+Sets that are equal form one class from the start and enter once. Each class is compared with the class that is the least
+under most of its keys; where that joins all classes of a key into one component (as with copies of a page, however many)
+nothing is left to do. Otherwise pairs of different components are compared, for keys of few classes. Those of a key of many are compared
 with another one of them, and then enter a second arrangement, where sets that merely share a passage hardly meet
 again. What meets in large numbers even there is alike, but not similar enough; it is compared in blocks, by longer
 sketches, without a row for each pair. So no group is expanded into all of its pairs, and no link is lost.
@@ -242,8 +242,9 @@ def similar(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
     return den * both >= num * (len(x) + len(y) - both)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, slim: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that link, by their parity sketches and then by their sets."""
+def verified(pairs: DataFrame, sets: DataFrame, slim: DataFrame, num: int, den: int, scratch: Scratch, few: bool) -> DataFrame:
+    """The pairs (a, b) that link, by their parity sketches and then by their sets. few: whether most sets are in no pair,
+    so that those in one are picked before sets are moved."""
     s = slim.select("set_id", "n", "parity")
     p = pairs.join(s.toDF("a", "na", "pa"), "a").join(s.toDF("b", "nb", "pb"), "b")
     least, most = F.least("na", "nb"), F.greatest("na", "nb")
@@ -257,7 +258,10 @@ def verified(pairs: DataFrame, sets: DataFrame, slim: DataFrame, num: int, den:
         keep = pa.array(apart * (den + num) <= (den - num) * total)
         return {n: c[n].filter(keep) for n in ("a", "b")}
 
-    close = map_batches(p.select("a", "b", "na", "nb", "pa", "pb"), near, "a long, b long")
+    close = scratch.keep(map_batches(p.select("a", "b", "na", "nb", "pa", "pb"), near, "a long, b long"), (pairs, slim))
+    if few:
+        ids = scratch.keep(close.select(F.explode(F.array("a", "b")).alias("set_id")).distinct(), (close,))
+        sets = sets.join(ids, "set_id", "left_semi")
     full = close.join(sets.toDF("a", "x").hint("merge"), "a").join(sets.toDF("b", "y").hint("merge"), "b")
 
     def exact(batch: pa.RecordBatch) -> dict:
@@ -273,9 +277,10 @@ def links(sketched: DataFrame, found: DataFrame, docs: DataFrame, scratch: Scrat
     """(node, root) of the set classes that link, from sketches()."""
     spark = docs.sparkSession
     crowded = scratch.keep(crowded_keys(sketched, PARTS))
-    under = None
+    under, under_tables = None, []
     for p in range(PARTS):
         part = groups_under_keys(sketched.select(F.explode(f"k{p}").alias("key"), "set_id"), scratch, crowded)
+        under_tables.append(part)
         under = part if under is None else under.union(part)
     scratch.drop(sketched)
     classes = found.filter("n > 0").groupBy("set_id").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.any_value("n").alias("n"), F.max("parity").alias("parity"))
@@ -300,22 +305,23 @@ def links(sketched: DataFrame, found: DataFrame, docs: DataFrame, scratch: Scrat
     def settle(pairs: DataFrame) -> None:
         """Compare pairs, and find the components anew."""
         nonlocal edges, tried, roots
-        pairs = pairs.distinct()
-        pairs = scratch.keep(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        few = tried is not None
+        pairs = scratch.keep(pairs.distinct() if tried is None else pairs.distinct().join(tried, ["a", "b"], "left_anti"), (slim,))
         tried = pairs if tried is None else tried.union(pairs)
-        good = scratch.keep(verified(pairs, sets, slim, num, den))
+        good = scratch.keep(verified(pairs, sets, slim, num, den, scratch, few), (pairs,))
         # with the old roots in place of the old links the graph stays small
         edges = good if roots is None else good.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        roots = scratch.keep(components(edges, scratch))
+        roots = scratch.keep(components(edges, scratch), (slim,))
 
     def rooted(rows: DataFrame) -> DataFrame:
         return rows.join(roots.toDF("set_id", "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
 
     def unsettled(rows: DataFrame) -> DataFrame:
         """(key, set_id, root, many): rows of the keys whose classes are in more than one component."""
-        rows = scratch.keep(rooted(rows.select("key", "set_id")))
+        rows = scratch.keep(rooted(rows.select("key", "set_id")), tuple(under_tables))
         open_keys = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi")
-        return scratch.keep(rows.join(scratch.keep(open_keys.select("key", (F.col("size") > FEW).alias("many"))), "key"))
+        open_keys = scratch.keep(open_keys.select("key", (F.col("size") > FEW).alias("many")), (rows,))
+        return scratch.keep(rows.join(open_keys, "key"), (rows,))
 
     def across(rows: DataFrame) -> DataFrame:
         x, y = rows.select("key", F.col("set_id").alias("a"), F.col("root").alias("ra")), rows.select("key", F.col("set_id").alias("b"), F.col("root").alias("rb"))
@@ -323,7 +329,7 @@ def links(sketched: DataFrame, found: DataFrame, docs: DataFrame, scratch: Scrat
 
     def to_another(rows: DataFrame) -> DataFrame:
         """Each class with one class of its key that stands for it by chance, if they are in different components."""
-        chosen = scratch.keep(rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "set_id").alias("by"), "set_id", "root")).alias("c")))
+        chosen = scratch.keep(rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "set_id").alias("by"), "set_id", "root")).alias("c")), (slim,))
         x = rows.join(chosen, "key").filter(F.col("root") != F.col("c.root"))
         return x.select(F.least("set_id", "c.set_id").alias("a"), F.greatest("set_id", "c.set_id").alias("b"))
 
@@ -332,23 +338,16 @@ def links(sketched: DataFrame, found: DataFrame, docs: DataFrame, scratch: Scrat
         n = rows.filter("set_id <> least").groupBy("least", "set_id").agg(F.count(F.lit(1)).alias("n"))
         return n.groupBy("set_id").agg(F.max(F.struct("n", F.col("least").alias("l"))).alias("m")).select(F.col("m.l").alias("a"), F.col("set_id").alias("b"))
 
-    def to_least(rows: DataFrame) -> DataFrame:
-        """Each class with the least one of each of its keys that is not in its component yet."""
-        pairs = rows.join(under.select("key", "least").distinct(), "key").filter("set_id <> least")
-        own = pairs.join(roots.toDF("least", "other"), "least", "left").filter(F.coalesce("other", "least") != F.col("root"))
-        return own.select(F.col("least").alias("a"), F.col("set_id").alias("b"))
-
     for arrangement in (1, 2):
         settle(mostly(under))
         rest = unsettled(under)
-        settle(to_least(rest))
-        rest = unsettled(rest)
         settle(across(rest.filter("not many")).union(to_another(rest.filter("many"))))
         rest = unsettled(rest.filter("many"))
         if rest.isEmpty():
             return roots
         if arrangement == 1:  # similar sets share a key in any arrangement: the classes left over enter another one
             under = groups_under_keys(scratch.keep(anew(rest.select("set_id").distinct(), sets, num, den)), scratch)
+            under_tables = [under]
     # what still shares keys with many is alike; it is compared in blocks, by long parity sketches
     clusters = components(rest.groupBy("key").agg(F.min("set_id").alias("a")).join(rest.select("key", F.col("set_id").alias("b")), "key").select("a", "b"), scratch)
     settle(close_pairs(rooted(clusters.toDF("set_id", "cluster")).join(sets, "set_id"), num, den))
