@@ -20,6 +20,8 @@ BATCH_ROWS = 512
 BATCHES = (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", str(BATCH_ROWS)), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "16m"))
 #: Bytes of kept tables that one task writes on from.
 TASK_BYTES = 8_000_000
+#: Bytes of a kept table that may be broadcast.
+SMALL_BYTES = 8_000_000
 #: Lets Spark remove the shuffle files of a write when it has ended.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -129,6 +131,10 @@ class Scratch:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
 
+    def small(self, df: DataFrame) -> DataFrame:
+        """A kept table for a join: to be broadcast if its files are small enough for that, else as it is."""
+        return F.broadcast(df) if self.bytes_of(df) <= SMALL_BYTES else df
+
     def drop(self, *frames: DataFrame) -> None:
         """Free the storage of tables that nothing reads any more."""
         for df in frames:

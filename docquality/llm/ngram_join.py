@@ -12,9 +12,9 @@ with other blocks, and after the last one all its shingles are keys. So no pair
 Sets that are equal form one class from the start and enter once. Each class is compared with the class that is the least
 under most of its keys; where that joins all classes of a key into one component (as with copies of a page, however many)
 nothing is left to do. Otherwise pairs of different components are compared, for keys of few classes. Those of a key of many are compared
-with another one of them, and then enter a second arrangement, where sets that merely share a passage hardly meet
-again. What meets in large numbers even there is alike, but not similar enough; it is compared in blocks, by longer
-sketches, without a row for each pair. So no group is expanded into all of its pairs, and no link is lost.
+with another one of them. What is left is alike, but not similar enough; classes that such keys connect are a cluster,
+and are compared in blocks, by longer sketches, without a row for each pair. Those of a very large cluster enter another
+arrangement first, where sets that merely share a passage hardly meet again. So no group is expanded into all of its pairs, and no link is lost.
 
 Pairs are first held against 512-bit parity sketches (one bit for each shingle; their Hamming distance is a lower bound
 of the symmetric difference, too), then the shingle sets are intersected exactly.
@@ -49,6 +49,8 @@ BLOCK = 512
 ARRANGEMENTS = 5
 #: Classes under one key of which all pairs between components are compared at once; beyond, the key is arranged anew.
 FEW = 24
+#: Classes of a cluster that is compared in blocks at once.
+CLUSTER = 16_384
 #: Parts in which keys are shuffled, one after the other.
 PARTS = 4
 #: Of every SAMPLED-th class the keys are counted; a key that SEEN of them have is crowded.
@@ -261,7 +263,7 @@ def verified(pairs: DataFrame, sets: DataFrame, slim: DataFrame, num: int, den:
     close = scratch.keep(map_batches(p.select("a", "b", "na", "nb", "pa", "pb"), near, "a long, b long"), (pairs, slim))
     if few:
         ids = scratch.keep(close.select(F.explode(F.array("a", "b")).alias("set_id")).distinct(), (close,))
-        sets = sets.join(ids, "set_id", "left_semi")
+        sets = sets.join(scratch.small(ids), "set_id", "left_semi")
     full = close.join(sets.toDF("a", "x").hint("merge"), "a").join(sets.toDF("b", "y").hint("merge"), "b")
 
     def exact(batch: pa.RecordBatch) -> dict:
@@ -308,7 +310,7 @@ def links(sketched: DataFrame, found: DataFrame, docs: DataFrame, scratch: Scrat
         few = tried is not None
         pairs = scratch.keep(pairs.distinct() if tried is None else pairs.distinct().join(tried, ["a", "b"], "left_anti"), (slim,))
         tried = pairs if tried is None else tried.union(pairs)
-        good = scratch.keep(verified(pairs, sets, slim, num, den, scratch, few), (pairs,))
+        good = scratch.keep(verified(pairs, sets, slim, num, den, scratch, few), (pairs, sets))
         # with the old roots in place of the old links the graph stays small
         edges = good if roots is None else good.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
         roots = scratch.keep(components(edges, scratch), (slim,))
@@ -338,19 +340,35 @@ def links(sketched: DataFrame, found: DataFrame, docs: DataFrame, scratch: Scrat
         n = rows.filter("set_id <> least").groupBy("least", "set_id").agg(F.count(F.lit(1)).alias("n"))
         return n.groupBy("set_id").agg(F.max(F.struct("n", F.col("least").alias("l"))).alias("m")).select(F.col("m.l").alias("a"), F.col("set_id").alias("b"))
 
-    for arrangement in (1, 2):
+    def first_rounds() -> DataFrame:
+        """Compare what keys tell to be likely; the rows of keys of many classes that are in several components still."""
         settle(mostly(under))
         rest = unsettled(under)
         settle(across(rest.filter("not many")).union(to_another(rest.filter("many"))))
-        rest = unsettled(rest.filter("many"))
-        if rest.isEmpty():
-            return roots
-        if arrangement == 1:  # similar sets share a key in any arrangement: the classes left over enter another one
-            under = groups_under_keys(scratch.keep(anew(rest.select("set_id").distinct(), sets, num, den)), scratch)
-            under_tables = [under]
-    # what still shares keys with many is alike; it is compared in blocks, by long parity sketches
-    clusters = components(rest.groupBy("key").agg(F.min("set_id").alias("a")).join(rest.select("key", F.col("set_id").alias("b")), "key").select("a", "b"), scratch)
-    settle(close_pairs(rooted(clusters.toDF("set_id", "cluster")).join(sets, "set_id"), num, den))
+        return unsettled(rest.filter("many"))
+
+    def clusters_of(rest: DataFrame) -> DataFrame:
+        """(set_id, cluster) of classes that keys connect."""
+        ends = rest.groupBy("key").agg(F.min("set_id").alias("a")).join(rest.select("key", F.col("set_id").alias("b")), "key").select("a", "b")
+        return scratch.keep(components(ends, scratch).toDF("set_id", "cluster"), (rest,))
+
+    def in_blocks(clusters: DataFrame) -> None:
+        """Compare all that is in different components of a cluster, by long parity sketches, in blocks."""
+        settle(close_pairs(sets.join(scratch.small(scratch.keep(rooted(clusters), (clusters,))), "set_id"), num, den))
+
+    rest = first_rounds()
+    if rest.isEmpty():
+        return roots
+    clusters = clusters_of(rest)
+    sizes = scratch.keep(clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")), (clusters,))
+    in_blocks(scratch.keep(clusters.join(sizes.filter(F.col("n") <= CLUSTER).select("cluster"), "cluster", "left_semi").select("set_id", "cluster"), (clusters,)))
+    large = scratch.keep(clusters.join(sizes.filter(F.col("n") > CLUSTER).select("cluster"), "cluster", "left_semi").select("set_id"), (clusters,))
+    if not large.isEmpty():  # similar sets share a key in any arrangement: the classes of large clusters enter another one
+        under = groups_under_keys(scratch.keep(anew(large, sets, num, den)), scratch)
+        under_tables = [under]
+        rest = first_rounds()
+        if not rest.isEmpty():
+            in_blocks(clusters_of(rest))
     return roots
 
 
@@ -365,7 +383,7 @@ def anew(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
                 k = block_keys(np.frombuffer(s.as_buffer(), _U), bands, ARRANGEMENTS)
                 yield pa.RecordBatch.from_arrays([_signed(k), pa.array(np.full(len(k), c.as_py()))], schema=arrow)
 
-    return rows.join(sets, "set_id").select("set_id", "shingles").mapInArrow(run, "key long, set_id long")
+    return sets.join(rows, "set_id", "left_semi").select("set_id", "shingles").mapInArrow(run, "key long, set_id long")
 
 
 def close_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
