@@ -33,6 +33,33 @@ def text(rng, n):
     return " ".join(rng.choice("abcdefghij") * 2 + str(rng.randrange(400)) for _ in range(n))
 
 
+def test_components_by_every_way(spark, monkeypatch):
+    """Crowded keys, keys of many classes, and clusters that enter another arrangement give the same components."""
+    rng = random.Random(8)
+    base = text(rng, 80).split()
+    texts = []
+    for i in range(60):
+        w = list(base)
+        for k in rng.sample(range(80), i % 9):
+            w[k] = f"x{rng.randrange(50)}"
+        texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = sorted(map(tuple, ngram_join.jaccard_components(df).collect()))
+    for settings in ({"SAMPLED": 1, "SEEN": 2}, {"FEW": 1, "CLUSTER": 1, "BLOCK": 4}):
+        with monkeypatch.context() as m:
+            for k, v in settings.items():
+                m.setattr(ngram_join, k, v)
+            assert sorted(map(tuple, ngram_join.jaccard_components(df).collect())) == want
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(76)} for t in texts]
+    root = list(range(60))
+    for a in range(60):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                lo, hi = sorted((root[a], root[b]))
+                root = [lo if r == hi else r for r in root]
+    assert [r[2] for r in want] == root
+
+
 def test_components_of_rows_without_an_id(spark):
     rng = random.Random(1)
     a, b, c = text(rng, 60), text(rng, 60), text(rng, 60)
