@@ -9,8 +9,9 @@ at exactly the threshold. Candidate pairs are verified by their cosine in double
 Equal vectors of a label form one class from the start. Classes within half the angle of the threshold of the first one
 under their key form a ball: all of it links, by the triangle inequality, without a comparison. Candidates are pairs of
 balls. Two balls link as a whole, or not at all, where the angle between their centres and their radii say so; else
-their members are compared, in blocks, of which only counts and one link between the balls are kept. So neither copies
-nor near copies, however many, are expanded into their pairs, and every link counts.
+their members are compared, in blocks, of which only counts and one link between the balls are kept. So copies, and near
+copies within half the angle, are not expanded into their pairs, and every link counts. A group that is wider falls into
+many balls, of which each pair that shares a key is a row until it is judged.
 
 A key with very many balls is dealt out in blocks, and each pair of blocks is a task's work; no key is held by one task.
 
