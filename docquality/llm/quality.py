@@ -181,7 +181,8 @@ def sample(docs: DataFrame, labels: DataFrame, size: int) -> list:
     for k, x in shares({r["class"]: r["count"] for r in known.groupBy("class").count().collect()}, size).items():
         share = F.when(F.col("class") == k, x).otherwise(share)
     some = known.withColumn("share", share).filter(F.pmod(F.xxhash64("doc_id"), F.lit(FINE)) < F.col("share") * FINE)
-    joined = docs.select("doc_id", "text").join(some.select("doc_id", *HEADS, F.try_divide(F.lit(1.0), "share").alias("weight")), "doc_id")
+    drawn = F.broadcast(some.select("doc_id", *HEADS, F.try_divide(F.lit(1.0), "share").alias("weight")))  # about `size` rows, whatever the table
+    joined = docs.select("doc_id", "text").join(drawn, "doc_id")
 
     def look(batch: pa.RecordBatch) -> dict:
         raw = [x.encode("utf-8", "surrogatepass") for x in texts_of(batch, "text")]
