@@ -108,7 +108,9 @@ def detection_size(width: Column, height: Column, most: int = 1200) -> Column:
     """(width, height, scale) for the search for contours: the longer side is `most` at most."""
     side = F.greatest(width, height)
     scale = F.when(side > most, F.lit(float(most)) / side).otherwise(1.0)
-    return F.struct((width * scale).cast("int").alias("width"), (height * scale).cast("int").alias("height"), scale.alias("scale"))
+    # divided last: side * (most / side) can fall short of most
+    scaled = lambda v: F.when(side > most, v.cast("double") * most / side).otherwise(v).cast("int")
+    return F.struct(scaled(width).alias("width"), scaled(height).alias("height"), scale.alias("scale"))
 
 
 def ocr_size(width: Column, height: Column, least: int = 1200, most: int = 2200) -> Column:

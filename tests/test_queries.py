@@ -63,3 +63,8 @@ def test_split_of_groups_that_share_a_name(spark, tmp_path):
     parts = [p for p in parts if p[0] not in (1, 98)] + [(1, "Brand#3"), (98, "Brand#4"), (500, None), (501, None)]
     got = against_sql(spark, tmp_path, "split_with_a_rare_class", part=(parts, "p_partkey int, p_brand string"))
     assert len(got) > len(parts) > len({repr(g) for g in got})
+
+
+def test_sizes_of_very_wide_images(spark, tmp_path):
+    """The longer side is 1,200 exactly, also where 1,200 / width times the width is not."""
+    against_sql(spark, tmp_path, "image_sizes", customer=([(k, "n", "s") for k in (*range(1, 3001), 1591 + 3_000_000, -5, None)], "c_custkey int, c_name string, c_mktsegment string"))
