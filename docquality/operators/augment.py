@@ -55,23 +55,33 @@ def from_edges(boxes: DataFrame) -> DataFrame:
     return boxes.withColumns({"x": F.col("x_min"), "y": F.col("y_min"), "width": F.col("x_max") - F.col("x_min"), "height": F.col("y_max") - F.col("y_min")}).drop("x_min", "y_min", "x_max", "y_max")
 
 
-def affine(boxes: DataFrame, angle: Column, scale: Column, dx: Column, dy: Column, width: Column, height: Column, least: float = 2.0) -> DataFrame:
+def affine(boxes: DataFrame, angle: Column, scale: Column, dx: Column, dy: Column, width: Column, height: Column, least: float = 2.0, stay: bool = False) -> DataFrame:
     """Boxes (x, y, width, height) after a turn by angle degrees and a scale around the centre, and a shift; clipped to the
-    image, without those that are then narrower or lower than `least`."""
+    image, without those that are then narrower or lower than `least`, or (stay) with nulls for them."""
     cx, cy = width / 2, height / 2
     c, s = F.cos(F.radians(angle)) * scale, F.sin(F.radians(angle)) * scale
     moved = F.transform(F.col("corners"), lambda p: F.struct((cx + (p["x"] - cx) * c - (p["y"] - cy) * s + dx).alias("x"), (cy + (p["x"] - cx) * s + (p["y"] - cy) * c + dy).alias("y")))
-    return _fitted(boxes, moved, width, height, least)
+    return _fitted(boxes, moved, width, height, least, stay)
+
 
+def _fitted(boxes: DataFrame, moved: Column, width: Column, height: Column, least: float, stay: bool = False) -> DataFrame:
+    """Boxes around moved corners, clipped to the image, without those that are then narrower or lower than `least`, or
+    (stay) with nulls for them.
 
-def _fitted(boxes: DataFrame, moved: Column, width: Column, height: Column, least: float) -> DataFrame:
-    """Boxes around moved corners, clipped to the image, without those that are then narrower or lower than `least`."""
+    A filter would be pushed down to the source of the boxes, and repeat what computes them for every use of a side; the
+    generator holds it above."""
     x = boxes.withColumn("corners", corners(*map(F.col, ("x", "y", "width", "height")))).withColumn("corners", moved)
     within = lambda v, most: F.least(F.greatest(v, F.lit(0.0)), most)
     xs, ys = F.transform("corners", lambda p: p["x"]), F.transform("corners", lambda p: p["y"])
     x = x.withColumns({"x0": within(F.array_min(xs), width), "x1": within(F.array_max(xs), width), "y0": within(F.array_min(ys), height), "y1": within(F.array_max(ys), height)})
-    x = x.withColumns({"x": F.col("x0"), "y": F.col("y0"), "width": F.col("x1") - F.col("x0"), "height": F.col("y1") - F.col("y0")}).drop("corners", "x0", "x1", "y0", "y1")
-    return x.filter((F.col("width") >= least) & (F.col("height") >= least))
+    large = lambda w, h: (w >= least) & (h >= least)
+    sides = {"x": F.col("x0"), "y": F.col("y0"), "width": F.col("x1") - F.col("x0"), "height": F.col("y1") - F.col("y0")}
+    if stay:
+        ok = large(sides["width"], sides["height"])
+        return x.withColumns({k: F.when(ok, v) for k, v in sides.items()}).drop("corners", "x0", "x1", "y0", "y1")
+    others = [c for c in boxes.columns if c not in sides]
+    x = x.select(*others, F.inline(F.array(F.struct(*[v.alias(k) for k, v in sides.items()]))))
+    return x.filter(large(F.col("width"), F.col("height"))).select(boxes.columns)
 
 
 def perspective(boxes: DataFrame, matrix: list[Column], width: Column, height: Column, least: float = 2.0) -> DataFrame:

@@ -374,7 +374,9 @@ def _annotation_files(spark, sf_dir):
     quoted = F.concat(F.concat_ws(",", n(5, 400), n(13, 200), n(2, 80), F.lit("9.5")), F.lit(',"Rua A, 12"'))
     polygon = F.concat(F.lit("["), F.concat_ws(", ", n(17, 600), n(19, 600), n(23, 600), n(29, 600)), F.lit("], ["), F.concat_ws(", ", n(31, 400), n(37, 400), n(41, 400), n(43, 400)), F.lit("], -1, -1, "), F.col("c_mktsegment"))
     head = F.when(k % 2 == 0, "x, y, width, height, transcription").otherwise("x,y,width,height,transcription")
-    return read(spark, sf_dir, "customer").select(k.cast("string").alias("path"), F.concat_ws("\n", head, row, F.lit(""), quoted, polygon).alias("value"))
+    # a small file is one task, and parsing what is made of it takes far longer than dealing it to all cores
+    dealt = read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment").repartition(spark.sparkContext.defaultParallelism)
+    return dealt.select(k.cast("string").alias("path"), F.concat_ws("\n", head, row, F.lit(""), quoted, polygon).alias("value"))
 
 
 def annotation_parse(spark, sf_dir):
@@ -387,11 +389,11 @@ def ground_truth_lines(spark, sf_dir):
 
 
 def bbox_convert(spark, sf_dir):
-    b = annotation_parse(spark, sf_dir)
-    e = augment.to_edges(b)
-    moved = augment.affine(b, F.lit(90.0), F.lit(0.5), F.lit(10.0), F.lit(-5.0), F.lit(1000.0), F.lit(800.0))
-    r = moved.select("path", "pos", *[X.half_even(F.col(c), 3).alias(f"moved_{c}") for c in ("x", "y", "width", "height")])
-    return e.select("path", "pos", "x_min", "y_min", "x_max", "y_max").join(r, ["path", "pos"], "left")
+    sides = ("x", "y", "width", "height")
+    b = annotation_parse(spark, sf_dir).withColumn("own", F.struct(*sides))
+    moved = augment.affine(b, F.lit(90.0), F.lit(0.5), F.lit(10.0), F.lit(-5.0), F.lit(1000.0), F.lit(800.0), stay=True)
+    r = moved.select("path", "pos", "own.*", *[X.half_even(F.col(c), 3).alias(f"moved_{c}") for c in sides])
+    return augment.to_edges(r).select("path", "pos", "x_min", "y_min", "x_max", "y_max", *[f"moved_{c}" for c in sides])
 
 
 def point_order(spark, sf_dir):

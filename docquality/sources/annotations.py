@@ -46,8 +46,8 @@ def polygon(line: Column, use) -> Column:
     def parts(p: Column) -> Column:
         def tail(t: Column) -> Column:
             ok = (F.size(p) == 3) & p[0].rlike(r"^\s*\[") & p[1].rlike(r"^\s*,\s*\[") & (F.size(t) == 4) & (F.trim(t[0]) == "") & t[1].try_cast("double").isNotNull() & t[2].try_cast("double").isNotNull()
-            xs, ys = numbers(p[0]), numbers(p[1])
-            return F.when(ok & (F.size(xs) > 0) & (F.size(ys) > 0), use(xs, ys, X.strip(t[3])))
+            lists = F.struct(numbers(p[0]).alias("xs"), numbers(p[1]).alias("ys"))
+            return F.when(ok, X.let(lists, lambda n: F.when((F.size(n["xs"]) > 0) & (F.size(n["ys"]) > 0), use(n["xs"], n["ys"], X.strip(t[3])))))
 
         return X.let(F.split(F.element_at(p, -1), ",", 4), tail)
 
@@ -66,7 +66,8 @@ def parse_boxes(lines: DataFrame, *keys: str) -> DataFrame:
         return box(*n, X.strip(F.array_join(F.slice(c, 5, F.greatest(F.size(c), F.lit(1))), ","))).withField("shaped", F.size(c) >= 5)
 
     found = F.coalesce(around, X.let(cells(F.col("line")), row))
-    x = lines.select(*keys, found.alias("b")).select(*keys, "b.*")
+    # a generator, which filters on the cells are not pushed through: they would parse the line again for each use
+    x = lines.select(*keys, F.inline(F.array(found)))
     known = F.col("shaped")
     for c in HEADER:
         known = known & F.col(c).isNotNull()

@@ -5,8 +5,11 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from docquality.operators import augment
 from docquality.plans import extras, oracle, queries
+from docquality.sources import annotations
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -68,3 +71,22 @@ def test_split_of_groups_that_share_a_name(spark, tmp_path):
 def test_sizes_of_very_wide_images(spark, tmp_path):
     """The longer side is 1,200 exactly, also where 1,200 / width times the width is not."""
     against_sql(spark, tmp_path, "image_sizes", customer=([(k, "n", "s") for k in (*range(1, 3001), 1591 + 3_000_000, -5, None)], "c_custkey int, c_name string, c_mktsegment string"))
+
+
+def test_boxes_are_parsed_once(spark, tmp_path):
+    """Not once for every use of a side, and one row for each box, also of files that share a path."""
+    customers = [(k, f"Customer#{k}", "AUTO") for k in (1, 2, 2, 3, 977)]
+    against_sql(spark, tmp_path, "bbox_convert", customer=(customers, "c_custkey bigint, c_name string, c_mktsegment string"))
+    df = queries.bbox_convert(spark, str(tmp_path))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("try_cast") < 30 and "Join" not in plan
+
+
+def test_filtered_boxes_are_parsed_once(spark):
+    lines = spark.createDataFrame([("a", "10,20,30,40,x"), ("b", "10,20,1,1,y"), ("c", "[1, 90], [2, 80], -1, -1, z")], "path string, line string")
+    at = [F.lit(float(v)) for v in (0, 1, 0, 0, 1000, 800)]
+    moved = augment.affine(annotations.parse_boxes(lines, "path"), *at)
+    assert sorted((r.path, round(r.x), round(r.width)) for r in moved.collect()) == [("a", 10, 30), ("c", 1, 89)]
+    assert moved._jdf.queryExecution().optimizedPlan().toString().count("try_cast") < 30
+    stay = augment.affine(annotations.parse_boxes(lines, "path"), *at, stay=True)
+    assert {r.path: r.x for r in stay.collect()}["b"] is None and stay.columns == moved.columns
