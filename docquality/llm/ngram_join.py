@@ -17,7 +17,9 @@ and are compared in blocks, by longer sketches, without a row for each pair. Tho
 arrangement first, where sets that merely share a passage hardly meet again. So no group is expanded into all of its pairs, and no link is lost.
 
 Pairs are first held against 512-bit parity sketches (one bit for each shingle; their Hamming distance is a lower bound
-of the symmetric difference, too), then the shingle sets are intersected exactly.
+of the symmetric difference, too), then against longer ones, which tell long texts apart; for what is left the shingle
+sets are made from the texts again and intersected exactly. Sets take more room than the texts they are made of, so they
+are neither written nor moved; texts and sketches are moved in parts, of which one is on disk at a time.
 
 Keys are made in PARTS by their hash, each a column of its own: one part is read and shuffled at a time. Keys that very
 many classes share are known from a sample beforehand; they are combined before the shuffle, and joins are between
@@ -51,8 +53,10 @@ ARRANGEMENTS = 5
 FEW = 24
 #: Classes of a cluster that is compared in blocks at once.
 CLUSTER = 16_384
-#: Parts in which keys are shuffled, one after the other.
+#: Parts in which keys, and texts, are shuffled, one after the other.
 PARTS = 4
+#: Pairs, or sketches, that are moved at a time; or as many as there are sets to compare, if they are more.
+MOVED = 200_000
 #: Of every SAMPLED-th class the keys are counted; a key that SEEN of them have is crowded.
 SAMPLED, SEEN = 32, 16
 REMEMBERED = 300_000
@@ -244,35 +248,57 @@ def similar(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
     return den * both >= num * (len(x) + len(y) - both)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, slim: DataFrame, num: int, den: int, scratch: Scratch, few: bool) -> DataFrame:
-    """The pairs (a, b) that link, by their parity sketches and then by their sets. few: whether most sets are in no pair,
-    so that those in one are picked before sets are moved."""
+def apart_at_most(batch: pa.RecordBatch, x: str, y: str, size: int, num: int, den: int) -> pa.Array:
+    """Whether the parity sketches x and y of sets of na and nb shingles leave it open that they are similar."""
+    c = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+    bits = [np.frombuffer(b"".join(c[n].to_pylist()), np.uint64).reshape(-1, size // 64) for n in (x, y)]
+    apart = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1, dtype=np.int64)
+    return pa.array(apart * (den + num) <= (den - num) * (c["na"].to_numpy() + c["nb"].to_numpy()))
+
+
+def verified(pairs: DataFrame, bodies: DataFrame, slim: DataFrame, words: int, num: int, den: int, scratch: Scratch, most: int) -> DataFrame:
+    """The pairs (a, b) that link, by their parity sketches, the short ones first, and then by their sets. `most` pairs, or
+    some more, are held against the long sketches and the texts at a time; of these only what is in a pair is moved."""
     s = slim.select("set_id", "n", "parity")
     p = pairs.join(s.toDF("a", "na", "pa"), "a").join(s.toDF("b", "nb", "pb"), "b")
-    least, most = F.least("na", "nb"), F.greatest("na", "nb")
-    p = p.filter(den * least >= num * most)
-
-    def near(batch: pa.RecordBatch) -> dict:
-        c = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-        x, y = (np.frombuffer(b"".join(c[n].to_pylist()), np.uint8).reshape(-1, BITS // 8) for n in ("pa", "pb"))
-        apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-        total = c["na"].to_numpy() + c["nb"].to_numpy()
-        keep = pa.array(apart * (den + num) <= (den - num) * total)
-        return {n: c[n].filter(keep) for n in ("a", "b")}
+    least, greatest = F.least("na", "nb"), F.greatest("na", "nb")
+    p = p.filter(den * least >= num * greatest)
+    sized = "a long, b long, na long, nb long"
 
-    close = scratch.keep(map_batches(p.select("a", "b", "na", "nb", "pa", "pb"), near, "a long, b long"), (pairs, slim))
-    if few:
-        ids = scratch.keep(close.select(F.explode(F.array("a", "b")).alias("set_id")).distinct(), (close,))
-        sets = sets.join(scratch.small(ids), "set_id", "left_semi")
-    full = close.join(sets.toDF("a", "x").hint("merge"), "a").join(sets.toDF("b", "y").hint("merge"), "b")
+    def near(x: str, y: str, size: int):
+        def f(batch: pa.RecordBatch) -> dict:
+            keep = apart_at_most(batch, x, y, size, num, den)
+            return {n: batch.column(batch.schema.get_field_index(n)).filter(keep) for n in ("a", "b", "na", "nb")}
+
+        return f
 
     def exact(batch: pa.RecordBatch) -> dict:
-        c = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-        of = lambda v: np.frombuffer(v, _U)
-        keep = pa.array([similar(of(x.as_buffer()), of(y.as_buffer()), num, den) for x, y in zip(c["x"], c["y"], strict=True)], pa.bool_())
+        c, sets = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}, {}
+
+        def of(i: int, text: pa.StringScalar) -> np.ndarray:
+            if i not in sets:
+                sets[i] = shingle_set(text.as_py(), words)
+            return sets[i]
+
+        a, b = c["a"].to_pylist(), c["b"].to_pylist()
+        keep = pa.array([similar(of(i, x), of(j, y), num, den) for i, j, x, y in zip(a, b, c["x"], c["y"], strict=True)], pa.bool_())
         return {n: c[n].filter(keep) for n in ("a", "b")}
 
-    return map_batches(full.select("a", "b", "x", "y"), exact, "a long, b long")
+    def joined(close: DataFrame, column: str, x: str, y: str) -> DataFrame:
+        ids = scratch.keep(close.select(F.explode(F.array("a", "b")).alias("set_id")).distinct(), (close,))
+        some = bodies.select("set_id", column).join(scratch.small(ids), "set_id", "left_semi")
+        return close.join(some.toDF("a", x).hint("merge"), "a").join(some.toDF("b", y).hint("merge"), "b")
+
+    close = scratch.keep(map_batches(p.select("a", "b", "na", "nb", "pa", "pb"), near("pa", "pb", BITS), sized), (pairs, slim))
+    parts, out = 1 + close.count() // most, None
+    for i in range(parts):
+        part = close if parts == 1 else scratch.keep(close.filter(F.pmod(F.xxhash64("a", "b"), F.lit(parts)) == i), (close,))
+        long = joined(part, "sketch", "sa", "sb").select("a", "b", "na", "nb", "sa", "sb")
+        closer = scratch.keep(map_batches(long, near("sa", "sb", LONG_BITS), sized))
+        full = joined(closer, "text", "x", "y").select("a", "b", "x", "y")
+        good = scratch.keep(map_batches(full, exact, "a long, b long"))
+        out = good if out is None else out.union(good)
+    return out
 
 
 def links(sketched: DataFrame, found: DataFrame, docs: DataFrame, scratch: Scratch, words: int, num: int, den: int) -> DataFrame:
@@ -287,18 +313,33 @@ def links(sketched: DataFrame, found: DataFrame, docs: DataFrame, scratch: Scrat
     scratch.drop(sketched)
     classes = found.filter("n > 0").groupBy("set_id").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.any_value("n").alias("n"), F.max("parity").alias("parity"))
     slim = scratch.keep(under.select("set_id").distinct().join(classes, "set_id"))
-    kind = arrow_schema(spark, "set_id long, shingles binary")
+    body = "set_id long, n long, sketch binary, text string"
+    kind = arrow_schema(spark, body)
 
-    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def to_bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         holds_memory("ngram")
+        seen = set()
         for b in slices(batches):
-            s = [shingle_set(x, words) for x in texts_of(b, "text")]
-            yield pa.RecordBatch.from_arrays([pa.array([set_id(x) for x in s], pa.int64()), pa.array([x.tobytes() for x in s], pa.binary())], schema=kind)
-
-    # texts and sets are always brought together by a shuffle, so that the plan is the same at every size
-    wanted = slim.select(F.col("rep.doc_id").alias("i"), F.col("rep.th").alias("t"))
-    texts = docs.hint("merge").join(wanted, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t")), "left_semi").select("text")
-    sets = scratch.keep(texts.mapInArrow(to_sets, "set_id long, shingles binary").dropDuplicates(["set_id"]))
+            rows = []
+            for x in texts_of(b, "text"):
+                s = shingle_set(x, words)
+                c = set_id(s)
+                if c not in seen:  # rows that repeat id and text; if they are dealt to several tasks, each has them once
+                    seen.add(c)
+                    rows.append((c, len(s), parity(s, LONG_BITS), x))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(zip(*rows, strict=True), kind, strict=True)], schema=kind)
+
+    # texts and classes are always brought together by a shuffle, so that the plan is the same at every size; a part at a time
+    wanted = scratch.keep(slim.select(F.col("rep.doc_id").alias("i"), F.col("rep.th").alias("t")))
+    bodies = None
+    for p in range(PARTS):
+        texts = docs.filter(F.pmod(F.xxhash64("doc_id", "th"), F.lit(PARTS)) == p).hint("merge")
+        here = wanted.filter(F.pmod(F.xxhash64("i", "t"), F.lit(PARTS)) == p)
+        texts = texts.join(here, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t")), "left_semi").select("text")
+        part = scratch.keep(texts.mapInArrow(to_bodies, body))
+        bodies = part if bodies is None else bodies.union(part)
+    most = max(MOVED, bodies.count())
 
     edges = None
     tried = None
@@ -307,10 +348,9 @@ def links(sketched: DataFrame, found: DataFrame, docs: DataFrame, scratch: Scrat
     def settle(pairs: DataFrame) -> None:
         """Compare pairs, and find the components anew."""
         nonlocal edges, tried, roots
-        few = tried is not None
         pairs = scratch.keep(pairs.distinct() if tried is None else pairs.distinct().join(tried, ["a", "b"], "left_anti"), (slim,))
         tried = pairs if tried is None else tried.union(pairs)
-        good = scratch.keep(verified(pairs, sets, slim, num, den, scratch, few), (pairs, sets))
+        good = verified(pairs, bodies, slim, words, num, den, scratch, most)
         # with the old roots in place of the old links the graph stays small
         edges = good if roots is None else good.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
         roots = scratch.keep(components(edges, scratch), (slim,))
@@ -354,7 +394,8 @@ def links(sketched: DataFrame, found: DataFrame, docs: DataFrame, scratch: Scrat
 
     def in_blocks(clusters: DataFrame) -> None:
         """Compare all that is in different components of a cluster, by long parity sketches, in blocks."""
-        settle(close_pairs(sets.join(scratch.small(scratch.keep(rooted(clusters), (clusters,))), "set_id"), num, den))
+        where = scratch.keep(rooted(clusters), (clusters,))
+        settle(close_pairs(bodies.select("set_id", "n", "sketch"), where, num, den, scratch, most))
 
     rest = first_rounds()
     if rest.isEmpty():
@@ -364,7 +405,7 @@ def links(sketched: DataFrame, found: DataFrame, docs: DataFrame, scratch: Scrat
     in_blocks(scratch.keep(clusters.join(sizes.filter(F.col("n") <= CLUSTER).select("cluster"), "cluster", "left_semi").select("set_id", "cluster"), (clusters,)))
     large = scratch.keep(clusters.join(sizes.filter(F.col("n") > CLUSTER).select("cluster"), "cluster", "left_semi").select("set_id"), (clusters,))
     if not large.isEmpty():  # similar sets share a key in any arrangement: the classes of large clusters enter another one
-        under = groups_under_keys(scratch.keep(anew(large, sets, num, den)), scratch)
+        under = groups_under_keys(scratch.keep(anew(large, bodies, words, num, den)), scratch)
         under_tables = [under]
         rest = first_rounds()
         if not rest.isEmpty():
@@ -372,38 +413,37 @@ def links(sketched: DataFrame, found: DataFrame, docs: DataFrame, scratch: Scrat
     return roots
 
 
-def anew(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def anew(rows: DataFrame, bodies: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """(key, set_id) of sets in another arrangement."""
     arrow = arrow_schema(rows.sparkSession, "key long, set_id long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holds_memory("ngram")
         bands = Bands(num, den)
-        for b in batches:
-            for c, s in zip(b.column(0), b.column(1), strict=True):
-                k = block_keys(np.frombuffer(s.as_buffer(), _U), bands, ARRANGEMENTS)
+        for b in slices(batches):
+            for c, text in zip(b.column(0), texts_of(b, "text"), strict=True):
+                k = block_keys(shingle_set(text, words), bands, ARRANGEMENTS)
                 yield pa.RecordBatch.from_arrays([_signed(k), pa.array(np.full(len(k), c.as_py()))], schema=arrow)
 
-    return sets.join(rows, "set_id", "left_semi").select("set_id", "shingles").mapInArrow(run, "key long, set_id long")
+    return bodies.select("set_id", "text").join(rows, "set_id", "left_semi").mapInArrow(run, "key long, set_id long")
 
 
-def close_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b) of rows (cluster, set_id, root, shingles) of one cluster and different roots whose long parity sketches
-    do not rule out that they are similar. A cluster is dealt in blocks, and a pair of blocks is held at a time."""
-    spark = rows.sparkSession
-    long_sketch = "set_id long, root long, n long, sketch binary"
-    arrow = arrow_schema(spark, f"cluster long, {long_sketch}")
-
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            s = [np.frombuffer(x.as_buffer(), _U) for x in b.column(3)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([len(x) for x in s], pa.int64()), pa.array([parity(x, LONG_BITS) for x in s], pa.binary())], schema=arrow)
-
-    x = rows.select("cluster", "set_id", "root", "shingles").mapInArrow(sketch, f"cluster long, {long_sketch}")
-    blocks = rows.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    x = x.join(blocks, "cluster").withColumn("mine", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
+def close_pairs(sketched: DataFrame, where: DataFrame, num: int, den: int, scratch: Scratch, most: int) -> DataFrame:
+    """(a, b) of the sets (set_id, n, sketch) that where, a kept table (cluster, set_id, root), has in one cluster and under
+    different roots, and whose long parity sketches do not rule out that they are similar. A cluster is dealt in blocks,
+    and a pair of blocks is held at a time. A sketch goes to as many units as its cluster has blocks, so units are dealt
+    in parts of about `most` sketches, and only one part is on disk."""
+    pair = arrow_schema(where.sparkSession, "a long, b long")
+    blocks = scratch.keep(where.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")), (where,))
+    dealt = where.join(blocks.select("cluster", "blocks"), "cluster").withColumn("mine", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
+    x = sketched.join(scratch.small(scratch.keep(dealt, (where,))), "set_id")
     each = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(F.col("mine"), o).alias("i"), F.greatest(F.col("mine"), o).alias("j")))
-    x = x.withColumn("p", F.explode(each)).select(F.xxhash64("cluster", "p.i", "p.j").alias("unit"), (F.col("p.i") == F.col("p.j")).alias("same"), "mine", "set_id", "root", "n", "sketch")
-    pair = arrow_schema(spark, "a long, b long")
+    unit = F.transform(each, lambda p: F.struct(F.xxhash64("cluster", p["i"], p["j"]).alias("unit"), (p["i"] == p["j"]).alias("same")))
+    parts = 1 + (blocks.agg(F.sum(F.col("size") * F.col("blocks"))).first()[0] or 0) // most
+
+    def part(i: int) -> DataFrame:
+        units = F.filter(unit, lambda u: F.pmod(u["unit"], F.lit(parts)) == i)
+        return x.withColumn("u", F.explode(units)).select("u.unit", "u.same", "mine", "set_id", "root", "n", "sketch")
 
     def compare(rows: list[dict]) -> pa.RecordBatch:
         of = {k: np.array([r[k] for r in rows]) for k in ("set_id", "root", "n", "mine")}
@@ -431,7 +471,12 @@ def close_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
         if held:
             yield compare(held)
 
-    return x.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "a long, b long")
+    out = None
+    for i in range(parts):
+        found = part(i).repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "a long, b long")
+        found = found if parts == 1 else scratch.keep(found)
+        out = found if out is None else out.union(found)
+    return out
 
 
 def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from docquality.llm import decontam, embed_dedup, language, licenses, line_dedup, ngram_join, packing, pii, quality, tokens
+from docquality.llm.common import Scratch
 
 
 def one_edit(a, b):
@@ -294,3 +295,34 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     for _, f in P.STAGES[:-1]:
         stage = f(spark, stage, str(tmp_path))
         assert stage.columns == df.columns and stage.filter("score <> 7.5 or n_lines <> 7.5 or item_id <> 7.5").count() == 0
+
+
+def test_near_duplicates_write_no_more_than_texts(spark, monkeypatch):
+    """Beside the keys no table is larger than the texts, though every text has a near copy."""
+    rng = random.Random(5)
+    texts = [[rng.choice("abcdefghijklm") + str(rng.randrange(3000)) for _ in range(1500)] for _ in range(60)]
+    rows = [(2 * i + j, " ".join([*t[: len(t) - 20 * j], *["new"] * j])) for i, t in enumerate(texts) for j in (0, 1)]
+    df = table(spark, rows).repartition(4)
+    size, keep = {}, Scratch.keep
+
+    def kept(self, x, *of):
+        out = keep(self, x, *of)
+        if not any(c.startswith("k") for c in x.columns):
+            size[tuple(x.columns)] = max(size.get(tuple(x.columns), 0), self.bytes_of(out))
+        return out
+
+    monkeypatch.setattr(Scratch, "keep", kept)
+    want = sorted(map(tuple, ngram_join.jaccard_components(df).collect()))
+    assert [r[2] for r in want] == [i - i % 2 for i in range(120)]
+    assert max(size.values()) < sum(len(t) for _, t in rows), size
+
+
+def test_pairs_in_parts(spark, monkeypatch):
+    """Pairs and blocks that are moved in many parts give the same components."""
+    rng = random.Random(8)
+    base = text(rng, 80).split()
+    rows = [(i, " ".join([*(f"x{rng.randrange(50)}" if rng.random() < i % 9 / 80 else w for w in base)])) for i in range(24)]
+    want = sorted(map(tuple, ngram_join.jaccard_components(table(spark, rows)).collect()))
+    for k, v in {"FEW": 1, "BLOCK": 4, "MOVED": 60}.items():
+        monkeypatch.setattr(ngram_join, k, v)
+    assert sorted(map(tuple, ngram_join.jaccard_components(table(spark, rows)).collect())) == want
